@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neurospan.functions import columns as C
 
 MAX_YEARS = 20  # fixed value: education columns stop here
+MAX_CELLS = 20_000
 
 
 def tidy_age_norms(sheets: DataFrame) -> DataFrame:
@@ -29,58 +31,82 @@ def tidy_age_norms(sheets: DataFrame) -> DataFrame:
     )
 
 
-def age_ladder(norms: DataFrame) -> DataFrame:
-    """One row per (test, whole age): its norm rows in sheet order.
+# A normative table is a printed sheet: whole ages (or scaled scores) x a few rows.
+# Its cells, checked to be few, become one constant in the row expressions, so
+# scoring needs no join, no shuffle and no copy of the table per subject.
 
-    Expanding bands to whole ages turns the band join into an equi-join, and
-    packing the rows (a sheet's worth, a few dozen) means a subject row is never
-    multiplied.
-    """
-    rows = F.array_sort(F.collect_list(F.struct("age_lo", "row_no", "lo", "hi", "scaled")))
-    return (
-        norms.withColumn("age", F.explode(F.sequence("age_lo", "age_hi")))
-        .groupBy("test", "age").agg(rows.alias("ladder"))
-    )
 
+def _cells(norms: DataFrame) -> list:
+    rows = norms.limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"a normative table has at most {MAX_CELLS} cells")
+    return rows
+
+
+class AgeNorms:
+    """Ladders of one age-norm table: for every test and whole age, its rows in sheet order."""
+
+    def __init__(self, norms: DataFrame):
+        rows = sorted(_cells(norms), key=lambda r: (r["age_lo"], r["row_no"]))
+        self.lo, self.hi = min(r["age_lo"] for r in rows), max(r["age_hi"] for r in rows)
+        self.ladders = {
+            test: [
+                [{"lo": r["lo"], "hi": r["hi"], "scaled": r["scaled"]}
+                 for r in rows if r["test"] == test and r["age_lo"] <= age <= r["age_hi"]]
+                for age in range(self.lo, self.hi + 1)
+            ]
+            for test in {r["test"] for r in rows}
+        }
 
-def by_age(df: DataFrame, norms: DataFrame, raw: str, age: str, test: str, out: str) -> DataFrame:
+    def ladder(self, test: str, age: Column) -> Column:
+        table = F.from_json(
+            F.lit(json.dumps(self.ladders[test])), "array<array<struct<lo:double,hi:double,scaled:double>>>"
+        )
+        return F.get(table, age - self.lo)
+
+
+class EducationNorms:
+    """Score x years grid of one education table; years between listed columns take the lower column."""
+
+    def __init__(self, norms: DataFrame):
+        self.grids = {}
+        by_test: dict[str, list] = {}
+        for r in _cells(norms):
+            by_test.setdefault(r["test"], []).append(r)
+        for test, rows in by_test.items():
+            scores, years = [r["age_scaled"] for r in rows], sorted({r["yoe"] for r in rows})
+            cell = {(r["age_scaled"], r["yoe"]): r["scaled"] for r in rows}
+            grid = [
+                [cell.get((score, max(y for y in years if y <= year))) for year in range(years[0], years[-1] + 1)]
+                for score in range(min(scores), max(scores) + 1)
+            ]
+            self.grids[test] = (min(scores), max(scores), years[0], years[-1], grid)
+
+    def score(self, test: str, scaled: Column, years: Column, max_years: int) -> Column:
+        lo, hi, first, last, grid = self.grids[test]
+        row = C.clamp(scaled.cast("int"), F.lit(lo), F.lit(hi)) - lo
+        capped = F.when(years.isNotNull(), F.least(F.floor(years).cast("int"), F.lit(max_years)))
+        column = C.clamp(capped, F.lit(first), F.lit(last)) - first
+        return F.get(F.get(F.from_json(F.lit(json.dumps(grid)), "array<array<double>>"), row), column)
+
+
+def by_age(df: DataFrame, norms: AgeNorms, raw: str, age: str, test: str, out: str) -> DataFrame:
     """Age-adjusted score: first sheet row whose range holds the raw score.
 
     Ages round half to even and clamp to the supported span; NULL when nothing matches.
     """
-    lo, hi = norms.agg(F.min("age_lo")).scalar(), norms.agg(F.max("age_hi")).scalar()
-    whole = C.clamp(C.round_half_even(age).cast("int"), lo, hi)
-    ladder = age_ladder(norms.where(F.col("test") == test)).select(F.col("age").alias("_age"), "ladder")
-    hit = F.filter("ladder", lambda r: C.in_bounds(F.col(raw), r["lo"], r["hi"]))
-    return (
-        df.withColumn("_age", whole).join(ladder, "_age", "left")
-        .withColumn(out, F.when(F.col(raw).isNotNull(), F.get(hit, F.lit(0))["scaled"]))
-        .drop("_age", "ladder")
-    )
+    whole = C.clamp(C.round_half_even(age).cast("int"), F.lit(norms.lo), F.lit(norms.hi))
+    hit = F.filter(norms.ladder(test, whole), lambda r: C.in_bounds(F.col(raw), r["lo"], r["hi"]))
+    return df.withColumn(out, F.when(F.col(raw).isNotNull(), F.get(hit, F.lit(0))["scaled"]))
 
 
-def by_education(df: DataFrame, norms: DataFrame, scaled: str, years: str, test: str, out: str,
+def by_education(df: DataFrame, norms: EducationNorms, scaled: str, years: str, test: str, out: str,
                  max_years: int = MAX_YEARS) -> DataFrame:
     """Education-adjusted score: clamped row, then the greatest listed year not above the subject's."""
-    table = norms.where(F.col("test") == test)
-    lo_a, hi_a = table.agg(F.min("age_scaled")).scalar(), table.agg(F.max("age_scaled")).scalar()
-    lo_y, hi_y = table.agg(F.min("yoe")).scalar(), table.agg(F.max("yoe")).scalar()
-    key = C.clamp(F.col(scaled).cast("int"), lo_a, hi_a)
-    want = C.clamp(F.least(C.whole_down(years).cast("int"), F.lit(max_years)), lo_y, hi_y)
-    want = F.when(F.col(years).isNotNull(), want)
-    rows = table.groupBy(F.col("age_scaled").alias("_key")).agg(
-        F.array_sort(F.collect_list(F.struct("yoe", "scaled"))).alias("_steps")
-    )
-    # the listed year is found over the whole table's columns, as each row has them all
-    steps = F.filter("_steps", lambda s: s["yoe"] <= F.col("_want"))
-    return (
-        df.withColumns({"_key": key, "_want": want}).join(rows, "_key", "left")
-        .withColumn(out, F.try_element_at(steps, F.lit(-1))["scaled"])
-        .drop("_key", "_want", "_steps")
-    )
+    return df.withColumn(out, norms.score(test, F.col(scaled), F.col(years), max_years))
 
 
-def score_visit(df: DataFrame, age_norms: DataFrame, edu_norms: DataFrame, tests: Mapping[str, str], visit: str,
+def score_visit(df: DataFrame, age_norms: AgeNorms, edu_norms: EducationNorms, tests: Mapping[str, str], visit: str,
                 years: str = "YoE") -> DataFrame:
     """Both lookups for every test of one visit: ``tests`` maps test -> raw column stem."""
     out = df

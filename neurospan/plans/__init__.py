@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("connectome",)
+TOPICS = ("connectome", "cohort")
 
 
 def load_all():
