@@ -109,20 +109,27 @@ class Totals:
         logdet = float(self.counts @ np.log1p(self.sizes * theta))
         return logdet + self.n * (math.log(sigma2) + 1 + math.log(2 * math.pi)), beta, sigma2, inv
 
-    def best(self, fixed: tuple[int, float] | None = None) -> float:
-        """Variance ratio with the smallest deviance, searched on u = sqrt(theta) >= 0."""
+    def best(self, fixed: tuple[int, float] | None = None, near: float | None = None) -> float:
+        """Variance ratio with the smallest deviance, searched on u = sqrt(theta) >= 0.
+
+        ``near``: a nearby solution; only its surroundings are scanned unless the
+        minimum falls on their edge.
+        """
 
         def dev(u: float) -> float:
             return self.fit(u * u, fixed)[0]
 
-        grid = np.concatenate([[0.0], np.geomspace(1e-3, 1e3, 61)])
+        wide = np.concatenate([[0.0], np.geomspace(1e-3, 1e3, 49)])
+        grid = wide if not near else math.sqrt(near) * np.geomspace(0.4, 2.5, 7)
         values = [dev(u) for u in grid]
         at = int(np.argmin(values))
+        if near and at in (0, len(grid) - 1):
+            return self.best(fixed)
         lo, hi = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
         ratio = (math.sqrt(5) - 1) / 2
         c, d = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
         fc, fd = dev(c), dev(d)
-        while hi - lo > 1e-10 * (1 + hi):
+        while hi - lo > 1e-8 * (1e-3 + hi):
             if fc < fd:
                 hi, d, fd = d, c, fc
                 c = hi - ratio * (hi - lo)
@@ -132,7 +139,7 @@ class Totals:
                 d = lo + ratio * (hi - lo)
                 fd = dev(d)
         u = (lo + hi) / 2
-        return 0.0 if values[0] <= dev(u) else u * u
+        return 0.0 if grid[0] == 0.0 and values[0] <= dev(u) else u * u
 
     def satterthwaite_df(self, j: int, theta: float, sigma2: float) -> float:
         """Degrees of freedom of one coefficient's t (Kuznetsova et al. 2017), in (u, sigma) at the optimum."""
@@ -164,11 +171,11 @@ class Totals:
         spread = float(grad @ cov @ grad)
         return 2 * var(x0) ** 2 / spread if spread > 0 else math.inf
 
-    def profile_limit(self, j: int, estimate: float, se: float, floor: float, side: int) -> float:
+    def profile_limit(self, j: int, estimate: float, se: float, floor: float, side: int, theta: float) -> float:
         """Where the profiled deviance exceeds its minimum by the 95 % quantile."""
 
         def excess(v: float) -> float:
-            return self.fit(self.best((j, v)), (j, v))[0] - floor - CHI2_95
+            return self.fit(self.best((j, v), theta), (j, v))[0] - floor - CHI2_95
 
         step = 2.0 * se
         inner, outer = estimate, estimate + side * step
@@ -184,7 +191,7 @@ class Totals:
                 outer, f_out = mid, f_mid
             else:
                 inner, f_in = mid, f_mid
-            if abs(outer - inner) < 1e-9 * (1 + abs(estimate)) or abs(f_mid) < 1e-10:
+            if abs(outer - inner) < 1e-8 * se or abs(f_mid) < 1e-8:
                 return mid
         return (inner + outer) / 2
 
@@ -205,7 +212,8 @@ def solve(rows: Sequence[Mapping], width: int, k: int, j: int) -> dict:
     return {
         "coef": float(beta[j]), "se": se, "df": dof, "t": float(stat),
         "p_value": t_two_sided(float(stat), dof if math.isfinite(dof) else 1e12),
-        "ci_lo": t.profile_limit(j, beta[j], se, dev, -1), "ci_hi": t.profile_limit(j, beta[j], se, dev, 1),
+        "ci_lo": t.profile_limit(j, beta[j], se, dev, -1, theta),
+        "ci_hi": t.profile_limit(j, beta[j], se, dev, 1, theta),
         "sigma2": sigma2, "tau2": tau2, "marginal_r2": fixed / total, "conditional_r2": (fixed + tau2) / total,
         "n_obs": int(t.n), "n_subjects": int(t.counts.sum()), "deviance": dev,
     }
@@ -229,7 +237,9 @@ def fit_models(spark: SparkSession, df: DataFrame, subject: str, specs: Sequence
         rows = [r for r in totals if r["model"] == s.name]
         j = 1 + list(s.terms).index(s.report)
         out.append({"model": s.name, **solve(rows, width, len(s.terms) + 1, j)})
-    return spark.createDataFrame([tuple(r[c.split()[0]] for c in RESULT_SCHEMA.split(", ")) for r in out], RESULT_SCHEMA)
+    names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
+    plain = [tuple(float(r[c]) if isinstance(r[c], float) else r[c] for c in names) for r in out]
+    return spark.createDataFrame(plain, RESULT_SCHEMA)
 
 
 # fixed values: network -> FDR family

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("connectome", "cohort")
+TOPICS = ("connectome", "cohort", "statistics", "models", "storage", "reporting")
 
 
 def load_all():
