@@ -79,17 +79,22 @@ def cross_counts(df: DataFrame, row: str, col: str, levels: Sequence) -> DataFra
 
 def zscore(df: DataFrame, values: Sequence[str], suffix: str = "_z", ddof: int = 1,
            fit_on: Column | None = None) -> DataFrame:
-    """Scale columns by mean and SD of their own non-NULL rows, as scalar subqueries (no shuffle of rows).
+    """Scale columns by mean and SD of their own non-NULL rows.
 
-    ``fit_on`` restricts the fit to training rows.  A constant column is divided by 1.
+    All moments come from one aggregate row read through a scalar subquery, so
+    the rows themselves are not shuffled.  ``fit_on`` restricts the fit to
+    training rows.  A constant column is divided by 1.
     """
     sd = F.stddev_samp if ddof == 1 else F.stddev_pop
-    out = df
+    cells = []
     for v in values:
         x = F.col(v) if fit_on is None else F.when(fit_on, F.col(v))
-        mean, spread = df.agg(F.avg(x)).scalar(), df.agg(sd(x)).scalar()
-        out = out.withColumn(v + suffix, (F.col(v) - mean) / F.when(spread == 0, F.lit(1.0)).otherwise(spread))
-    return out
+        cells += [F.avg(x).alias(f"mean_{v}"), F.nullif(sd(x), F.lit(0.0)).alias(f"sd_{v}")]
+    fitted = df.withColumn("_moments", df.agg(F.struct(*cells)).scalar())
+    m = F.col("_moments")
+    return fitted.withColumns(
+        {v + suffix: (F.col(v) - m[f"mean_{v}"]) / F.coalesce(m[f"sd_{v}"], F.lit(1.0)) for v in values}
+    ).drop("_moments")
 
 
 def zscore_by_fold(df: DataFrame, fold: str, n_folds: int, value: str, out: str = "z") -> DataFrame:
