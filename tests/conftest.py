@@ -1,7 +1,11 @@
 import os
 import sys
 
-import pytest
+# dense checks on the driver must not fight Spark's threads for the cores
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), ".."))
 
