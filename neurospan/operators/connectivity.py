@@ -10,11 +10,12 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from neurospan.functions.aggregates import safe_corr
+from neurospan.functions.columns import edge_ends
 
 KEYS = ("subject_id", "ses")
 
@@ -37,6 +38,13 @@ def voxel_counts(voxels: DataFrame, keys: Sequence[str] = KEYS, label: str = "la
     return voxels.where(F.col(label) > 0).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n_voxels"))
 
 
+def incomplete_series(means: DataFrame, n_labels: int, keys: Sequence[str] = KEYS, label: str = "label") -> DataFrame:
+    """Keys that lost a label: their series must not be used."""
+    return (
+        means.groupBy(*keys).agg(F.count_distinct(label).alias("n_labels")).where(F.col("n_labels") < n_labels)
+    )
+
+
 def signal_moments(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal") -> DataFrame:
     """Per key: frame count and the mean and (population) variance of every region.
 
@@ -135,7 +143,7 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def pair_covariances(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal",
                      frame: str = "frame", clustered: bool = False, fourth: bool = False) -> DataFrame:
-    """Population covariance of every region pair: ``(keys..., i, j, cov, scale)``.
+    """Population covariance of every region pair: ``(keys..., i, j, n, cov, var_i, var_j)``.
 
     Block co-moments are re-centred on the key's own means (so no precision is
     lost to large signal offsets), spread to one row per pair and summed by
@@ -144,10 +152,11 @@ def pair_covariances(series: DataFrame, keys: Sequence[str] = KEYS, signal: str
     """
     moments = signal_moments(series, keys, signal)
     blocks = block_moments(series, keys, signal, frame, clustered).join(moments, list(keys))
+    doubles = ("c", "vi", "vj")
     out_schema = T.StructType(
         [T.StructField(k, series.schema[k].dataType) for k in keys]
-        + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
-           T.StructField("c", T.DoubleType()), T.StructField("s", T.DoubleType())]
+        + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("n", T.LongType())]
+        + [T.StructField(c, T.DoubleType()) for c in doubles]
     )
     target = _arrow_schema(out_schema)
 
@@ -160,26 +169,26 @@ def pair_covariances(series: DataFrame, keys: Sequence[str] = KEYS, signal: str
                 d = get["mean_k"].values.to_numpy(zero_copy_only=False) - mean
                 cross = get["cross_k"].values.to_numpy(zero_copy_only=False).reshape(p, p)
                 i, j = np.triu_indices(p, k=1)
-                c = (cross[i, j] + n_k * d[i] * d[j]) / n
-                s = np.sqrt(var[i] * var[j])
+                c, vi, vj = (cross[i, j] + n_k * d[i] * d[j]) / n, var[i], var[j]
                 if fourth:
                     skew = get["skew_k"].values.to_numpy(zero_copy_only=False)
                     dd = float(d @ d)
                     q = (get["quart_k"].as_py() + 4 * float(d @ skew) + 4 * float(d @ cross @ d)
                          + 2 * dd * float(np.trace(cross)) + n_k * dd * dd) / n
-                    i, j = np.append(i, -1), np.append(j, -1)
-                    c, s = np.append(c, q), np.append(s, np.nan)
+                    i, j, c = np.append(i, -1), np.append(j, -1), np.append(c, q)
+                    vi, vj = np.append(vi, 0.0), np.append(vj, 0.0)
                 size = len(i)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([get[k].as_py()] * size, type=target.field(k).type) for k in keys]
-                    + [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(c), pa.array(s)],
+                    + [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(np.full(size, n), pa.int64())]
+                    + [pa.array(v) for v in (c, vi, vj)],
                     schema=target,
                 )
 
     return (
         blocks.mapInArrow(spread, out_schema)
         .groupBy(*keys, "i", "j")
-        .agg(F.sum("c").alias("cov"), F.max("s").alias("scale"))
+        .agg(F.max("n").alias("n"), F.sum("c").alias("cov"), F.max("vi").alias("var_i"), F.max("vj").alias("var_j"))
     )
 
 
@@ -195,7 +204,7 @@ def fisher_z(r: Column) -> Column:
 def functional_edges(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal",
                      frame: str = "frame", clustered: bool = False) -> DataFrame:
     """Pearson correlation of every region pair, with its Fisher z."""
-    r = F.try_divide(F.col("cov"), F.col("scale"))
+    r = F.try_divide(F.col("cov"), F.sqrt(F.col("var_i") * F.col("var_j")))
     return pair_covariances(series, keys, signal, frame, clustered).select(
         *keys, "i", "j", unit(r).alias("r")
     ).withColumn("z", fisher_z(F.col("r")))
@@ -203,34 +212,44 @@ def functional_edges(series: DataFrame, keys: Sequence[str] = KEYS, signal: str
 
 def functional_edges_shrunk(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal",
                             frame: str = "frame", clustered: bool = False) -> DataFrame:
-    """Correlation from the Ledoit-Wolf (2004) shrunk covariance of each key's frames."""
+    """Correlation from the Ledoit-Wolf (2004) shrunk covariance of each key's frames.
+
+    The trace and the squared norm are sums over the key's own pairs -- at most
+    p(p-1)/2 rows whatever the number of frames -- so a window per key serves and
+    the signals are processed once.
+    """
     keys = list(keys)
-    pairs = pair_covariances(series, keys, signal, frame, clustered, fourth=True)
-    moments = signal_moments(series, keys, signal)
-    totals = pairs.groupBy(*keys).agg(
-        F.sum(F.when(F.col("i") >= 0, 2 * F.col("cov") * F.col("cov")).otherwise(0.0)).alias("off2"),
-        F.max(F.when(F.col("i") < 0, F.col("cov"))).alias("q"),
+    own = Window.partitionBy(*keys)
+    real = F.col("i") >= 0
+
+    def over_pairs(e: Column) -> Column:
+        return F.sum(F.when(real, e).otherwise(0.0)).over(own)
+
+    pairs = pair_covariances(series, keys, signal, frame, clustered, fourth=True).select(
+        "*",
+        over_pairs(F.lit(1.0)).alias("m"),
+        over_pairs(F.col("var_i") + F.col("var_j")).alias("sum_var"),
+        over_pairs(F.col("var_i") * F.col("var_i") + F.col("var_j") * F.col("var_j")).alias("sum_var2"),
+        over_pairs(2 * F.col("cov") * F.col("cov")).alias("off2"),
+        F.max(F.when(~real, F.col("cov"))).over(own).alias("q"),
     )
-    add = lambda acc, v: acc + v
-    p = F.size("var").cast("double")
-    fro2 = F.col("off2") + F.aggregate(F.transform("var", lambda v: v * v), F.lit(0.0), add)
-    shrink = (
-        totals.join(moments, keys)
-        .withColumn("mu", F.aggregate("var", F.lit(0.0), add) / p)
-        .withColumn("delta2", (fro2 - p * F.col("mu") * F.col("mu")) / p)
-        .withColumn("beta2", F.least((F.col("q") - fro2) / (p * F.col("n")), F.col("delta2")))
+    # every region is in p - 1 of the m = p(p-1)/2 pairs
+    p, others = F.col("p"), F.col("p") - 1
+    fitted = (
+        pairs.withColumn("p", (1 + F.sqrt(1 + 8 * F.col("m"))) / 2)
+        .withColumns({"mu": F.col("sum_var") / others / p, "fro2": F.col("off2") + F.col("sum_var2") / others})
+        .withColumn("delta2", (F.col("fro2") - p * F.col("mu") * F.col("mu")) / p)
+        .withColumn("beta2", F.least((F.col("q") - F.col("fro2")) / (p * F.col("n")), F.col("delta2")))
         .withColumn("rho", F.coalesce(F.try_divide(F.col("beta2"), F.col("delta2")), F.lit(0.0)))
-        .select(*keys, "var", "mu", "rho")
     )
     keep = 1 - F.col("rho")
 
-    def shrunk_var(index: str) -> Column:
-        return keep * F.get("var", F.col(index)) + F.col("rho") * F.col("mu")
+    def shrunk(var: str) -> Column:
+        return keep * F.col(var) + F.col("rho") * F.col("mu")
 
-    r = F.try_divide(keep * F.col("cov"), F.sqrt(shrunk_var("i") * shrunk_var("j")))
+    r = F.try_divide(keep * F.col("cov"), F.sqrt(shrunk("var_i") * shrunk("var_j")))
     return (
-        pairs.where("i >= 0").join(shrink, keys)
-        .select(*keys, "i", "j", "rho", r.alias("r"))
+        fitted.where(real).select(*keys, "i", "j", "rho", r.alias("r"))
         .withColumn("z", fisher_z(F.col("r")))
     )
 
@@ -300,12 +319,14 @@ def structural_edges(streamlines: DataFrame, node_volumes: DataFrame, keys: Sequ
         .groupBy(*keys, F.least("node_a", "node_b").alias("i"), F.greatest("node_a", "node_b").alias("j"))
         .agg(F.sum("weight").alias("raw_weight"), F.count(F.lit(1)).alias("n_streamlines"))
     )
-    va = node_volumes.select(*keys, F.col("node").alias("i"), F.col("volume").alias("va"))
-    vb = node_volumes.select(*keys, F.col("node").alias("j"), F.col("volume").alias("vb"))
+    # one row per key with its node volumes (an atlas' worth), so the edges move once
+    packed = node_volumes.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("node", "volume"))).alias("volumes")
+    )
+    va, vb = (F.try_element_at("volumes", F.col(e)) for e in ("i", "j"))
     return (
-        summed.join(va, [*keys, "i"]).join(vb, [*keys, "j"])
-        .select(*keys, "i", "j", "n_streamlines",
-                F.try_divide(F.col("raw_weight") * 2, F.col("va") + F.col("vb")).alias("weight"))
+        summed.join(packed, keys).where(va.isNotNull() & vb.isNotNull())
+        .select(*keys, "i", "j", "n_streamlines", F.try_divide(F.col("raw_weight") * 2, va + vb).alias("weight"))
     )
 
 
@@ -343,6 +364,13 @@ def wide_edges(edges: DataFrame, names: Sequence[str], keys: Sequence[str] = KEY
     return edges.groupBy(*keys).pivot(edge, list(names)).agg(F.max(value))
 
 
+def edges_from_wide(wide: DataFrame, keys: Sequence[str] = KEYS, value: str = "weight") -> DataFrame:
+    """Back from ``roi1-roi2`` columns to the long edge table."""
+    long = wide.unpivot(list(keys), [c for c in wide.columns if c not in keys], "edge", value)
+    i, j = edge_ends("edge")
+    return long.where(F.col(value).isNotNull()).select(*keys, i.alias("i"), j.alias("j"), value)
+
+
 # --- coupling ------------------------------------------------------------------------
 
 

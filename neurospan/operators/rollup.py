@@ -67,10 +67,14 @@ def pivot_regions(values: DataFrame, regions: Sequence, keys: Sequence[str] = KE
 
 def difference_map(values: DataFrame, flags: DataFrame, by: Sequence[str] = ("ses", "roi"),
                    subject: str = "subject_id", value: str = "rho", flag: str = "flag") -> DataFrame:
-    """Mean Fisher z of group 1 minus group 0; subjects with an unknown flag take no part."""
+    """Mean Fisher z of group 1 minus group 0; subjects with an unknown flag take no part.
+
+    ``flags`` has one row per subject, or per (subject, ses) from :func:`session_flags`.
+    """
     z = F.atanh(value)
+    on = [subject, "ses"] if "ses" in flags.columns else [subject]
     return (
-        values.join(flags.select(subject, flag), subject)
+        values.join(flags.select(*on, flag), on)
         .groupBy(*by)
         .agg(
             F.avg(F.when(F.col(flag) == 1, z)).alias("mean_1"),
@@ -80,6 +84,18 @@ def difference_map(values: DataFrame, flags: DataFrame, by: Sequence[str] = ("se
     )
 
 
+def session_flags(people: DataFrame, label: str, sessions: dict[str, str], subject: str = "subject_id") -> DataFrame:
+    """(subject, ses, flag): the longitudinal flag for both sessions, or each session's own.
+
+    ``label`` is ``long`` or ``visit``; ``sessions`` maps session -> suffix of the flag column.
+    """
+    cells = [
+        F.struct(F.lit(ses).alias("ses"), F.col("flag_long" if label == "long" else f"flag_{k}").alias("flag"))
+        for ses, k in sessions.items()
+    ]
+    return people.select(subject, F.inline(F.array(*cells)))
+
+
 def average_over_sessions(maps: DataFrame, roi: str = "roi") -> DataFrame:
     return maps.groupBy(roi).agg(F.avg("difference").alias("difference"))
 
@@ -111,9 +127,17 @@ def overlap_table(voxels: DataFrame, slots: Sequence[str], keys: Sequence[str] =
 
 
 def resolve_voxels(voxels: DataFrame, table: DataFrame, slots: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
-    """Final label of every voxel; background (no claim) is 0."""
+    """Final label of every voxel; background (no claim) is 0.
+
+    A voxel with at most one claim keeps it, so the background and the plain
+    voxels -- nearly all of them -- never take part in the join.
+    """
+    claims = sum(((F.col(s) != 0).cast("int") for s in slots), F.lit(0))
+    total = sum((F.col(s) for s in slots), F.lit(0))
     on = [*keys, *slots]
-    return voxels.join(table.select(*on, "label"), on, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    contested = voxels.where(claims > 1).join(table.where("n_claims > 1").select(*on, "label"), on)
+    plain = voxels.where(claims <= 1).withColumn("label", total.cast(table.schema["label"].dataType))
+    return plain.unionByName(contested)
 
 
 def atlas_completeness(table: DataFrame, expected: int, keys: Sequence[str] = KEYS) -> DataFrame:

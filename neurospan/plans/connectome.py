@@ -390,3 +390,57 @@ def label_overlap_voxels(spark, sf):
 )
 def atlas_completeness(spark, sf):
     return R.atlas_completeness(R.overlap_table(_voxels(spark, sf), _SLOTS), 14)
+
+
+@query(
+    "diff_map_by_visit",
+    f"""WITH {I.SFC_SQL}, p AS (SELECT DISTINCT CAST(label AS VARCHAR) AS subject_id, label % 2 AS f1, label % 3 % 2 AS f2 FROM embeddings),
+    t AS (SELECT s.ses, s.roi, atanh(s.rho) AS z, CASE s.ses WHEN 'ses-01' THEN f1 ELSE f2 END AS f FROM sfc s JOIN p USING (subject_id))
+    SELECT ses, roi, {sql6('avg(z) FILTER (f = 1) - avg(z) FILTER (f = 0)')} AS difference FROM t GROUP BY ALL""",
+)
+def diff_map_by_visit(spark, sf):
+    """Each session compared by that session's own classification."""
+    people = table(spark, sf, "embeddings").select(
+        F.col("label").cast("string").alias("subject_id"), (F.col("label") % 2).alias("flag_1"), (F.col("label") % 3 % 2).alias("flag_2")
+    ).distinct()
+    flags = R.session_flags(people, "visit", {"ses-01": "1", "ses-02": "2"})
+    return R.difference_map(_sfc(spark, sf), flags).withColumn("difference", r6("difference"))
+
+
+_FIRST_EDGES = [(a, b) for a in range(8) for b in range(a + 1, 8)]
+
+
+def _first_network(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges inside the first network, named ``roi1-roi2``, one column each."""
+    within = _fc(spark, sf).where("j < 8")
+    named = within.withColumn("edge", F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")))
+    return N.wide_edges(named, [f"{a}-{b}" for a, b in _FIRST_EDGES], value="z")
+
+
+@query(
+    "edge_wide_row",
+    f"WITH {I.FC_SQL} SELECT subject_id, ses, "
+    + ", ".join(f"{sql6(f'max(z) FILTER (i = {a} AND j = {b})')} AS e_{a}_{b}" for a, b in _FIRST_EDGES)
+    + " FROM fc GROUP BY ALL",
+)
+def edge_wide_row(spark, sf):
+    wide = _first_network(spark, sf)
+    return wide.select("subject_id", "ses", *[r6(F.col(f"`{a}-{b}`")).alias(f"e_{a}_{b}") for a, b in _FIRST_EDGES])
+
+
+@query(
+    "edge_wide_to_long",
+    f"WITH {I.FC_SQL} SELECT subject_id, ses, CAST(i AS VARCHAR) AS i, CAST(j AS VARCHAR) AS j, {sql6('z')} AS weight FROM fc WHERE j < 8",
+)
+def edge_wide_to_long(spark, sf):
+    return N.edges_from_wide(_first_network(spark, sf)).withColumn("weight", r6("weight"))
+
+
+@query(
+    "incomplete_series",
+    f"WITH {_SCAN_SQL} SELECT subject_id, frame, count(DISTINCT label) AS n_labels FROM ev WHERE label <> 0 "
+    "GROUP BY subject_id, frame HAVING count(DISTINCT label) < 4",
+)
+def incomplete_series(spark, sf):
+    means = N.label_mean_series(_event_voxels(spark, sf), ("subject_id", "frame"))
+    return N.incomplete_series(means, 4, ("subject_id", "frame"))

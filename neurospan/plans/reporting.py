@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from neurospan.functions import columns as C
@@ -192,3 +192,22 @@ def classifier_table(spark, sf):
         {"p_value": F.lit(0.02), "p_fdr": F.lit(0.04), "n_perm_used": F.lit(1000)}
     )
     return R.classifier_rows(rows, ["run"])
+
+
+@query(
+    "figure_source_features",
+    f"""WITH {_FEATURE_SQL}, v AS (SELECT g.*, (p_retailprice * 7) % 13 - 5 AS imp FROM g JOIN part ON p_partkey = id WHERE kind <> 'V'),
+    t AS (SELECT *, row_number() OVER (ORDER BY imp DESC, feature, id) AS rank FROM v WHERE imp > 0)
+    SELECT rank, feature, {_LABEL_SQL} AS label, CASE WHEN suffix = '_slope' THEN 'Annual change' ELSE 'Baseline' END AS kind_text,
+      regexp_replace(feature, '_(1|slope)$', '') AS region, {sql6('imp')} AS importance FROM t WHERE rank <= 20""",
+)
+def figure_source_features(spark, sf):
+    """Table behind a figure: the twenty largest positive importances with their labels."""
+    price = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_retailprice") * 7) % 13 - 5).alias("imp"))
+    rows = R.describe_features(_feature_names(spark, sf).join(price, "id"), slope_model=True)
+    best = rows.where("imp > 0").orderBy(F.col("imp").desc(), "feature", "id").limit(20)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("imp").desc(), "feature", "id")))
+    return ranked.select(
+        "rank", "feature", "label", C.recode("feature_type", {"slope": "Annual change", "baseline": "Baseline"}).alias("kind_text"),
+        C.feature_region("feature").alias("region"), r6("imp").alias("importance"),
+    )

@@ -101,9 +101,9 @@ def append_idempotent(spark, sf):
     """Even subjects, then everyone, then everyone again: each subject is stored once."""
     path = scratch_dir(spark, "append")
     rows = _subject_rows(spark, sf)
-    inc.append_new(rows.where("subject_id % 2 = 0"), path, ["subject_id"])
-    inc.append_new(rows, path, ["subject_id"])
-    inc.append_new(rows, path, ["subject_id"])
+    inc.append_new(rows.where("subject_id % 2 = 0"), path, ["subject_id"], buckets=8)
+    inc.append_new(rows, path, ["subject_id"], buckets=8)
+    inc.append_new(rows, path, ["subject_id"], buckets=8)
     return inc.stored(spark, path)
 
 
@@ -116,11 +116,11 @@ def upsert(spark, sf):
     """Replace a third of the subjects' rows, twice."""
     path = scratch_dir(spark, "upsert")
     rows = _subject_rows(spark, sf)
-    inc.upsert(rows.where("subject_id % 5 <> 0"), path, ["subject_id"])
-    inc.upsert(rows.where("subject_id % 5 = 0"), path, ["subject_id"])
+    inc.upsert(rows.where("subject_id % 5 <> 0"), path, ["subject_id"], buckets=8)
+    inc.upsert(rows.where("subject_id % 5 = 0"), path, ["subject_id"], buckets=8)
     third = rows.where("subject_id % 3 = 0").withColumn("n_orders", F.col("n_orders") * 10)
-    inc.upsert(third, path, ["subject_id"])
-    inc.upsert(third, path, ["subject_id"])
+    inc.upsert(third, path, ["subject_id"], buckets=8)
+    inc.upsert(third, path, ["subject_id"], buckets=8)
     return inc.stored(spark, path)
 
 
@@ -135,8 +135,8 @@ def checkpoint_resume(spark, sf):
         raise AssertionError("the fingerprint depends on row order")
     tagged = work.withColumn("run_id", F.lit(run_id))
     half = work.agg(F.percentile_approx("perm_id", 0.5)).first()[0]
-    inc.append_new(tagged.where(F.col("perm_id") <= half), path, ["run_id", "perm_id"])
-    inc.append_new(inc.only_new(tagged, path, ["run_id", "perm_id"]), path, ["run_id", "perm_id"])
+    inc.append_new(tagged.where(F.col("perm_id") <= half), path, ["run_id", "perm_id"], buckets=8)
+    inc.append_new(inc.only_new(tagged, path, ["run_id", "perm_id"]), path, ["run_id", "perm_id"], buckets=8)
     return inc.stored(spark, path).where(F.col("run_id") == run_id).drop("run_id")
 
 

@@ -23,7 +23,7 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
     return None if table is None else table.drop(BUCKET)
 
 
-def only_new(new: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+def only_new(new: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose key is not stored; only key columns are read from the store."""
     old = read_or_none(new.sparkSession, path)
     if old is None:
@@ -33,7 +33,7 @@ def only_new(new: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCK
 
 def append_new(new: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
     """Idempotent append: running the same batch twice leaves the table unchanged."""
-    fresh = only_new(new, path, keys, buckets).withColumn(BUCKET, bucket_of(keys, buckets))
+    fresh = only_new(new, path, keys).withColumn(BUCKET, bucket_of(keys, buckets))
     fresh.write.mode("append").partitionBy(BUCKET).parquet(path)
 
 
