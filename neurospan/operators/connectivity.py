@@ -399,13 +399,17 @@ def node_strength(edges: DataFrame, regions: DataFrame, keys: Sequence[str] = KE
 
     Zeros never need to be materialised: the mean is sum / (regions - 1).
     """
-    n = regions.agg(F.count_distinct("roi").alias("n"))
-    listed = regions.agg(F.array_sort(F.collect_set("roi")).alias("o"))
-    total = mirror(edges, keys, (value,)).groupBy(*keys, "roi").agg(F.sum(value).alias("total"))
-    spine = edges.select(*keys).distinct().withColumn("roi", F.explode(listed.scalar()))
-    return spine.join(total, [*keys, "roi"], "left").select(
+    listed = regions.agg(F.array_sort(F.collect_set("roi")).alias("o")).scalar()
+    totals = mirror(edges, keys, (value,)).groupBy(*keys, "roi").agg(F.sum(value).alias("total"))
+    # one entry per region, so the map is bounded by the atlas
+    per_key = totals.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("roi", "total"))).alias("m")
+    ).withColumn("listed", listed)
+    return per_key.select(
+        *keys, "m", (F.size("listed") - 1).cast("double").alias("others"), F.explode("listed").alias("roi")
+    ).select(
         *keys, "roi",
-        F.try_divide(F.coalesce("total", F.lit(0.0)), (n.scalar() - 1).cast("double")).alias("strength"),
+        F.try_divide(F.coalesce(F.try_element_at("m", F.col("roi")), F.lit(0.0)), F.col("others")).alias("strength"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neurospan.functions import columns as C
@@ -100,27 +100,27 @@ def zscore(df: DataFrame, values: Sequence[str], suffix: str = "_z", ddof: int =
 def zscore_by_fold(df: DataFrame, fold: str, n_folds: int, value: str, out: str = "z") -> DataFrame:
     """Every row scaled for every fold, fitted on that fold's training rows (other folds), ddof 0.
 
-    Training moments come from per-fold sums subtracted from the total, so the
-    data is aggregated once rather than once per fold.
+    The data is aggregated once, per fold; the training moments of each held-out
+    fold merge the moments of the others (folds x folds rows).
     """
-    shifted = F.col(value) - df.agg(F.avg(value)).scalar()
+    held = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
     per = df.groupBy(fold).agg(
-        F.count(value).alias("n"), F.sum(shifted).alias("s"), F.sum(shifted * shifted).alias("q")
+        F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v")
     )
-    ids = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
-    total = per.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    n = total.select("n").scalar() - F.col("n")
-    s = total.select("s").scalar() - F.col("s")
-    q = total.select("q").scalar() - F.col("q")
-    fits = per.select(
-        F.col(fold).alias("held_out"), (s / n).alias("_mean"), F.sqrt(q / n - (s / n) * (s / n)).alias("_sd")
+    own = Window.partitionBy("held_out")
+    gap = F.col("_m") - F.col("_mean")
+    fits = (
+        per.withColumn("held_out", held).where(F.col(fold) != F.col("held_out"))
+        .withColumn("_mean", F.sum(F.col("_n") * F.col("_m")).over(own) / F.sum("_n").over(own))
+        .groupBy("held_out")
+        .agg(F.max("_mean").alias("_mean"),
+             F.sqrt(F.sum(F.col("_n") * (F.col("_v") + gap * gap)) / F.sum("_n")).alias("_sd"))
     )
     spread = F.when(F.col("_sd") == 0, F.lit(1.0)).otherwise(F.col("_sd"))
     return (
-        df.withColumn("held_out", ids).withColumn("_x", shifted)
-        .join(fits, "held_out")
-        .withColumn(out, (F.col("_x") - F.col("_mean")) / spread)
-        .drop("_x", "_mean", "_sd")
+        df.withColumn("held_out", held).join(fits, "held_out")
+        .withColumn(out, (F.col(value) - F.col("_mean")) / spread)
+        .drop("_mean", "_sd")
     )
 
 

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from neurospan.operators import linear_fits as L
 from neurospan.operators import resampling as S
@@ -85,6 +84,9 @@ def test_large_table_path_agrees(spark, monkeypatch):
     assert a.keys() == b.keys()
     assert np.corrcoef([a[k] for k in a], [b[k] for k in a])[0, 1] > 0.999
     assert large.features.count() == 4
+    null = S.permutation_aucs(spark, features, S.Plan("elastic_net", c_grid=(0.1,), l1_grid=(0.5,), outer=2, inner=2),
+                              spark.range(1, 2).withColumnRenamed("id", "perm_id")).collect()
+    assert [r["perm_id"] for r in null] == [1] and 0 <= null[0]["auc"] <= 1
 
 
 def test_class_checks(spark):
@@ -120,4 +122,3 @@ def test_grid_order(spark):
     rows = S.parameter_grid(spark, S.Plan()).orderBy("candidate").collect()
     assert len(rows) == 40 and rows[0]["c"] == pytest.approx(1e-4) and rows[-1]["c"] == pytest.approx(1e3)
     assert S.parameter_grid(spark, S.Plan("linear_svm")).count() == 10
-    assert F is not None
