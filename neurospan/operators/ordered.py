@@ -9,6 +9,8 @@ only balance the work; every row is kept whatever they are.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +23,12 @@ RANGE = "_range"
 
 
 def _before(cols: Sequence[str], cut: Sequence) -> Column:
-    """Lexicographic ``cols < cut``."""
+    """Lexicographic ``cols < cut`` in Spark's sort order (NULL first)."""
     out = F.lit(False)
     for name, value in reversed(list(zip(cols, cut, strict=True))):
-        out = (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & out)
+        c = F.col(name)
+        less = F.lit(False) if value is None else c.isNull() | F.coalesce(c < F.lit(value), F.lit(False))
+        out = less | (c.eqNullSafe(F.lit(value)) & out)
     return out
 
 
@@ -51,7 +55,9 @@ def with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges
     if ranges <= 1:
         return df.withColumn(RANGE, F.lit(0))
     probe = df.select(*cols).orderBy(F.xxhash64(*cols)).limit(ranges * _PROBES_PER_CUT).collect()
-    sample = sorted({tuple(r) for r in probe})
+    # NaN cannot be ordered here, so it never becomes a cut; such rows fall in the last range
+    usable = {tuple(r) for r in probe if not any(isinstance(v, float) and v != v for v in r)}
+    sample = sorted(usable, key=lambda r: [(v is not None, v) for v in r])
     step = max(1, len(sample) // ranges)
     cuts = sample[step::step][: ranges - 1]
     return df.withColumn(RANGE, _locate(cols, cuts, 0, len(cuts)) if cuts else F.lit(0))
@@ -83,7 +89,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapp
         *[F.coalesce(F.sum(f"_s_{o}").over(earlier), F.lit(0)).alias(f"_s_{o}") for o in sums],
         *[F.min(f"_m_{o}").over(later).alias(f"_m_{o}") for o in min_from_end],
     )
-    joined = df.join(carried, [*keys, RANGE])
+    # a missing key is a group of its own, so keys are compared null-safely
+    right = carried.withColumnsRenamed({c: f"_on_{c}" for c in [*keys, RANGE]})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in keys], F.col(RANGE) == F.col(f"_on_{RANGE}"))
+    joined = df.join(right, same)
     return joined.select(
         *df.columns,
         *[(F.sum(src).over(upto) + F.col(f"_s_{o}")).alias(o) for o, src in sums.items()],

@@ -83,3 +83,15 @@ def test_folds_do_not_depend_on_partitioning(spark):
     for y, n in ((1, 50), (0, 150)):
         sizes = [sum(1 for i, f in a.items() if f == k and (i % 4 == 0) == bool(y)) for k in range(5)]
         assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
+
+
+def test_missing_keys_and_values_are_kept(spark):
+    rows = [(None, i, 1) for i in range(300)] + [("a", i, 1) for i in range(300)] + [("a", None, 1)]
+    df = spark.createDataFrame(rows, "k string, o int, v int").repartition(5)
+    out = O.numbered(df.withColumn("o", F.col("o").cast("double")), ["o"], keys=["k"]).collect()
+    assert len(out) == len(rows)
+    assert sorted(r["row_no"] for r in out if r["k"] is None) == list(range(1, 301))
+    assert {r["o"]: r["row_no"] for r in out if r["k"] == "a"}[None] == 1
+    odd = spark.createDataFrame([(float(i) if i % 3 else float("nan"), i) for i in range(300)], "o double, i int")
+    got = O.numbered(odd, ["o", "i"]).collect()
+    assert sorted(r["row_no"] for r in got) == list(range(1, 301))
