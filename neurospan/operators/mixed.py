@@ -219,6 +219,24 @@ def solve(rows: Sequence[Mapping], width: int, k: int, j: int) -> dict:
     }
 
 
+def gls_at(spark: SparkSession, df: DataFrame, subject: str, spec: Spec, ratios: Sequence[float]) -> DataFrame:
+    """Coefficients, residual variance and deviance at given variance ratios: the profile the fit minimises."""
+    width, k = len(spec.terms) + 2, len(spec.terms) + 1
+    totals = Totals(_collect_totals(df, subject, [spec]), width, k)
+    out = []
+    for theta in ratios:
+        dev, beta, sigma2, _ = totals.fit(theta)
+        out += [(float(theta), name, float(b), float(sigma2), float(dev)) for name, b in zip(["intercept", *spec.terms], beta, strict=True)]
+    return spark.createDataFrame(out, "ratio double, term string, coef double, sigma2 double, deviance double")
+
+
+def _collect_totals(df: DataFrame, subject: str, specs: Sequence[Spec]) -> list:
+    totals = cluster_totals(df, subject, specs).limit(MAX_TOTALS_ROWS + 1).collect()
+    if len(totals) > MAX_TOTALS_ROWS:
+        raise ValueError("too many distinct cluster sizes for a driver-side search")
+    return totals
+
+
 RESULT_SCHEMA = (
     "model string, coef double, se double, df double, t double, p_value double, ci_lo double, ci_hi double, "
     "sigma2 double, tau2 double, marginal_r2 double, conditional_r2 double, n_obs bigint, n_subjects bigint, "
@@ -229,9 +247,7 @@ RESULT_SCHEMA = (
 def fit_models(spark: SparkSession, df: DataFrame, subject: str, specs: Sequence[Spec]) -> DataFrame:
     """One result row per model."""
     width = max(len(s.terms) for s in specs) + 2
-    totals = cluster_totals(df, subject, specs).limit(MAX_TOTALS_ROWS + 1).collect()
-    if len(totals) > MAX_TOTALS_ROWS:
-        raise ValueError("too many distinct cluster sizes for a driver-side search")
+    totals = _collect_totals(df, subject, specs)
     out = []
     for s in specs:
         rows = [r for r in totals if r["model"] == s.name]

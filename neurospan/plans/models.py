@@ -66,6 +66,28 @@ def lme_sums(spark, sf):
     return totals.select("n", "m", *[r6(c, d).alias(c) for c, d in digits.items()])
 
 
+@query(
+    "lme_profile",
+    f"""WITH per AS (SELECT c_custkey AS id, count(*)::DOUBLE AS n, sum(c_nationkey % 2)::DOUBLE AS x, sum(c_nationkey % 2)::DOUBLE AS xx,
+      sum(o_totalprice / 1000) AS y, sum(c_nationkey % 2 * o_totalprice / 1000) AS xy, sum(pow(o_totalprice / 1000, 2)) AS yy
+      FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+    g AS (SELECT r.ratio, sum(n) AS nn, sum(ln(1 + n * r.ratio)) AS ld, sum(n - r.ratio / (1 + n * r.ratio) * n * n) AS a00,
+      sum(x - r.ratio / (1 + n * r.ratio) * n * x) AS a01, sum(xx - r.ratio / (1 + n * r.ratio) * x * x) AS a11,
+      sum(y - r.ratio / (1 + n * r.ratio) * n * y) AS b0, sum(xy - r.ratio / (1 + n * r.ratio) * x * y) AS b1,
+      sum(yy - r.ratio / (1 + n * r.ratio) * y * y) AS w FROM per, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (2.0::DOUBLE)) r(ratio) GROUP BY 1),
+    s AS (SELECT *, (a11 * b0 - a01 * b1) / (a00 * a11 - a01 * a01) AS c0, (a00 * b1 - a01 * b0) / (a00 * a11 - a01 * a01) AS c1 FROM g),
+    t AS (SELECT *, (w - b0 * c0 - b1 * c1) / nn AS s2 FROM s),
+    d AS (SELECT *, ld + nn * (ln(s2) + 1 + ln(2 * pi())) AS dev FROM t)
+    SELECT ratio, 'intercept' AS term, {sql6('c0', 5)} AS coef, {sql6('s2', 3)} AS sigma2, {sql6('dev', 4)} AS deviance FROM d
+    UNION ALL SELECT ratio, 'status', {sql6('c1', 5)}, {sql6('s2', 3)}, {sql6('dev', 4)} FROM d""",
+)
+def lme_profile(spark, sf):
+    """Coefficients and deviance along the variance ratio, the function the fit minimises."""
+    spec = M.Spec("price", F.col("y"), {"status": F.col("flag")}, "status")
+    out = M.gls_at(spark, _simple_visits(spark, sf), "id", spec, [0.0, 0.25, 2.0])
+    return out.select("ratio", "term", r6("coef", 5).alias("coef"), r6("sigma2", 3).alias("sigma2"), r6("deviance", 4).alias("deviance"))
+
+
 @query("lme_fit")
 def lme_fit(spark, sf):
     return M.fit_models(spark, _simple_visits(spark, sf), "id", [_simple_spec()])
