@@ -64,12 +64,13 @@ def signal_moments(series: DataFrame, keys: Sequence[str] = KEYS, signal: str =
     )
 
 
-def _co_moments(x: np.ndarray) -> tuple[list, list, list, float]:
-    """Mean, centred cross products, sum of |z|^2 z and sum of |z|^4 of one block of frames."""
+def _co_moments(x: np.ndarray) -> tuple:
+    """Of one block of frames: mean, cross products above the diagonal, squares, sum of |z|^2 z, sum of |z|^4."""
     mean = x.mean(axis=0)
     z = x - mean
     sq = np.einsum("ij,ij->i", z, z)
-    return mean, z.T @ z, sq @ z, float(sq @ sq)
+    cross = z.T @ z
+    return mean, cross[np.triu_indices(len(mean), k=1)], np.diag(cross), sq @ z, float(sq @ sq)
 
 
 def _signals(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -80,15 +81,14 @@ def _signals(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def _moment_schema(series: DataFrame, keys: Sequence[str]) -> T.StructType:
     numbers = T.ArrayType(T.DoubleType())
     fields = [T.StructField(k, series.schema[k].dataType) for k in keys]
-    fields += [T.StructField("n_k", T.LongType()), T.StructField("mean_k", numbers),
-               T.StructField("cross_k", numbers), T.StructField("skew_k", numbers),
-               T.StructField("quart_k", T.DoubleType())]
+    fields += [T.StructField("n_k", T.LongType())]
+    fields += [T.StructField(c, numbers) for c in ("mean_k", "cross_k", "square_k", "skew_k")]
+    fields += [T.StructField("quart_k", T.DoubleType())]
     return T.StructType(fields)
 
 
 def _moment_row(x: np.ndarray, key: Sequence) -> list:
-    mean, cross, skew, quart = _co_moments(x)
-    return [*key, len(x), mean, cross.ravel(), skew, quart]
+    return [*key, len(x), *_co_moments(x)]
 
 
 def _moment_table(rows: list[list], names: Sequence[str], types: Sequence[pa.DataType]) -> pa.Table:
@@ -143,52 +143,42 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def pair_covariances(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal",
                      frame: str = "frame", clustered: bool = False, fourth: bool = False) -> DataFrame:
-    """Population covariance of every region pair: ``(keys..., i, j, n, cov, var_i, var_j)``.
+    """Population covariance of every region pair: ``(keys..., i, j, n, cov, var_i, var_j[, fourth])``.
 
     Block co-moments are re-centred on the key's own means (so no precision is
-    lost to large signal offsets), spread to one row per pair and summed by
-    Spark, which combines them map-side.  With ``fourth=True`` the row
-    ``i = j = -1`` carries the mean of |z|^4, needed by the shrinkage estimate.
+    lost to large signal offsets), spread to one row per pair by a generator and
+    summed with map-side combining, all in generated code.  ``fourth`` summed
+    over a key's pairs is the mean of |z|^4, needed by the shrinkage estimate.
     """
     moments = signal_moments(series, keys, signal)
     blocks = block_moments(series, keys, signal, frame, clustered).join(moments, list(keys))
-    doubles = ("c", "vi", "vj")
-    out_schema = T.StructType(
-        [T.StructField(k, series.schema[k].dataType) for k in keys]
-        + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("n", T.LongType())]
-        + [T.StructField(c, T.DoubleType()) for c in doubles]
-    )
-    target = _arrow_schema(out_schema)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = {name: batch.column(name)[row] for name in batch.schema.names}
-                mean, var = (get[c].values.to_numpy(zero_copy_only=False) for c in ("mean", "var"))
-                n, n_k, p = get["n"].as_py(), get["n_k"].as_py(), len(mean)
-                d = get["mean_k"].values.to_numpy(zero_copy_only=False) - mean
-                cross = get["cross_k"].values.to_numpy(zero_copy_only=False).reshape(p, p)
-                i, j = np.triu_indices(p, k=1)
-                c, vi, vj = (cross[i, j] + n_k * d[i] * d[j]) / n, var[i], var[j]
-                if fourth:
-                    skew = get["skew_k"].values.to_numpy(zero_copy_only=False)
-                    dd = float(d @ d)
-                    q = (get["quart_k"].as_py() + 4 * float(d @ skew) + 4 * float(d @ cross @ d)
-                         + 2 * dd * float(np.trace(cross)) + n_k * dd * dd) / n
-                    i, j, c = np.append(i, -1), np.append(j, -1), np.append(c, q)
-                    vi, vj = np.append(vi, 0.0), np.append(vj, 0.0)
-                size = len(i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([get[k].as_py()] * size, type=target.field(k).type) for k in keys]
-                    + [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(np.full(size, n), pa.int64())]
-                    + [pa.array(v) for v in (c, vi, vj)],
-                    schema=target,
-                )
-
+    centred = blocks.withColumn("d", F.zip_with("mean_k", "mean", lambda a, b: a - b))
+    extra = []
+    if fourth:
+        # |z|^4 of the block about the key's mean; its cross terms are added pair by pair below
+        def total(e: Column) -> Column:
+            return F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
+
+        dd = total(F.transform("d", lambda v: v * v))
+        centred = centred.withColumn("quart", F.col("quart_k") + 4 * total(F.zip_with("d", "skew_k", lambda a, b: a * b))
+                                     + 4 * total(F.zip_with("d", "square_k", lambda a, b: a * a * b))
+                                     + 2 * dd * total(F.col("square_k")) + F.col("n_k") * dd * dd)
+        extra = ["quart"]
+    spread = centred.select(*keys, "n", "n_k", "d", "var", *extra, F.posexplode("cross_k").alias("pos", "c"))
+    # row-major position above the diagonal -> (i, j)
+    odd = 2 * F.size("var") - 1
+    i = F.floor((odd - F.sqrt((odd * odd - 8 * F.col("pos")).cast("double"))) / 2).cast("int")
+    j = F.col("pos") - (F.col("i") * (odd - F.col("i")) / 2).cast("int") + F.col("i") + 1
+    shift = F.get("d", F.col("i")) * F.get("d", F.col("j"))
+    sums = [F.sum((F.col("c") + F.col("n_k") * shift) / F.col("n")).alias("cov")]
+    if fourth:
+        first = F.when(F.col("pos") == 0, F.col("quart")).otherwise(0.0)
+        sums.append(F.sum((first + 8 * shift * F.col("c")) / F.col("n")).alias("fourth"))
     return (
-        blocks.mapInArrow(spread, out_schema)
+        spread.withColumn("i", i).withColumn("j", j.cast("int"))
         .groupBy(*keys, "i", "j")
-        .agg(F.max("n").alias("n"), F.sum("c").alias("cov"), F.max("vi").alias("var_i"), F.max("vj").alias("var_j"))
+        .agg(F.max("n").alias("n"), F.max(F.get("var", F.col("i"))).alias("var_i"),
+             F.max(F.get("var", F.col("j"))).alias("var_j"), *sums)
     )
 
 
@@ -220,10 +210,9 @@ def functional_edges_shrunk(series: DataFrame, keys: Sequence[str] = KEYS, signa
     """
     keys = list(keys)
     own = Window.partitionBy(*keys)
-    real = F.col("i") >= 0
 
     def over_pairs(e: Column) -> Column:
-        return F.sum(F.when(real, e).otherwise(0.0)).over(own)
+        return F.sum(e).over(own)
 
     pairs = pair_covariances(series, keys, signal, frame, clustered, fourth=True).select(
         "*",
@@ -231,7 +220,7 @@ def functional_edges_shrunk(series: DataFrame, keys: Sequence[str] = KEYS, signa
         over_pairs(F.col("var_i") + F.col("var_j")).alias("sum_var"),
         over_pairs(F.col("var_i") * F.col("var_i") + F.col("var_j") * F.col("var_j")).alias("sum_var2"),
         over_pairs(2 * F.col("cov") * F.col("cov")).alias("off2"),
-        F.max(F.when(~real, F.col("cov"))).over(own).alias("q"),
+        over_pairs(F.col("fourth")).alias("q"),
     )
     # every region is in p - 1 of the m = p(p-1)/2 pairs
     p, others = F.col("p"), F.col("p") - 1
@@ -249,7 +238,7 @@ def functional_edges_shrunk(series: DataFrame, keys: Sequence[str] = KEYS, signa
 
     r = F.try_divide(keep * F.col("cov"), F.sqrt(shrunk("var_i") * shrunk("var_j")))
     return (
-        fitted.where(real).select(*keys, "i", "j", "rho", r.alias("r"))
+        fitted.select(*keys, "i", "j", "rho", r.alias("r"))
         .withColumn("z", fisher_z(F.col("r")))
     )
 
