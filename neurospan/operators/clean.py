@@ -61,7 +61,10 @@ def long_enough_followup(df: DataFrame, age1: str, age2: str, years: float = 1.5
 
 def blank_listed(df: DataFrame, uid: str, rules: Mapping[str, Sequence]) -> DataFrame:
     """NULL a column for the listed ids: ``{column: ids}``."""
-    blanked = {c: F.when(~F.col(uid).isin(list(ids)), F.col(c)) for c, ids in rules.items() if ids}
+    def listed(ids: Sequence) -> Column:
+        return F.coalesce(F.col(uid).isin(list(ids)), F.lit(False))
+
+    blanked = {c: F.when(~listed(ids), F.col(c)) for c, ids in rules.items() if ids}
     return df.withColumns(blanked)
 
 

@@ -206,7 +206,7 @@ def figure_source_features(spark, sf):
     price = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_retailprice") * 7) % 13 - 5).alias("imp"))
     rows = R.describe_features(_feature_names(spark, sf).join(price, "id"), slope_model=True)
     best = rows.where("imp > 0").orderBy(F.col("imp").desc(), "feature", "id").limit(20)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("imp").desc(), "feature", "id")))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("imp").desc(), "feature", "id")).cast("bigint"))
     return ranked.select(
         "rank", "feature", "label", C.recode("feature_type", {"slope": "Annual change", "baseline": "Baseline"}).alias("kind_text"),
         C.feature_region("feature").alias("region"), r6("imp").alias("importance"),

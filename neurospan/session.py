@@ -43,7 +43,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode
     session without that setting falls back to the machine's temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")

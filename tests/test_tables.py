@@ -137,6 +137,41 @@ def test_matrix_text_bad_values(spark):
     assert sorted(r["reason"] for r in bad.collect()) == ["not_finite", "wrong_width"]
 
 
+def test_side_files_and_sheets(spark):
+    folder = scratch_dir(spark, "t-side")
+    for who, n in (("sub-1", 3), ("sub-2", 5)):
+        spark.createDataFrame([(n, 100)], "NumFramesScrubbed int, TotalFrames int").coalesce(1).write.json(f"{folder}/{who}_ses-01")
+    side = scans.json_side_files(spark, f"{folder}/*/*.json", {"NumFramesScrubbed": "int", "TotalFrames": "int"})
+    assert sorted(tuple(r) for r in side.collect()) == [("1", "ses-01", 3, 100), ("2", "ses-01", 5, 100)]
+
+    sheets = scratch_dir(spark, "t-sheets")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, rows in (("60-64", ["1,a"]), ("65–69", ["2,b", "x,c"])):
+        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sheets}/{name}.csv"))
+        out.write(("k,v\n" + "\n".join(rows) + "\n").encode())
+        out.close()
+    got = scans.sheet_tables(spark, sheets, "k int, v string").collect()
+    assert sorted((r["sheet"], r["v"]) for r in got) == [("60-64", "a"), ("65–69", "b"), ("65–69", "c")]
+    assert {r["v"]: r["k"] for r in got} == {"a": 1, "b": 2, "c": None}
+
+
+def test_export_keeps_the_row_order(spark):
+    path = scratch_dir(spark, "t-export")
+    df = spark.createDataFrame([(k, f"row {k}") for k in (3, 1, 2)], "row_no int, text string")
+    sinks.export_csv(df, path, "row_no")
+    assert [r["text"] for r in spark.read.csv(path, header=True).collect()] == ["row 1", "row 2", "row 3"]
+
+
+def test_scratch_uses_the_named_folder():
+    class Fake:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, *_):
+                return {"spark.checkpoint.dir": "hdfs://shared/ckpt/"}[key]
+
+    assert scratch_dir(Fake(), "x").startswith("hdfs://shared/ckpt/x-")
+
+
 def test_scratch_needs_a_shared_folder_off_local_mode(spark):
     class Conf:
         def get(self, *_):
@@ -148,5 +183,9 @@ def test_scratch_needs_a_shared_folder_off_local_mode(spark):
         class sparkContext:  # noqa: N801
             master = "yarn"
 
+            @staticmethod
+            def getConf():
+                return Conf()
+
     with pytest.raises(ValueError, match="shared"):
         scratch_dir(Fake(), "x")
