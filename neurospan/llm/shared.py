@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Store the rows in the session's checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests, notebooks) one beside the session's tables."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
 
-    The cluster names the folder in ``spark.checkpoint.dir``; where that is unset (tests, notebooks) the folder
-    lies beside the session's own tables.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Store the rows in the shared checkpoint folder and go on from there; Spark removes them with the last reference."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = context.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet into the shared folder and read them back."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
