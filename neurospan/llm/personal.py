@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.shared import cut, text_key
+from neurospan.llm.shared import cut, free_name, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: A word is a risk if its information about an entity reaches this share of all there is to know; removed above the second.
@@ -198,11 +198,12 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
 
     Overlapping spans are replaced once, by what starts first (of equal starts, the longer one).
     """
+    name = free_name(docs.columns, "spans")
     spans = personal_spans(docs, **thresholds).select(
-        F.col("doc_id").alias("_of_id"), F.col("text_key").alias("_of_key"), F.concat("base", "terms").alias("_spans")
-    ).filter(F.size("_spans") > 0).dropDuplicates(["_of_id", "_of_key"])
-    met = docs["doc_id"].eqNullSafe(F.col("_of_id")) & (text_key() == F.col("_of_key"))
-    joined = docs.join(spans, met, "left").drop("_of_id", "_of_key")
+        F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), F.concat("base", "terms").alias(name)
+    ).filter(F.size(name) > 0).dropDuplicates(["of_id", "of_key"])
+    met = docs["doc_id"].eqNullSafe(spans["of_id"]) & (text_key() == spans["of_key"])
+    joined = docs.join(spans, met, "left").drop(spans["of_id"], spans["of_key"])
     at, marks = docs.columns.index("text"), {"general": "[TERM]", "remove": ""}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,14 +96,15 @@ def _mean_gradient(x: np.ndarray, w: np.ndarray, sign: int) -> tuple[float, np.n
 def estimate_prior(held_positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled scores: over all thresholds, the least ratio of the shares above it.
 
-    Each share gets a confidence margin, so thin tails do not win by chance.
+    Each share gets a confidence margin, so thin tails do not win by chance.  The lower end is returned: taking some
+    good text for bad lowers scores a little, taking bad text for good would excuse it.
     """
     cuts = np.quantile(held_positive, np.linspace(0.02, 0.98, 97))
     p = 1 - np.searchsorted(np.sort(held_positive), cuts, "left") / len(held_positive)
     u = 1 - np.searchsorted(np.sort(unlabelled), cuts, "left") / len(unlabelled)
     margin = np.sqrt(np.log(40) / 2) * (len(held_positive) ** -0.5 + len(unlabelled) ** -0.5)
     best = np.argmin((u + margin) / p)
-    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+    return float(np.clip((u[best] - margin) / p[best], 0.01, 0.99))
 
 
 def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, l2: float = 2e-4) -> QualityModel:
@@ -123,8 +124,8 @@ def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, l
         good = _mean_gradient(p, w, 1)[1]
         bad_u, bad_p = _mean_gradient(u, w, -1), _mean_gradient(p, w, -1)
         negative = bad_u[0] - prior * bad_p[0]
-        # below zero the negative part has been fitted too closely: step back on it alone
-        g = prior * good + bad_u[1] - prior * bad_p[1] if negative >= 0 else prior * bad_p[1] - bad_u[1]
+        # below zero the negative part has been fitted too closely and counts as zero
+        g = prior * good + (bad_u[1] - prior * bad_p[1] if negative > 0 else 0)
         return g + 2 * l2 * w
 
     w = _descend(risk, width, steps)
@@ -160,9 +161,11 @@ def fit(
 
 
 def score(docs: DataFrame, model: QualityModel, into: str = "score") -> DataFrame:
-    """All rows and columns of ``docs`` and the score of the whole text; a null text scores as an empty one."""
-    if into in docs.columns:
-        raise ValueError(f"column {into} exists already")
+    """All rows and columns of ``docs`` and the score of the whole text; a null text scores as an empty one.
+
+    A column that is called ``into`` already is replaced.
+    """
+    docs = docs.drop(into)
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ words already seen.  Models whose pieces reach across words are encoded as whole
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
@@ -31,6 +32,10 @@ MODEL_LIMIT_BYTES = 64 * 1024 * 1024
 SLICE_CHARS, MEMO_WORDS = 1 << 20, 500_000
 
 
+# every byte that is no part of a character is one replacement character
+codecs.register_error("sentencepiece", lambda e: ("\ufffd", e.start + 1))
+
+
 @dataclass(frozen=True)
 class Model:
     pieces: list[tuple[str, float, int]] = field(default_factory=list)
@@ -248,14 +253,11 @@ class Codec:
         strange = np.concatenate([[0], np.cumsum(odd)])
         out = []
         for a, b in zip(rows[:-1], rows[1:], strict=True):
-            try:
-                text = data[ends[a] : ends[b]].decode() if strange[a] == strange[b] else None
-            except UnicodeDecodeError:
-                text = None
-            if text is None:  # control or unknown pieces, bytes that are no characters
-                out.append(self.tokenizer.decode(flat[a:b].tolist(), skip_special_tokens=False))
-            else:
+            if strange[a] == strange[b]:
+                text = data[ends[a] : ends[b]].decode("utf-8", "sentencepiece")
                 out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+            else:  # control or unknown pieces
+                out.append(self.tokenizer.decode(flat[a:b].tolist(), skip_special_tokens=False))
         return pa.array(out, pa.string())
 
 
@@ -286,21 +288,19 @@ def codec(data: bytes, threads: int) -> Codec:
 
 
 def _added(df: DataFrame, keep: Sequence[str], name: str, kind: T.DataType) -> T.StructType:
-    if name in keep:
-        raise ValueError(f"column {name} exists already")
     return T.StructType([*[df.schema[c] for c in keep], T.StructField(name, kind)])
 
 
 def encode(
     df: DataFrame, model: bytes, text: str = "text", into: str = "ids", keep: Sequence[str] | None = None, threads: int = 2
 ) -> DataFrame:
-    """The columns ``keep`` (all by default) and the token ids of ``text`` as ``into``, a new name.
+    """The columns ``keep`` (all by default) and the token ids of ``text`` as ``into``; a column of that name is replaced.
 
     A null or empty text has no tokens.  Every row stays, repeated rows included.  Texts are encoded whole, however
     long; only words go to the library, so memory follows the text and not the library's record of each token.
     ``threads`` is the number of threads of the library in each worker.
     """
-    keep = list(df.columns if keep is None else keep)
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
     schema = _added(df, keep, into, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def decode(
     df: DataFrame, model: bytes, ids: str = "ids", into: str = "decoded", keep: Sequence[str] | None = None, threads: int = 2
 ) -> DataFrame:
     """The columns ``keep`` and the text of the token ids; null or no ids give an empty text.  Every row stays."""
-    keep = list(df.columns if keep is None else keep)
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
     schema = _added(df, keep, into, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

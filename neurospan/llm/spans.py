@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.shared import text_key
+from neurospan.llm.shared import free_name, text_key
 
 #: Sentences and words of a run, at least.  Twenty words in a row do not repeat by chance.
 LEAST_SENTENCES, LEAST_WORDS = 2, 20
@@ -106,16 +106,15 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
     """``docs`` with the covered sentences removed from ``text``, and ``removed``: their (start, end) in code points.
 
     Neighbouring covered sentences are one span.  A null text stays null; texts too short for a run stay as they are;
-    a text covered wholly becomes empty, its row stays.  Other columns stay; ``removed`` must be a new name.
+    a text covered wholly becomes empty, its row stays.  Other columns stay; one called ``removed`` is replaced.
     ``changed_only`` returns just the documents that lost something.
     """
-    if "removed" in docs.columns:
-        raise ValueError("column removed exists already")
+    docs = docs.drop("removed")
     places = repeated_places(docs, least_sentences, least_words).select(
-        F.col("doc_id").alias("_of_id"), F.col("text_key").alias("_of_key"), F.col("places").alias("_places")
+        F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), F.col("places").alias(free_name(docs.columns, "places"))
     )
-    met = docs["doc_id"].eqNullSafe(F.col("_of_id")) & (text_key() == F.col("_of_key"))
-    joined = docs.join(places, met, "inner" if changed_only else "left").drop("_of_id", "_of_key")
+    met = docs["doc_id"].eqNullSafe(places["of_id"]) & (text_key() == places["of_key"])
+    joined = docs.join(places, met, "inner" if changed_only else "left").drop(places["of_id"], places["of_key"])
     at = docs.columns.index("text")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     arrow_span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -54,22 +54,24 @@ def _bucket(word: str) -> int:
 class ToxicityModel:
     bias: float = -20.0
     weights: dict[int, float] = field(default_factory=dict)
+    named: frozenset[str] = frozenset()
 
 
-def _parts(word: str) -> list[int]:
-    """Feature numbers of a word: itself and its beginnings."""
-    return [_bucket(word), *[_bucket(word[:k] + "*") for k in BEGINNINGS if len(word) > k]]
+def _parts(word: str, named: frozenset[str]) -> list[int]:
+    """Feature numbers of a word: itself and its beginnings; of a group's name only the name, as the swaps tie that."""
+    beginnings = () if word in named else BEGINNINGS
+    return [_bucket(word), *[_bucket(word[:k] + "*") for k in beginnings if len(word) > k]]
 
 
 class _Known(dict):
     """Features with a weight of each word met so far; a worker remembers a bounded number of words."""
 
-    def __init__(self, weights: dict[int, float], limit: int = 300_000):
+    def __init__(self, model: ToxicityModel, limit: int = 300_000):
         super().__init__()
-        self.weights, self.limit = weights, limit
+        self.weights, self.named, self.limit = model.weights, model.named, limit
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        value = tuple(f for f in _parts(word) if f in self.weights)
+        value = tuple(f for f in _parts(word, self.named) if f in self.weights)
         if len(self) < self.limit:
             self[word] = value
         return value
@@ -83,13 +85,17 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
+def _named(terms: Sequence[Sequence[str]]) -> frozenset[str]:
+    return frozenset(w for group in terms for w in group)
+
+
 def _features(terms: Sequence[Sequence[str]]):
-    named = {w for group in terms for w in group}
+    named = _named(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.lower() for t in batch.column(0).to_pylist()]
-            words = pa.array([sorted({f for w in set(_WORDS(t)) for f in _parts(w)}) for t in texts], pa.list_(pa.int32()))
+            words = pa.array([sorted({f for w in set(_WORDS(t)) for f in _parts(w, named)}) for t in texts], pa.list_(pa.int32()))
             swaps = [[sorted(named.intersection(_WORDS(s))) for s in _SENTENCES(t)] if named.intersection(_WORDS(t)) else [] for t in texts]
             swaps = pa.array([[x for x in s if x] for s in swaps], pa.list_(pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays([batch.column(1), words, swaps], names=["toxic", "words", "named"])
@@ -183,17 +189,19 @@ def fit(
     weight = np.array([totals[int(v)] / n[int(v)] for v in y])
     swaps = (np.searchsorted(used, pair_ids[:, 0]), np.searchsorted(used, pair_ids[:, 1]), np.array(list(pairs.values()), float))
     w, bias = _minimise(starts, at[good], len(used), y, weight, swaps, l1, swap_weight, steps)
-    return ToxicityModel(float(bias), {int(k): float(v) for k, v in zip(used, w, strict=True) if v})
+    return ToxicityModel(float(bias), {int(k): float(v) for k, v in zip(used, w, strict=True) if v}, _named(terms))
 
 
 def score(docs: DataFrame, model: ToxicityModel, into: str = "score") -> DataFrame:
-    """All rows and columns of ``docs`` and the score of the whole text; a null text scores as an empty one."""
-    if into in docs.columns:
-        raise ValueError(f"column {into} exists already")
+    """All rows and columns of ``docs`` and the score of the whole text; a null text scores as an empty one.
+
+    A column that is called ``into`` already is replaced.
+    """
+    docs = docs.drop(into)
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(model.weights)
+        known = _Known(model)
         for batch in batches:
             sums = [known.total(t or "") for t in batch.column(text).to_pylist()]
             found = pa.array(_logistic(np.array(sums, float) + model.bias), pa.float64())
