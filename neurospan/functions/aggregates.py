@@ -9,16 +9,18 @@ from neurospan.functions.columns import as_col
 
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:
-    """Pearson r; NULL below two pairs or with a constant side (``corr`` raises there under ANSI)."""
+    """Pearson r; NULL below two pairs, with a constant side (``corr`` raises there under ANSI) or an infinite value."""
     both = as_col(x).isNotNull() & as_col(y).isNotNull()
     a, b = F.when(both, as_col(x)), F.when(both, as_col(y))
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(~F.isnan(r), r)
 
 
 def weighted_mean(value: Column | str, weight: Column | str, where: Column | None = None) -> Column:
-    """Sum(v*w)/sum(w) over non-NULL values; NULL when the weights sum to zero."""
+    """Sum(v*w)/sum(w) over known values (neither NULL nor NaN); NULL when the weights sum to zero."""
     v, w = as_col(value), as_col(weight)
-    keep = v.isNotNull() if where is None else v.isNotNull() & where
+    known = v.isNotNull() & ~F.isnan(v.cast("double"))
+    keep = known if where is None else known & where
     return F.try_divide(F.sum(F.when(keep, v * w)), F.sum(F.when(keep, w)))
 
 

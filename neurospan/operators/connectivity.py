@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from neurospan.functions.aggregates import safe_corr
 from neurospan.functions.columns import edge_ends
+from neurospan.operators.quality import finite_array
 
 KEYS = ("subject_id", "ses")
 
@@ -45,22 +46,36 @@ def incomplete_series(means: DataFrame, n_labels: int, keys: Sequence[str] = KEY
     )
 
 
-def signal_moments(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal") -> DataFrame:
-    """Per key: frame count and the mean and (population) variance of every region.
+def signal_moments(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per key, from its block rows: frame count and the mean of every region.
 
-    Aggregates per (key, region) with map-side partials; only p values per key
-    are then gathered into arrays.
+    A key holding a frame that cannot be used, or frames of different widths, is left out (``unusable_signals`` lists
+    it).  One row per (block, region) is summed with map-side partials; only p values per key become an array.
     """
     per_region = (
-        series.select(*keys, F.posexplode(signal).alias("pos", "v"))
+        blocks.select(*keys, "n_k", F.posexplode_outer("mean_k").alias("pos", "m"))
         .groupBy(*keys, "pos")
-        .agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+        .agg(F.sum("n_k").alias("n"), (F.sum(F.col("n_k") * F.col("m")) / F.sum("n_k")).alias("mean"))
     )
-    packed = F.array_sort(F.collect_list(F.struct("pos", "mean", "var")))
+    usable = ~F.bool_or(F.col("pos").isNull()) & (F.min("n") == F.max("n"))
     return (
         per_region.groupBy(*keys)
-        .agg(F.max("n").alias("n"), packed.alias("r"))
-        .select(*keys, "n", F.col("r.mean").alias("mean"), F.col("r.var").alias("var"))
+        .agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("r"), usable.alias("usable"))
+        .where("usable").select(*keys, "n", F.col("r.mean").alias("mean"))
+    )
+
+
+def unusable_signals(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal") -> DataFrame:
+    """Keys that connectivity leaves out, with the number of their frames and of the unusable ones.
+
+    A frame is unusable if it is NULL or empty or holds a NULL or non-finite value; a key also if its frames differ in width.
+    """
+    bad = F.col(signal).isNull() | (F.size(signal) == 0) | ~finite_array(signal)
+    width = F.when(~bad, F.size(signal))
+    return (
+        series.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n_frames"), F.count_if(bad).alias("n_bad"), F.min(width).alias("min_width"), F.max(width).alias("max_width"))
+        .where((F.col("n_bad") > 0) | (F.col("min_width") != F.col("max_width")))
     )
 
 
@@ -73,9 +88,15 @@ def _co_moments(x: np.ndarray) -> tuple:
     return mean, cross[np.triu_indices(len(mean), k=1)], np.diag(cross), sq @ z, float(sq @ sq)
 
 
-def _signals(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _signals(column: pa.ChunkedArray | pa.Array) -> np.ndarray | None:
+    """Frames as a matrix; None if one is missing, of another width, or holds an unknown or non-finite value."""
     merged = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return merged.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(merged), -1)
+    values = merged.flatten()
+    widths = merged.value_lengths().to_numpy(zero_copy_only=False)
+    if merged.null_count or values.null_count or not len(values) or (widths != widths[0]).any():
+        return None
+    x = values.to_numpy(zero_copy_only=False).astype("float64").reshape(len(merged), -1)
+    return x if np.isfinite(x).all() else None
 
 
 def _moment_schema(series: DataFrame, keys: Sequence[str]) -> T.StructType:
@@ -87,8 +108,10 @@ def _moment_schema(series: DataFrame, keys: Sequence[str]) -> T.StructType:
     return T.StructType(fields)
 
 
-def _moment_row(x: np.ndarray, key: Sequence) -> list:
-    return [*key, len(x), *_co_moments(x)]
+def _moment_row(frames: pa.ChunkedArray | pa.Array, key: Sequence) -> list:
+    """An unusable block has no moments, which takes its key out of the result."""
+    x = _signals(frames)
+    return [*key, len(frames), *([None] * 5 if x is None else _co_moments(x))]
 
 
 def _moment_table(rows: list[list], names: Sequence[str], types: Sequence[pa.DataType]) -> pa.Table:
@@ -115,7 +138,7 @@ def block_moments(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "
             for batch in batches:
                 frame_keys = batch.select(list(keys)).to_pandas()
                 rows = [
-                    _moment_row(_signals(batch.column(signal).take(pa.array(idx))),
+                    _moment_row(batch.column(signal).take(pa.array(idx)),
                                 key if isinstance(key, tuple) else (key,))
                     for key, idx in frame_keys.groupby(list(keys), sort=False, dropna=False).indices.items()
                 ]
@@ -126,7 +149,7 @@ def block_moments(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "
 
     def per_block(key: tuple, block: pa.Table) -> pa.Table:
         values = [k.as_py() for k in key[: len(keys)]]
-        return _moment_table([_moment_row(_signals(block.column(signal)), values)], names, arrow)
+        return _moment_table([_moment_row(block.column(signal), values)], names, arrow)
 
     return (
         series.select(*keys, F.floor(F.col(frame) / FRAME_BLOCK).alias("block"), signal)
@@ -145,14 +168,15 @@ def pair_covariances(series: DataFrame, keys: Sequence[str] = KEYS, signal: str
                      frame: str = "frame", clustered: bool = False, fourth: bool = False) -> DataFrame:
     """Population covariance of every region pair: ``(keys..., i, j, n, cov, var_i, var_j[, fourth])``.
 
+    Keys with unusable frames (see ``unusable_signals``) give no rows.
     Block co-moments are re-centred on the key's own means (so no precision is
     lost to large signal offsets), spread to one row per pair by a generator and
     summed with map-side combining, all in generated code.  ``fourth`` summed
     over a key's pairs is the mean of |z|^4, needed by the shrinkage estimate.
     """
-    moments = signal_moments(series, keys, signal)
-    blocks = block_moments(series, keys, signal, frame, clustered).join(moments, list(keys))
-    centred = blocks.withColumn("d", F.zip_with("mean_k", "mean", lambda a, b: a - b))
+    blocks = block_moments(series, keys, signal, frame, clustered)
+    met = blocks.join(signal_moments(blocks, keys), list(keys))  # the frames are read and dealt once for both
+    centred = met.withColumn("d", F.zip_with("mean_k", "mean", lambda a, b: a - b))
     extra = []
     if fourth:
         # |z|^4 of the block about the key's mean; its cross terms are added pair by pair below
@@ -164,9 +188,9 @@ def pair_covariances(series: DataFrame, keys: Sequence[str] = KEYS, signal: str
                                      + 4 * total(F.zip_with("d", "square_k", lambda a, b: a * a * b))
                                      + 2 * dd * total(F.col("square_k")) + F.col("n_k") * dd * dd)
         extra = ["quart"]
-    spread = centred.select(*keys, "n", "n_k", "d", "var", *extra, F.posexplode("cross_k").alias("pos", "c"))
+    spread = centred.select(*keys, "n", "n_k", "d", "square_k", *extra, F.posexplode("cross_k").alias("pos", "c"))
     # row-major position above the diagonal -> (i, j)
-    odd = 2 * F.size("var") - 1
+    odd = 2 * F.size("d") - 1
     i = F.floor((odd - F.sqrt((odd * odd - 8 * F.col("pos")).cast("double"))) / 2).cast("int")
     j = F.col("pos") - (F.col("i") * (odd - F.col("i")) / 2).cast("int") + F.col("i") + 1
     shift = F.get("d", F.col("i")) * F.get("d", F.col("j"))
@@ -174,11 +198,15 @@ def pair_covariances(series: DataFrame, keys: Sequence[str] = KEYS, signal: str
     if fourth:
         first = F.when(F.col("pos") == 0, F.col("quart")).otherwise(0.0)
         sums.append(F.sum((first + 8 * shift * F.col("c")) / F.col("n")).alias("fourth"))
+
+    def variance(end: str) -> Column:
+        off = F.get("d", F.col(end))
+        return F.sum((F.get("square_k", F.col(end)) + F.col("n_k") * off * off) / F.col("n")).alias(f"var_{end}")
+
     return (
         spread.withColumn("i", i).withColumn("j", j.cast("int"))
         .groupBy(*keys, "i", "j")
-        .agg(F.max("n").alias("n"), F.max(F.get("var", F.col("i"))).alias("var_i"),
-             F.max(F.get("var", F.col("j"))).alias("var_j"), *sums)
+        .agg(F.max("n").alias("n"), variance("i"), variance("j"), *sums)
     )
 
 
@@ -243,31 +271,6 @@ def functional_edges_shrunk(series: DataFrame, keys: Sequence[str] = KEYS, signa
     )
 
 
-def functional_edges_in_row(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal") -> DataFrame:
-    """Same correlations without Python: every frame emits its pairs and Spark aggregates them.
-
-    Costs frames x p(p-1)/2 rows, so it is the cross-check and the choice for few regions.
-    """
-    # Plain posexplode twice would join; emit the pairs from inside the row instead.
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.size(signal) - 2),
-            lambda a: F.transform(
-                F.sequence(a + 1, F.size(signal) - 1),
-                lambda b: F.struct(
-                    a.alias("i"), b.alias("j"), F.get(signal, a).alias("x"), F.get(signal, b).alias("y")
-                ),
-            ),
-        )
-    )
-    return (
-        series.select(*keys, F.inline(pairs))
-        .groupBy(*keys, "i", "j")
-        .agg(unit(safe_corr("x", "y")).alias("r"))
-        .withColumn("z", fisher_z(F.col("r")))
-    )
-
-
 def regions_subset(series: DataFrame, subsets: Mapping[str, Sequence[int]], keys: Sequence[str] = KEYS,
                    signal: str = "signal", frame: str = "frame") -> DataFrame:
     """One series per named subset of region positions (network, all subcortical, bilateral pair).
@@ -287,10 +290,15 @@ def regions_subset(series: DataFrame, subsets: Mapping[str, Sequence[int]], keys
 
 
 def edges_within(edges: DataFrame, region_group: DataFrame, group: str = "network") -> DataFrame:
-    """Keep edges whose two ends share ``group``; ``region_group`` is (roi, group), one row per region."""
-    a = region_group.select(F.col("roi").alias("i"), F.col(group).alias(group))
-    b = region_group.select(F.col("roi").alias("j"), F.col(group).alias("_other"))
-    return edges.join(a, "i").join(b, "j").where(F.col(group) == F.col("_other")).drop("_other")
+    """Keep edges whose two ends share ``group``; ``region_group`` is (roi, group), one row per region.
+
+    The groups are an atlas' worth, so they travel as one map and the edges are not shuffled.
+    """
+    entries = F.collect_list(F.when(F.col(group).isNotNull(), F.struct("roi", group)))
+    packed = region_group.select("roi", group).distinct().agg(F.map_from_entries(entries)).scalar()
+    named = edges.withColumn("_groups", packed)
+    ends = [F.try_element_at("_groups", F.col(e)) for e in ("i", "j")]
+    return named.withColumn(group, ends[0]).where(ends[0] == ends[1]).drop("_groups")
 
 
 # --- structural connectivity ----------------------------------------------------------
@@ -383,17 +391,23 @@ def coupling(structural: DataFrame, functional: DataFrame, keys: Sequence[str] =
 
 
 def node_strength(edges: DataFrame, regions: DataFrame, keys: Sequence[str] = KEYS,
-                  value: str = "weight") -> DataFrame:
+                  value: str = "weight", subjects: DataFrame | None = None) -> DataFrame:
     """Row mean without the diagonal; edges absent from the table count as zero.
 
-    Zeros never need to be materialised: the mean is sum / (regions - 1).
+    Zeros never need to be materialised: the mean is sum / (regions - 1).  ``subjects`` (one row per key) adds the keys
+    that have no edge at all, with zeros for every region.
     """
     listed = regions.agg(F.array_sort(F.collect_set("roi")).alias("o")).scalar()
     totals = mirror(edges, keys, (value,)).groupBy(*keys, "roi").agg(F.sum(value).alias("total"))
     # one entry per region, so the map is bounded by the atlas
     per_key = totals.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("roi", "total"))).alias("m")
-    ).withColumn("listed", listed)
+    )
+    if subjects is not None:
+        per_key = subjects.select(*keys).distinct().join(per_key, list(keys), "left").withColumn(
+            "m", F.coalesce("m", F.create_map().cast(per_key.schema["m"].dataType))
+        )
+    per_key = per_key.withColumn("listed", listed)
     return per_key.select(
         *keys, "m", (F.size("listed") - 1).cast("double").alias("others"), F.explode("listed").alias("roi")
     ).select(

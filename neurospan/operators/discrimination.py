@@ -33,7 +33,7 @@ def auc(df: DataFrame, y: str = "y", score: str = "score", keys: Sequence[str] =
         _score_table(df, y, score, keys).groupBy(*keys)
         .agg(F.sum(F.col("n1") * below).alias("wins"), F.sum("n1").alias("n_pos"), F.sum("n0").alias("n_neg"))
         .select(*keys, "n_pos", "n_neg",
-                F.try_divide(F.col("wins"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
+                F.try_divide(F.col("wins"), F.col("n_pos").cast("double") * F.col("n_neg").cast("double")).alias("auc"))
     )
 
 

@@ -32,7 +32,14 @@ def missing_weights(weighted: DataFrame) -> DataFrame:
 
 def weighted_rollup(weighted: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
                     prefix: str = "sfc") -> DataFrame:
-    """Global, domain and network weighted means in one aggregation pass."""
+    """Global, domain and network weighted means in one aggregation pass.
+
+    A region with a known value and no weight is an error: dropping it would shift every mean without a word.
+    """
+    lost = F.col(value).isNotNull() & F.col("weight").isNull()
+    message = F.concat(F.lit("no weight for region "), F.col("roi").cast("string"))
+    checked = F.when(lost, F.raise_error(message).cast("double")).otherwise(F.col("weight"))
+    weighted = weighted.withColumn("weight", checked)
     named = weighted.withColumn("_domain", C.domain("roi")).withColumn(
         "_network", F.when(~C.is_subcortical("roi"), C.network("roi"))
     )

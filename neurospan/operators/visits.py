@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neurospan.functions import columns as C
+from neurospan.functions.aggregates import set_hash
 
 
 def to_long(df: DataFrame, uid: str = "id", fixed: Sequence[str] = (), visits: Sequence[int] = (1, 2)) -> DataFrame:
@@ -63,10 +64,15 @@ def first_and_last(events: DataFrame, uid: str, order: Sequence[str], values: Se
 
 def slopes_between(values: DataFrame, ages: DataFrame, uid: str, keys: Sequence[str], value: str,
                    first: str, second: str) -> DataFrame:
-    """Annual change of long per-session values: (uid, keys..., value_1, value_2, slope)."""
+    """Annual change of long per-session values: (uid, keys..., value_1, value_2, has_1, has_2, slope).
+
+    ``has_1`` and ``has_2`` tell whether the visit has a row at all, whatever its value.
+    """
     both = values.groupBy(uid, *keys).agg(
         F.max(F.when(F.col("ses") == first, F.col(value))).alias("value_1"),
         F.max(F.when(F.col("ses") == second, F.col(value))).alias("value_2"),
+        F.bool_or(F.col("ses") == first).alias("has_1"),
+        F.bool_or(F.col("ses") == second).alias("has_2"),
     )
     return both.join(ages, uid).withColumn("slope", C.annual_change("value_1", "value_2", "age_1", "age_2"))
 
@@ -77,17 +83,24 @@ def assemble_features(regions: DataFrame, demographics: DataFrame, uid: str = "s
                       first: str = "ses-01", second: str = "ses-02") -> DataFrame:
     """(uid, y, x): region values in region order, optional slopes, then covariates.
 
-    Both sessions must be present for a subject; rows with any unknown value drop.
-    The per-subject array holds one element per region, so it is bounded by the atlas.
+    A subject needs rows of both sessions; a row drops only for an unknown value among those in use, so a value missing
+    at the second visit does not matter to the baseline model.  Subjects whose region set differs from the others' are
+    an error, as their values could not stand in the same columns.  The per-subject array holds one element per region,
+    so it is bounded by the atlas.
     """
     ages = demographics.select(uid, "age_1", "age_2")
-    per_roi = slopes_between(regions, ages, uid, [roi], value, first, second).where(
-        F.col("value_1").isNotNull() & F.col("value_2").isNotNull()
-    )
+    per_roi = slopes_between(regions, ages, uid, [roi], value, first, second)
+    unknown = F.lit(float("nan"))
+    cell = F.struct(roi, F.coalesce("value_1", unknown).alias("value_1"), F.coalesce("slope", unknown).alias("slope"))
     packed = per_roi.groupBy(uid).agg(
-        F.array_sort(F.collect_list(F.struct(roi, "value_1", F.coalesce("slope", F.lit(float("nan"))).alias("slope"))))
-        .alias("cells")
-    )
+        F.array_sort(F.collect_list(cell)).alias("cells"),
+        F.bool_or("has_1").alias("any_1"), F.bool_or("has_2").alias("any_2"),
+        set_hash(roi).alias("roi_hash"),
+    ).where("any_1 AND any_2")
+    agreed = packed.agg((F.count_distinct("roi_hash") <= 1).alias("agreed")).scalar()
+    checked = packed.withColumn("cells", F.when(agreed, F.col("cells")).otherwise(
+        F.raise_error(F.lit("subjects differ in their regions")).cast(packed.schema["cells"].dataType)
+    ))
     parts = [F.col("cells.value_1")] + ([F.col("cells.slope")] if with_slope else [])
     people = demographics.select(
         uid, F.col(label).alias("y"),
@@ -95,7 +108,6 @@ def assemble_features(regions: DataFrame, demographics: DataFrame, uid: str = "s
             (C.recode("sex", {"male": 1.0, "female": 0.0}) if c == "sex" else F.col(c).cast("double")) for c in covariates
         ]).alias("cov"),
     )
-    rows = packed.join(people, uid).select(uid, "y", F.size("cells").alias("n_regions"), F.concat(*parts, "cov").alias("x"))
+    rows = checked.join(people, uid).select(uid, "y", F.concat(*parts, "cov").alias("x"))
     good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))
-    n_regions = regions.agg(F.count_distinct(roi)).scalar()
-    return rows.where(F.col("y").isNotNull() & good & (F.col("n_regions") == n_regions)).drop("n_regions")
+    return rows.where(F.col("y").isNotNull() & good)

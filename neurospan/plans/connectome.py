@@ -14,7 +14,8 @@ from neurospan.session import table
 
 
 def _fc(spark: SparkSession, sf: str) -> DataFrame:
-    return N.functional_edges(I.series(spark, sf))
+    """Connectivity that everything downstream uses: from the shrunk covariance."""
+    return N.functional_edges_shrunk(I.series(spark, sf))
 
 
 def _sc(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,39 +27,46 @@ def _sfc(spark: SparkSession, sf: str) -> DataFrame:
     return N.coupling(_sc(spark, sf), _fc(spark, sf))
 
 
-@query("fc_edges", f"WITH {I.FC_SQL} SELECT subject_id, ses, i, j, {sql6('r')} AS r, {sql6('z')} AS z FROM fc")
+@query("fc_edges", f"WITH {I.PLAIN_FC_SQL} SELECT subject_id, ses, i, j, {sql6('r')} AS r, {sql6('z')} AS z FROM fc")
 def fc_edges(spark, sf):
-    return _fc(spark, sf).select("subject_id", "ses", "i", "j", r6("r").alias("r"), r6("z").alias("z"))
-
-
-@query("fc_edges_in_row", f"WITH {I.FC_SQL} SELECT subject_id, ses, i, j, {sql6('r')} AS r FROM fc")
-def fc_edges_in_row(spark, sf):
-    return N.functional_edges_in_row(I.series(spark, sf)).select("subject_id", "ses", "i", "j", r6("r").alias("r"))
-
-
-def _shrink_sql(source: str, keys: str) -> str:
-    """Ledoit-Wolf in SQL over ``source`` (keys, frame, roi, v)."""
-    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
-    return f"""
-  centred AS (SELECT {keys}, frame, roi, v - avg(v) OVER (PARTITION BY {keys}, roi) AS x FROM {source}),
-  cov AS (SELECT {", ".join("a." + k for k in keys.split(", "))}, a.roi AS i, b.roi AS j, avg(a.x * b.x) AS s
-          FROM centred a JOIN centred b ON a.frame = b.frame AND {on} GROUP BY ALL),
-  quart AS (SELECT {keys}, avg(q * q) AS q, count(*) AS n
-            FROM (SELECT {keys}, frame, sum(x * x) AS q FROM centred GROUP BY ALL) GROUP BY ALL),
-  size AS (SELECT {keys}, sum(s * s) AS fro2, sum(CASE WHEN i = j THEN s END) / count(DISTINCT i) AS mu,
-                  CAST(count(DISTINCT i) AS DOUBLE) AS p FROM cov GROUP BY ALL),
-  lw AS (SELECT {keys}, mu, (fro2 - p * mu * mu) / p AS delta2,
-                least((q - fro2) / (p * n), (fro2 - p * mu * mu) / p) AS beta2 FROM size JOIN quart USING ({keys})),
-  rho AS (SELECT {keys}, mu, CASE WHEN delta2 <> 0 THEN beta2 / delta2 ELSE 0 END AS rho FROM lw),
-  dia AS (SELECT {keys}, i AS roi, (1 - rho) * s + rho * mu AS d FROM cov JOIN rho USING ({keys}) WHERE i = j),
-  shrunk AS (SELECT {", ".join("c." + k for k in keys.split(", "))}, c.i, c.j, r.rho, (1 - r.rho) * c.s / sqrt(a.d * b.d) AS r
-             FROM cov c JOIN rho r USING ({keys}) JOIN dia a ON a.roi = c.i AND {on.replace('b.', 'c.')}
-             JOIN dia b ON b.roi = c.j AND {on.replace('a.', 'c.')} WHERE c.i < c.j)"""
+    """Plain correlations, for comparison with the shrunk ones."""
+    return N.functional_edges(I.series(spark, sf)).select("subject_id", "ses", "i", "j", r6("r").alias("r"), r6("z").alias("z"))
+
+
+def _damaged_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals of which subject 3 lost a frame's last values and subject 5 one value."""
+    frame, signal = F.col("frame"), F.col("signal")
+    short = (F.col("subject_id") == "3") & (frame % 7 == 0)
+    holed = (F.col("subject_id") == "5") & (frame % 11 == 0)
+    hole = F.transform(signal, lambda v, k: F.when(k != 4, v))
+    return I.series(spark, sf).withColumn("signal", F.when(short, F.slice(signal, 1, 60)).when(holed, hole).otherwise(signal))
+
+
+_DAMAGED_SQL = """bad AS (SELECT CAST(label AS VARCHAR) AS subject_id, 'ses-0' || CAST(vec_id % 2 + 1 AS VARCHAR) AS ses, count(*) AS n_frames,
+  count(*) FILTER (label = 5 AND vec_id % 11 = 0) AS n_bad, count(*) FILTER (label = 3 AND vec_id % 7 = 0) AS n_short FROM embeddings GROUP BY ALL)"""
+
+
+@query(
+    "fc_edges_damaged",
+    f"WITH {I.PLAIN_FC_SQL}, {_DAMAGED_SQL} SELECT f.subject_id, f.ses, i, j, {sql6('r')} AS r FROM fc f "
+    "JOIN bad b ON b.subject_id = f.subject_id AND b.ses = f.ses WHERE n_bad = 0 AND (n_short = 0 OR n_short = n_frames)",
+)
+def fc_edges_damaged(spark, sf):
+    """Ragged and incomplete signals take their subject and session out, nothing else."""
+    return N.functional_edges(_damaged_series(spark, sf)).select("subject_id", "ses", "i", "j", r6("r").alias("r"))
+
+
+@query(
+    "unusable_signals",
+    f"""WITH {_DAMAGED_SQL} SELECT subject_id, ses, n_frames, n_bad FROM bad WHERE n_bad > 0 OR (n_short > 0 AND n_short < n_frames)""",
+)
+def unusable_signals(spark, sf):
+    return N.unusable_signals(_damaged_series(spark, sf)).select("subject_id", "ses", "n_frames", "n_bad")
 
 
 @query(
     "fc_edges_shrunk",
-    f"WITH {I.SERIES_SQL}, {_shrink_sql('ts', 'subject_id, ses')} "
+    f"WITH {I.SERIES_SQL}, {I.shrink_sql('ts', 'subject_id, ses')} "
     f"SELECT subject_id, ses, i, j, {sql6('rho')} AS rho, {sql6('r')} AS r, {sql6('atanh(r)')} AS z FROM shrunk",
 )
 def fc_edges_shrunk(spark, sf):
@@ -68,10 +76,7 @@ def fc_edges_shrunk(spark, sf):
 
 
 _REGION_GROUP_SQL = f"""names AS (SELECT DISTINCT roi, {I.region_name_sql('roi')} AS name FROM ts),
-grp AS (SELECT roi, CASE WHEN name LIKE 'Subcortical%' THEN 'Subcortical' ELSE split_part(name, '_', 3) END AS network,
-               CASE WHEN name LIKE 'Subcortical%' THEN
-                 trim(regexp_replace(trim(split_part(name, ':', 2)), '^(Left|Right)', '')) END AS structure
-        FROM names)"""
+grp AS (SELECT roi, CASE WHEN name LIKE 'Subcortical%' THEN 'Subcortical' ELSE split_part(name, '_', 3) END AS network FROM names)"""
 
 
 @query(
@@ -87,16 +92,21 @@ def fc_within_network(spark, sf):
     )
 
 
+_PAIRS = {name: [56 + k, 60 + k] for k, name in enumerate(I.STRUCTURE_CYCLE)}
+
+
 @query(
     "fc_bilateral_structure",
-    f"WITH {I.FC_SQL}, {_REGION_GROUP_SQL} "
-    f"SELECT f.subject_id, f.ses, a.structure, f.i, f.j, {sql6('f.z')} AS z FROM fc f "
-    "JOIN grp a ON a.roi = f.i JOIN grp b ON b.roi = f.j WHERE a.structure = b.structure",
+    f"""WITH {I.SERIES_SQL}, sub AS (
+      SELECT subject_id, ses, [{", ".join(f"'{n}'" for n in I.STRUCTURE_CYCLE)}][roi % 4 + 1] AS subset, frame, (roi - 56) // 4 AS roi, v
+      FROM ts WHERE roi >= 56), {I.shrink_sql('sub', 'subject_id, ses, subset')}
+    SELECT subject_id, ses, subset AS structure, {sql6('atanh(r)')} AS z FROM shrunk""",
 )
 def fc_bilateral_structure(spark, sf):
-    group = I.regions(spark, sf).withColumn("structure", C.structure(I.region_name(F.col("roi"))))
-    return N.edges_within(_fc(spark, sf), group, "structure").select(
-        "subject_id", "ses", "structure", "i", "j", r6("z").alias("z")
+    """Left against right of each structure, the shrinkage estimated from the pair alone."""
+    pairs = N.regions_subset(I.series(spark, sf), _PAIRS)
+    return N.functional_edges_shrunk(pairs, keys=("subject_id", "ses", "subset")).select(
+        "subject_id", "ses", F.col("subset").alias("structure"), r6("z").alias("z")
     )
 
 
@@ -107,7 +117,7 @@ _SUBSETS = {name: list(range(8 * k, 8 * k + 8)) for k, name in enumerate((*I.NET
     "fc_network_shrunk",
     f"""WITH {I.SERIES_SQL}, sub AS (
       SELECT subject_id, ses, [{", ".join(f"'{n}'" for n in _SUBSETS)}][roi // 8 + 1] AS subset, frame, roi % 8 AS roi, v
-      FROM ts), {_shrink_sql('sub', 'subject_id, ses, subset')}
+      FROM ts), {I.shrink_sql('sub', 'subject_id, ses, subset')}
     SELECT subject_id, ses, subset, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {sql6('r')} AS r FROM shrunk""",
 )
 def fc_network_shrunk(spark, sf):
@@ -126,6 +136,19 @@ def sc_edges(spark, sf):
     return _sc(spark, sf).select("subject_id", "ses", "i", "j", "n_streamlines", r6("weight").alias("weight"))
 
 
+@query(
+    "sc_within_network",
+    f"WITH {I.SERIES_SQL}, {I.SC_SQL}, {_REGION_GROUP_SQL} SELECT s.subject_id, s.ses, a.network, s.i, s.j, {sql6('s.weight')} AS weight "
+    "FROM sc s JOIN grp a ON a.roi = s.i JOIN grp b ON b.roi = s.j WHERE a.network = b.network",
+)
+def sc_within_network(spark, sf):
+    """Structural sub-networks: edges with both ends in one network, the subcortical block being one of them."""
+    group = I.regions(spark, sf).withColumn("network", C.network(I.region_name(F.col("roi"))))
+    return N.edges_within(_sc(spark, sf), group, "network").select(
+        "subject_id", "ses", "network", "i", "j", r6("weight").alias("weight")
+    )
+
+
 @query(
     "sfc",
     f"WITH {I.SFC_SQL} SELECT subject_id, ses, roi, n_partners, {sql6('rho')} AS rho, "
@@ -151,14 +174,14 @@ def node_strength_fc(spark, sf):
 @query(
     "node_strength_sc",
     f"""WITH {I.SERIES_SQL}, {I.SC_SQL}, rois AS (SELECT DISTINCT roi FROM ts),
-    spine AS (SELECT DISTINCT subject_id, ses, roi FROM sc, rois),
+    spine AS (SELECT DISTINCT subject_id, ses, roi FROM (SELECT subject_id, ses FROM ts UNION SELECT subject_id, ses FROM sc), rois),
     m AS (SELECT subject_id, ses, i AS roi, weight FROM sc UNION ALL SELECT subject_id, ses, j, weight FROM sc),
     tot AS (SELECT subject_id, ses, roi, sum(weight) AS w FROM m GROUP BY ALL)
     SELECT s.subject_id, s.ses, s.roi, {sql6("coalesce(t.w, 0) / ((SELECT count(*) FROM rois) - 1)")} AS strength
     FROM spine s LEFT JOIN tot t USING (subject_id, ses, roi)""",
 )
 def node_strength_sc(spark, sf):
-    return N.node_strength(_sc(spark, sf), I.regions(spark, sf)).select(
+    return N.node_strength(_sc(spark, sf), I.regions(spark, sf), subjects=I.subjects(spark, sf)).select(
         "subject_id", "ses", "roi", r6("strength").alias("strength")
     )
 
@@ -407,33 +430,32 @@ def diff_map_by_visit(spark, sf):
     return R.difference_map(_sfc(spark, sf), flags).withColumn("difference", r6("difference"))
 
 
-_FIRST_EDGES = [(a, b) for a in range(8) for b in range(a + 1, 8)]
+_ALL_EDGES = [(a, b) for a in range(I.N_REGIONS) for b in range(a + 1, I.N_REGIONS)]
 
 
-def _first_network(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges inside the first network, named ``roi1-roi2``, one column each."""
-    within = _fc(spark, sf).where("j < 8")
-    named = within.withColumn("edge", F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")))
-    return N.wide_edges(named, [f"{a}-{b}" for a, b in _FIRST_EDGES], value="z")
+def _wide(spark: SparkSession, sf: str) -> DataFrame:
+    """All edges, named ``roi1-roi2``, one column each."""
+    named = _fc(spark, sf).withColumn("edge", F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")))
+    return N.wide_edges(named, [f"{a}-{b}" for a, b in _ALL_EDGES], value="z")
 
 
 @query(
     "edge_wide_row",
     f"WITH {I.FC_SQL} SELECT subject_id, ses, "
-    + ", ".join(f"{sql6(f'max(z) FILTER (i = {a} AND j = {b})')} AS e_{a}_{b}" for a, b in _FIRST_EDGES)
+    + ", ".join(f"{sql6(f'max(z) FILTER (i = {a} AND j = {b})')} AS e_{a}_{b}" for a, b in _ALL_EDGES)
     + " FROM fc GROUP BY ALL",
 )
 def edge_wide_row(spark, sf):
-    wide = _first_network(spark, sf)
-    return wide.select("subject_id", "ses", *[r6(F.col(f"`{a}-{b}`")).alias(f"e_{a}_{b}") for a, b in _FIRST_EDGES])
+    wide = _wide(spark, sf)
+    return wide.select("subject_id", "ses", *[r6(F.col(f"`{a}-{b}`")).alias(f"e_{a}_{b}") for a, b in _ALL_EDGES])
 
 
 @query(
     "edge_wide_to_long",
-    f"WITH {I.FC_SQL} SELECT subject_id, ses, CAST(i AS VARCHAR) AS i, CAST(j AS VARCHAR) AS j, {sql6('z')} AS weight FROM fc WHERE j < 8",
+    f"WITH {I.FC_SQL} SELECT subject_id, ses, CAST(i AS VARCHAR) AS i, CAST(j AS VARCHAR) AS j, {sql6('z')} AS weight FROM fc",
 )
 def edge_wide_to_long(spark, sf):
-    return N.edges_from_wide(_first_network(spark, sf)).withColumn("weight", r6("weight"))
+    return N.edges_from_wide(_wide(spark, sf)).withColumn("weight", r6("weight"))
 
 
 @query(

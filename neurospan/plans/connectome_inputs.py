@@ -61,8 +61,14 @@ def region_name(k: Column) -> Column:
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct region positions present in the signals."""
-    return series(spark, sf).select(F.posexplode("signal").alias("roi", "v")).select("roi").distinct()
+    """Region positions of the signals: one number is read per frame, and the list is as long as the atlas."""
+    width = series(spark, sf).agg(F.max(F.size("signal")).alias("p"))
+    return width.select(F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("roi"))
+
+
+def subjects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every subject and session that has signals."""
+    return series(spark, sf).select("subject_id", "ses").distinct()
 
 
 # SQL twins -------------------------------------------------------------------
@@ -77,6 +83,30 @@ FC_SQL = SERIES_SQL + """, fc AS (
   FROM ts a JOIN ts b ON a.frame = b.frame AND a.subject_id = b.subject_id AND a.roi < b.roi
   GROUP BY ALL)"""
 
+
+def shrink_sql(source: str, keys: str) -> str:
+    """Ledoit-Wolf in SQL over ``source`` (keys, frame, roi, v)."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    return f"""
+  centred AS (SELECT {keys}, frame, roi, v - avg(v) OVER (PARTITION BY {keys}, roi) AS x FROM {source}),
+  cov AS (SELECT {", ".join("a." + k for k in keys.split(", "))}, a.roi AS i, b.roi AS j, avg(a.x * b.x) AS s
+          FROM centred a JOIN centred b ON a.frame = b.frame AND {on} GROUP BY ALL),
+  quart AS (SELECT {keys}, avg(q * q) AS q, count(*) AS n
+            FROM (SELECT {keys}, frame, sum(x * x) AS q FROM centred GROUP BY ALL) GROUP BY ALL),
+  size AS (SELECT {keys}, sum(s * s) AS fro2, sum(CASE WHEN i = j THEN s END) / count(DISTINCT i) AS mu,
+                  CAST(count(DISTINCT i) AS DOUBLE) AS p FROM cov GROUP BY ALL),
+  lw AS (SELECT {keys}, mu, (fro2 - p * mu * mu) / p AS delta2,
+                least((q - fro2) / (p * n), (fro2 - p * mu * mu) / p) AS beta2 FROM size JOIN quart USING ({keys})),
+  rho AS (SELECT {keys}, mu, CASE WHEN delta2 <> 0 THEN beta2 / delta2 ELSE 0 END AS rho FROM lw),
+  dia AS (SELECT {keys}, i AS roi, (1 - rho) * s + rho * mu AS d FROM cov JOIN rho USING ({keys}) WHERE i = j),
+  shrunk AS (SELECT {", ".join("c." + k for k in keys.split(", "))}, c.i, c.j, r.rho, (1 - r.rho) * c.s / sqrt(a.d * b.d) AS r
+             FROM cov c JOIN rho r USING ({keys}) JOIN dia a ON a.roi = c.i AND {on.replace('b.', 'c.')}
+             JOIN dia b ON b.roi = c.j AND {on.replace('a.', 'c.')} WHERE c.i < c.j)"""
+
+
+PLAIN_FC_SQL, FC_SQL = FC_SQL, SERIES_SQL + ", " + shrink_sql("ts", "subject_id, ses") + """, fc AS (
+  SELECT subject_id, ses, i, j, r, atanh(r) AS z FROM shrunk)"""
+
 LINES_SQL = """lines AS (
   SELECT CAST(l_orderkey % 10 AS VARCHAR) AS subject_id, 'ses-0' || CAST(l_linenumber % 2 + 1 AS VARCHAR) AS ses,
          CAST(l_partkey % 64 AS INT) AS node_a,
