@@ -433,21 +433,21 @@ def diff_map_by_visit(spark, sf):
 _ALL_EDGES = [(a, b) for a in range(I.N_REGIONS) for b in range(a + 1, I.N_REGIONS)]
 
 
-def _wide(spark: SparkSession, sf: str) -> DataFrame:
-    """All edges, named ``roi1-roi2``, one column each."""
-    named = _fc(spark, sf).withColumn("edge", F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string")))
-    return N.wide_edges(named, [f"{a}-{b}" for a, b in _ALL_EDGES], value="z")
+def _wide(spark: SparkSession, sf: str, mark: str) -> DataFrame:
+    """All edges, one column each, the two region positions joined by ``mark``."""
+    named = _fc(spark, sf).select(
+        "subject_id", "ses", F.concat_ws(mark, F.col("i").cast("string"), F.col("j").cast("string")).alias("edge"), r6("z").alias("z")
+    )
+    return N.wide_edges(named, [f"{a}{mark}{b}" for a, b in _ALL_EDGES], value="z")
 
 
 @query(
     "edge_wide_row",
-    f"WITH {I.FC_SQL} SELECT subject_id, ses, "
-    + ", ".join(f"{sql6(f'max(z) FILTER (i = {a} AND j = {b})')} AS e_{a}_{b}" for a, b in _ALL_EDGES)
-    + " FROM fc GROUP BY ALL",
+    f"WITH {I.FC_SQL}, named AS (SELECT subject_id, ses, i || '_' || j AS edge, {sql6('z')} AS z FROM fc) "
+    "SELECT * FROM (PIVOT named ON edge IN (" + ", ".join(f"'{a}_{b}'" for a, b in _ALL_EDGES) + ") USING max(z) GROUP BY subject_id, ses)",
 )
 def edge_wide_row(spark, sf):
-    wide = _wide(spark, sf)
-    return wide.select("subject_id", "ses", *[r6(F.col(f"`{a}-{b}`")).alias(f"e_{a}_{b}") for a, b in _ALL_EDGES])
+    return _wide(spark, sf, "_")
 
 
 @query(
@@ -455,7 +455,7 @@ def edge_wide_row(spark, sf):
     f"WITH {I.FC_SQL} SELECT subject_id, ses, CAST(i AS VARCHAR) AS i, CAST(j AS VARCHAR) AS j, {sql6('z')} AS weight FROM fc",
 )
 def edge_wide_to_long(spark, sf):
-    return N.edges_from_wide(_wide(spark, sf)).withColumn("weight", r6("weight"))
+    return N.edges_from_wide(_wide(spark, sf, "-"))
 
 
 @query(
