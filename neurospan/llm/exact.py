@@ -72,7 +72,8 @@ def exact_groups(docs: DataFrame, label: Callable[[Column], Column] = F.xxhash64
     """
     listed = cut(recipes(docs, label))
     groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    copies = groups.filter("group_size > 1").withColumnRenamed("recipe", "of_recipe")
+    # stored, so that both sides of the join are dealt anew and Spark can split the partition of a large group
+    copies = cut(groups.filter("group_size > 1")).withColumnRenamed("recipe", "of_recipe")
     out = listed.join(copies, F.col("recipe") == F.col("of_recipe"), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
