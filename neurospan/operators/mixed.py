@@ -3,16 +3,18 @@
 Spark reduces the visits to per-subject sums and those to one row of totals per
 (model, visits per subject).  The likelihood depends on the data only through
 these totals, so the remaining one-dimensional search over the variance ratio
-touches a few kilobytes however many subjects there are.
+touches one row per distinct number of visits (at most about the square root of
+twice the visits).  Each model is searched in a task of its own.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,6 @@ from neurospan.functions.tails import t_two_sided
 from neurospan.operators.groupstats import zscore
 
 CHI2_95 = 3.841458820694124  # fixed value: 0.95 quantile, one degree of freedom
-#: totals rows the driver accepts; distinct cluster sizes grow at most like sqrt(2 x visits)
-MAX_TOTALS_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -218,22 +218,32 @@ def solve(rows: Sequence[Mapping], width: int, k: int, j: int) -> dict:
     }
 
 
+def _per_model(totals: DataFrame, specs: Sequence[Spec], schema: str, solve_one) -> DataFrame:
+    """``solve_one(spec, totals rows)`` for each model, as rows, in one task per model."""
+    # an expression cannot travel to a task, but the shape of a model can
+    shapes = {s.name: (list(s.terms), s.report) for s in specs}
+    width = max(len(s.terms) for s in specs) + 2
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        name = rows["model"].iloc[0]
+        terms, report = shapes[name]
+        return pd.DataFrame(solve_one(name, terms, report, width, rows.to_dict("records")))
+
+    return totals.groupBy("model").applyInPandas(run, schema)
+
+
 def gls_at(spark: SparkSession, df: DataFrame, subject: str, spec: Spec, ratios: Sequence[float]) -> DataFrame:
     """Coefficients, residual variance and deviance at given variance ratios: the profile the fit minimises."""
-    width, k = len(spec.terms) + 2, len(spec.terms) + 1
-    totals = Totals(_collect_totals(df, subject, [spec]), width, k)
-    out = []
-    for theta in ratios:
-        dev, beta, sigma2, _ = totals.fit(theta)
-        out += [(float(theta), name, float(b), float(sigma2), float(dev)) for name, b in zip(["intercept", *spec.terms], beta, strict=True)]
-    return spark.createDataFrame(out, "ratio double, term string, coef double, sigma2 double, deviance double")
 
+    def at(name, terms, report, width, rows):
+        totals = Totals(rows, width, len(terms) + 1)
+        for theta in ratios:
+            dev, beta, sigma2, _ = totals.fit(theta)
+            for term, b in zip(["intercept", *terms], beta, strict=True):
+                yield {"ratio": float(theta), "term": term, "coef": float(b), "sigma2": float(sigma2), "deviance": float(dev)}
 
-def _collect_totals(df: DataFrame, subject: str, specs: Sequence[Spec]) -> list:
-    totals = cluster_totals(df, subject, specs).limit(MAX_TOTALS_ROWS + 1).collect()
-    if len(totals) > MAX_TOTALS_ROWS:
-        raise ValueError("too many distinct cluster sizes for a driver-side search")
-    return totals
+    schema = "ratio double, term string, coef double, sigma2 double, deviance double"
+    return _per_model(cluster_totals(df, subject, [spec]), [spec], schema, at)
 
 
 RESULT_SCHEMA = (
@@ -245,16 +255,11 @@ RESULT_SCHEMA = (
 
 def fit_models(spark: SparkSession, df: DataFrame, subject: str, specs: Sequence[Spec]) -> DataFrame:
     """One result row per model."""
-    width = max(len(s.terms) for s in specs) + 2
-    totals = _collect_totals(df, subject, specs)
-    out = []
-    for s in specs:
-        rows = [r for r in totals if r["model"] == s.name]
-        j = 1 + list(s.terms).index(s.report)
-        out.append({"model": s.name, **solve(rows, width, len(s.terms) + 1, j)})
-    names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
-    plain = [tuple(float(r[c]) if isinstance(r[c], float) else r[c] for c in names) for r in out]
-    return spark.createDataFrame(plain, RESULT_SCHEMA)
+
+    def fitted(name, terms, report, width, rows):
+        yield {"model": name, **solve(rows, width, len(terms) + 1, 1 + terms.index(report))}
+
+    return _per_model(cluster_totals(df, subject, specs), specs, RESULT_SCHEMA, fitted)
 
 
 # fixed values: network -> FDR family
@@ -286,16 +291,22 @@ def battery(networks: Mapping[str, str], flag: str = "flag", memory: str = "memo
     return out
 
 
-def fit_battery(spark: SparkSession, long: DataFrame, subject: str, networks: Mapping[str, str], **columns) -> DataFrame:
-    """All models with FDR inside each (model kind, family)."""
+def fit_battery(
+    spark: SparkSession, long: DataFrame, subject: str, networks: Mapping[str, Mapping[str, str]], **columns
+) -> DataFrame:
+    """All models with FDR inside each (atlas, model kind, family); ``networks`` maps atlas -> network -> column."""
     from neurospan.operators.ordered import bh_fdr
 
     names = {"flag": "flag", "memory": "memory", "time": "time", "age": "age_1", "sex": "sex", "years": "YoE", **columns}
-    scaled = zscore(long, [*networks.values(), names["memory"], names["time"], names["age"], names["years"]])
-    res = fit_models(spark, scaled, subject, battery(networks, **names))
+    measured = [c for own in networks.values() for c in own.values()]
+    scaled = zscore(long, [*measured, names["memory"], names["time"], names["age"], names["years"]])
+    specs = [
+        replace(s, name=f"{s.name}|{atlas}") for atlas, own in networks.items() for s in battery(own, **names)
+    ]
+    res = fit_models(spark, scaled, subject, specs)
     parts = F.split("model", r"\|")
-    named = res.withColumns({"model": F.get(parts, F.lit(0)), "network": F.get(parts, F.lit(1))})
+    named = res.withColumns({k: F.get(parts, F.lit(n)) for n, k in enumerate(("model", "network", "atlas"))})
     family = F.lit(None).cast("string")
     for net, fam in FDR_FAMILIES.items():
         family = F.when(F.col("network") == net, fam).otherwise(family)
-    return bh_fdr(named.withColumn("family", family), keys=("model", "family"))
+    return bh_fdr(named.withColumn("family", family), keys=("atlas", "model", "family"))

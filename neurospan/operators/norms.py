@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -11,83 +10,68 @@ from pyspark.sql import functions as F
 from neurospan.functions import columns as C
 
 MAX_YEARS = 20  # fixed value: education columns stop here
-MAX_CELLS = 20_000
 
 
 def tidy_age_norms(sheets: DataFrame) -> DataFrame:
     """(test, band, row_no, raw_text, scaled) -> parsed bounds; rows without a score drop.
 
-    ``band`` is the sheet name, ``60-65`` with a hyphen or an en dash.
+    ``band`` is the sheet name, ``60-65`` with a hyphen or an en dash.  ``band_no`` is the sheet's place in the workbook;
+    a table without that column takes its sheets by age.
     """
+    place = F.col("band_no") if "band_no" in sheets.columns else F.get(F.split("band", "[–-]"), F.lit(0)).try_cast("int")
+    sheets = sheets.withColumn("_place", place)
     ends = F.split("band", "[–-]")
     return (
         sheets.select(
             "test", F.get(ends, F.lit(0)).try_cast("int").alias("age_lo"),
             F.get(ends, F.lit(1)).try_cast("int").alias("age_hi"),
-            "row_no", C.range_bounds("raw_text").alias("b"), "scaled",
+            F.col("_place").alias("band_no"), "row_no", C.range_bounds("raw_text").alias("b"), "scaled",
         )
         .where("age_lo IS NOT NULL AND age_hi IS NOT NULL AND b IS NOT NULL")
-        .select("test", "age_lo", "age_hi", "row_no", "b.lo", "b.hi", "scaled")
+        .select("test", "age_lo", "age_hi", "band_no", "row_no", "b.lo", "b.hi", "scaled")
     )
 
 
-# A normative table is a printed sheet: whole ages (or scaled scores) x a few rows.
-# Its cells, checked to be few, become one constant in the row expressions, so
-# scoring needs no join, no shuffle and no copy of the table per subject.
+# A normative table is a printed sheet.  Spark packs it into one row (a map from test to its cells), which the scoring
+# expressions read as a subquery: no join, no shuffle and no copy of the table on the driver or in the plan.
 
 
-def _cells(norms: DataFrame) -> list:
-    rows = norms.limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"a normative table has at most {MAX_CELLS} cells")
-    return rows
+def _by_test(cells: DataFrame, cell: Column) -> DataFrame:
+    per_test = cells.groupBy("test").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    return per_test.agg(F.map_from_entries(F.collect_list(F.struct("test", "cells"))))
+
+
+def _field(name: str):
+    return lambda cell: cell[name]
 
 
 class AgeNorms:
-    """Ladders of one age-norm table: for every test and whole age, its rows in sheet order."""
+    """Cells of one age-norm table: for every test its rows in sheet order, and the span of ages."""
 
     def __init__(self, norms: DataFrame):
-        rows = sorted(_cells(norms), key=lambda r: (r["age_lo"], r["row_no"]))
-        self.lo, self.hi = min(r["age_lo"] for r in rows), max(r["age_hi"] for r in rows)
-        self.ladders = {
-            test: [
-                [{"lo": r["lo"], "hi": r["hi"], "scaled": r["scaled"]}
-                 for r in rows if r["test"] == test and r["age_lo"] <= age <= r["age_hi"]]
-                for age in range(self.lo, self.hi + 1)
-            ]
-            for test in {r["test"] for r in rows}
-        }
-
-    def ladder(self, test: str, age: Column) -> Column:
-        table = F.from_json(
-            F.lit(json.dumps(self.ladders[test])), "array<array<struct<lo:double,hi:double,scaled:double>>>"
-        )
-        return F.get(table, age - self.lo)
+        self.lo, self.hi = norms.agg(F.min("age_lo")).scalar(), norms.agg(F.max("age_hi")).scalar()
+        cell = F.struct("band_no", "row_no", "age_lo", "age_hi", "lo", "hi", F.col("scaled").cast("double").alias("scaled"))
+        self.packed = _by_test(norms, cell).scalar()
 
 
 class EducationNorms:
     """Score x years grid of one education table; years between listed columns take the lower column."""
 
     def __init__(self, norms: DataFrame):
-        self.grids = {}
-        by_test: dict[str, list] = {}
-        for r in _cells(norms):
-            by_test.setdefault(r["test"], []).append(r)
-        for test, rows in by_test.items():
-            scores, years = [r["age_scaled"] for r in rows], sorted({r["yoe"] for r in rows})
-            cell = {(r["age_scaled"], r["yoe"]): r["scaled"] for r in rows}
-            grid = [
-                [cell.get((score, max(y for y in years if y <= year))) for year in range(years[0], years[-1] + 1)]
-                for score in range(min(scores), max(scores) + 1)
-            ]
-            self.grids[test] = (min(scores), max(scores), years[0], years[-1], grid)
-
-    def score(self, test: str, scaled: Column, years: Column, max_years: int) -> Column:
-        lo, hi, first, last, grid = self.grids[test]
-        row = C.clamp(scaled.cast("int"), F.lit(lo), F.lit(hi)) - lo
-        capped = F.when(years.isNotNull(), F.least(F.floor(years).cast("int"), F.lit(max_years)))
-        column = C.clamp(capped, F.lit(first), F.lit(last)) - first
-        return F.get(F.get(F.from_json(F.lit(json.dumps(grid)), "array<array<double>>"), row), column)
+        cell = F.struct("yoe", "age_scaled", F.col("scaled").cast("double").alias("scaled"))
+        self.packed = _by_test(norms, cell).scalar()
+
+
+_AGE, _EDU = "_age_norms", "_education_norms"
+
+
+def _attach(df: DataFrame, age_norms: AgeNorms | None, edu_norms: EducationNorms | None) -> DataFrame:
+    """Each table once as a column, so that all lookups of a row share its subquery."""
+    if age_norms is not None and _AGE not in df.columns:
+        df = df.withColumn(_AGE, F.struct(age_norms.packed.alias("cells"), age_norms.lo.alias("lo"), age_norms.hi.alias("hi")))
+    if edu_norms is not None and _EDU not in df.columns:
+        df = df.withColumn(_EDU, edu_norms.packed)
+    return df
 
 
 def by_age(df: DataFrame, norms: AgeNorms, raw: str, age: str, test: str, out: str) -> DataFrame:
@@ -95,23 +79,36 @@ def by_age(df: DataFrame, norms: AgeNorms, raw: str, age: str, test: str, out: s
 
     Ages round half to even and clamp to the supported span; NULL when nothing matches.
     """
-    whole = C.clamp(C.round_half_even(age).cast("int"), F.lit(norms.lo), F.lit(norms.hi))
-    hit = F.filter(norms.ladder(test, whole), lambda r: C.in_bounds(F.col(raw), r["lo"], r["hi"]))
-    return df.withColumn(out, F.when(F.col(raw).isNotNull(), F.get(hit, F.lit(0))["scaled"]))
+    table = F.col(_AGE)
+    whole = C.clamp(C.round_half_even(age).cast("int"), table["lo"], table["hi"])
+    cells = F.try_element_at(table["cells"], F.lit(test))
+    hit = F.filter(cells, lambda r: whole.between(r["age_lo"], r["age_hi"]) & C.in_bounds(F.col(raw), r["lo"], r["hi"]))
+    scored = _attach(df, norms, None).withColumn(out, F.when(F.col(raw).isNotNull(), F.get(hit, F.lit(0))["scaled"]))
+    return scored if _AGE in df.columns else scored.drop(_AGE)
 
 
 def by_education(df: DataFrame, norms: EducationNorms, scaled: str, years: str, test: str, out: str,
                  max_years: int = MAX_YEARS) -> DataFrame:
     """Education-adjusted score: clamped row, then the greatest listed year not above the subject's."""
-    return df.withColumn(out, norms.score(test, F.col(scaled), F.col(years), max_years))
+    cells = F.try_element_at(F.col(_EDU), F.lit(test))
+    scores, listed = F.transform(cells, _field("age_scaled")), F.transform(cells, _field("yoe"))
+    row = C.clamp(F.col(scaled).cast("int"), F.array_min(scores), F.array_max(scores))
+    capped = F.when(F.col(years).isNotNull(), F.least(F.floor(years).cast("int"), F.lit(max_years)))
+    wanted = C.clamp(capped, F.array_min(listed), F.array_max(listed))
+    place = F.struct(row.alias("row"), F.array_max(F.filter(listed, lambda y: y <= wanted)).alias("column"))
+    placed = _attach(df, None, norms).withColumn("_place", place)
+    at = F.col("_place")
+    hit = F.filter(cells, lambda c: (c["age_scaled"] == at["row"]) & (c["yoe"] == at["column"]))
+    found = placed.withColumn(out, F.get(hit, F.lit(0))["scaled"]).drop("_place")
+    return found if _EDU in df.columns else found.drop(_EDU)
 
 
 def score_visit(df: DataFrame, age_norms: AgeNorms, edu_norms: EducationNorms, tests: Mapping[str, str], visit: str,
                 years: str = "YoE") -> DataFrame:
     """Both lookups for every test of one visit: ``tests`` maps test -> raw column stem."""
-    out = df
+    out = _attach(df, age_norms, edu_norms)
     for test, stem in tests.items():
         name = f"{visit}_{test.lower()}_norm"
         out = by_age(out, age_norms, f"{visit}_{stem}", f"{visit}_age", test, f"{name}_age")
         out = by_education(out, edu_norms, f"{name}_age", years, test, name)
-    return out
+    return out.drop(_AGE, _EDU)

@@ -8,59 +8,29 @@ only balance the work; every row is kept whatever they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: rows looked at per cut when choosing the cut points
-_PROBES_PER_CUT = 24
-_MAX_RANGES = 512
+from neurospan.session import scratch_dir
+from neurospan.sources.sinks import materialise
 
 RANGE = "_range"
 
 
-def _before(cols: Sequence[str], cut: Sequence) -> Column:
-    """Lexicographic ``cols < cut`` in Spark's sort order (NULL first)."""
-    out = F.lit(False)
-    for name, value in reversed(list(zip(cols, cut, strict=True))):
-        c = F.col(name)
-        less = F.lit(False) if value is None else c.isNull() | F.coalesce(c < F.lit(value), F.lit(False))
-        out = less | (c.eqNullSafe(F.lit(value)) & out)
-    return out
-
-
-def _locate(cols: Sequence[str], cuts: list[tuple], lo: int, hi: int) -> Column:
-    """Balanced CASE tree giving the number of cuts at or below the row."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(_before(cols, cuts[mid]), _locate(cols, cuts, lo, mid)).otherwise(
-        _locate(cols, cuts, mid + 1, hi)
-    )
-
-
 def with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """Add ``_range``: a contiguous slice number in (keys, order).
+    """Add ``_range``: a contiguous slice number in (keys, order), dealt by Spark's range partitioning.
 
-    The cuts come from the rows with the smallest hashes, i.e. a uniform pick of
-    a fixed number of rows (top-k per partition, then merged), so the driver sees
-    a bounded list however large the data.
+    There are as many slices as shuffle partitions unless ``ranges`` says otherwise; raise that setting with the data.
+    The rows are stored, because the slices of a second evaluation could be cut elsewhere.
     """
-    cols = [*keys, *order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranges = min(ranges or parts, _MAX_RANGES)
-    if ranges <= 1:
-        return df.withColumn(RANGE, F.lit(0))
-    probe = df.select(*cols).orderBy(F.xxhash64(*cols)).limit(ranges * _PROBES_PER_CUT).collect()
-    # NaN cannot be ordered here, so it never becomes a cut; such rows fall in the last range
-    usable = {tuple(r) for r in probe if not any(isinstance(v, float) and v != v for v in r)}
-    sample = sorted(usable, key=lambda r: [(v is not None, v) for v in r])
-    step = max(1, len(sample) // ranges)
-    cuts = sample[step::step][: ranges - 1]
-    return df.withColumn(RANGE, _locate(cols, cuts, 0, len(cuts)) if cuts else F.lit(0))
+    count = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cut = df.repartitionByRange(count, *[F.col(c) for c in [*keys, *order]]).withColumn(RANGE, F.spark_partition_id())
+    return materialise(cut, scratch_dir(df.sparkSession, "ranges"))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str] | None = None,
@@ -149,7 +119,7 @@ def bh_fdr(df: DataFrame, p: str = "p_value", keys: Sequence[str] = (), out: str
         counted = counted.join(distinct.groupBy(*keys).agg(F.sum("_n").alias("_m")), keys)
     else:
         counted = counted.withColumn("_m", distinct.agg(F.sum("_n").alias("_m")).scalar())
-    scaled = counted.withColumn("_q", F.col(p) * F.col("_m") / F.col("_upto"))
+    scaled = counted.withColumn("_q", F.col(p) * F.col("_m") / F.col("_upto"))  # the slices of the first pass serve again
     adjusted = running(scaled, keys, [p], min_from_end={"_adj": "_q"}).select(
         *keys, p, F.least("_adj", F.lit(1.0)).alias(out)
     )
@@ -159,13 +129,15 @@ def bh_fdr(df: DataFrame, p: str = "p_value", keys: Sequence[str] = (), out: str
 def hash_numbered(df: DataFrame, uid: str, salt: str, keys: Sequence[str] = (), out: str = "row_no") -> DataFrame:
     """Reproducible random numbering per key: 1..k in the order of md5(uid, salt).
 
-    The hash prefix is uniform, so it is the range; no cut points are needed.
-    Identical in any engine with md5, whatever the partitioning.
+    The hash is uniform, so its leading digits are the range and no cut points are needed: three digits (4,096 ranges)
+    per key, more if the session has more shuffle partitions.  Identical in any engine with md5, whatever the partitioning.
     """
     h = F.md5(F.concat_ws(":", F.col(uid).cast("string"), F.lit(salt)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    digits = max(3, math.ceil(math.log(max(parts, 1), 16)))
     cut = (
         df.withColumn("_h", h).withColumn("_one", F.lit(1))
-        .withColumn(RANGE, F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+        .withColumn(RANGE, F.conv(F.substring("_h", 1, digits), 16, 10).cast("bigint"))
     )
     return running(cut, keys, ["_h", uid], sums={out: "_one"}).drop("_h", "_one", RANGE)
 

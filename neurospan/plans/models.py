@@ -30,6 +30,10 @@ def _visits(spark: SparkSession, sf: str) -> DataFrame:
             ((F.col("o_totalprice") / (1000 + 300 * k)) % (90 + 20 * k) + F.col("c_acctbal") / (400 + 50 * k)).alias(f"sfc_{n}")
             for k, n in enumerate(_NETWORKS)
         ],
+        *[
+            ((F.col("o_totalprice") / (700 + 200 * k)) % (80 + 15 * k) + F.col("c_acctbal") / (500 + 40 * k)).alias(f"sfc400_{n}")
+            for k, n in enumerate(_NETWORKS)
+        ],
     )
     timed = V.since_first(long)
     return V.with_baseline(timed, "id", "age", "age", "age_1")
@@ -95,7 +99,9 @@ def lme_fit(spark, sf):
 
 @query("lme_battery")
 def lme_battery(spark, sf):
-    return M.fit_battery(spark, _visits(spark, sf), "id", {n: f"sfc_{n}" for n in _NETWORKS})
+    """The 48 models: four kinds, six outcomes, two atlases."""
+    atlases = {"200": {n: f"sfc_{n}" for n in _NETWORKS}, "400": {n: f"sfc400_{n}" for n in _NETWORKS}}
+    return M.fit_battery(spark, _visits(spark, sf), "id", atlases)
 
 
 # --- classifier features ------------------------------------------------------------
@@ -141,9 +147,8 @@ def feature_assembly(spark, sf):
     )
 
 
-# A coarser grid than the study's keeps the registered queries short; the defaults of Plan are the study's.
-_EN = S.Plan("elastic_net", c_grid=(0.001, 0.01, 0.1), l1_grid=(0.1, 0.5), outer=5, inner=3, importance_repeats=5)
-_SVM = S.Plan("linear_svm", c_grid=(0.0001, 0.001, 0.01), outer=5, inner=3, importance_repeats=5)
+# The study's grids, folds and repeats are the defaults of Plan.
+_EN, _SVM = S.Plan("elastic_net"), S.Plan("linear_svm")
 
 
 @query("enet_nested_cv")
@@ -171,15 +176,15 @@ def perm_importance(spark, sf):
 
 @query("perm_null")
 def perm_null(spark, sf):
-    """Null AUCs of twelve label permutations, stored and resumed, with the sequential p-value."""
+    """Null AUCs in stored batches, resumed once, until the study's stopping rule; with the sequential p-value."""
     from neurospan.operators.discrimination import permutation_p
 
-    plan = S.Plan("linear_svm", c_grid=(0.0001, 0.01), outer=5, inner=3)
+    plan = _SVM
     features = _features(spark, sf, False)
     observed = S.nested_cv(spark, features, plan).observed_auc.first()["auc"]
     path = scratch_dir(spark, "null-auc")
-    run_id = S.resumable_null(spark, features, plan, observed, path, n_perm=6, batch=6)
-    S.resumable_null(spark, features, plan, observed, path, n_perm=12, batch=6)
+    S.resumable_null(spark, features, plan, observed, path, n_perm=20)
+    run_id = S.resumable_null(spark, features, plan, observed, path)
     null = spark.read.parquet(path).select("run_id", "perm_id", "auc")
     obs = null.select("run_id").distinct().select("run_id", F.lit(float(observed)).alias("observed_auc"))
     return permutation_p(null.where(F.col("run_id") == run_id), obs, stop=50).drop("run_id")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Largest table (bytes) any operator may ship to every executor.  Operators
-#: measure the table first and take a shuffling or distributed path beyond it.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
 
 def build_session(app_name: str = "neurospan", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session with the settings the operators are tuned for.
@@ -34,21 +31,42 @@ def build_session(app_name: str = "neurospan", master: str | None = None, **conf
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """Return a fresh folder path every executor can reach.
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it, whatever folder the session started in.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode
-    session without that setting falls back to the machine's temporary folder.
+    The driver's own file server hands the archive out.  With ``spark-submit --py-files`` (or an installed wheel) on
+    every node this is not needed.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = os.path.join(tempfile.gettempdir(), "neurospan-local")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="neurospan-package-")) / "neurospan.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    conf = spark.sparkContext.getConf()
+    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder path every executor can reach: below ``spark.checkpoint.dir``, else beside the session's tables."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's scratch folders; results that still read them must have been used."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, folder: str, name: str):

@@ -37,8 +37,8 @@ def typed_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTy
 
 
 def sheet_tables(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
-    """One CSV file per sheet -> one table with a ``sheet`` column."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
+    """One ``<sheet>.csv`` per sheet (a file, or a folder of part files) -> one table with a ``sheet`` column."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv(?:/[^/]+)?$", 1)
     return typed_csv(spark, f"{folder}/*.csv", schema).withColumn("sheet", F.url_decode(name))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-BUCKETS = 64
+#: Rows that a bucket of a new result table should hold.
+ROWS_PER_BUCKET = 1_000_000
 
 
 def save(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -51,7 +52,17 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def bucket_of(keys: Sequence[str], buckets: int = BUCKETS) -> Column:
+def table_buckets(new: DataFrame, path: str, wanted: int | None = None) -> int:
+    """Bucket count of a result table: its stored property, or for a new table ``wanted`` (by default from its first rows)."""
+    spark, place = new.sparkSession, f"{path.rstrip('/')}/_buckets"  # readers skip names that begin with an underscore
+    if exists(spark, place):
+        return int(spark.read.schema("value string").text(place).first()[0])
+    count = wanted or max(8, -(-new.count() // ROWS_PER_BUCKET))
+    spark.createDataFrame([(str(count),)], "value string").coalesce(1).write.text(place)
+    return count
+
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neurospan.operators.clean import pending
-from neurospan.sources.sinks import BUCKETS, bucket_of, read_or_none
+from neurospan.session import scratch_dir
+from neurospan.sources.sinks import bucket_of, materialise, read_or_none, table_buckets
 
 BUCKET = "_bucket"
 
@@ -31,31 +32,47 @@ def only_new(new: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     return pending(new, old.select(*keys).distinct(), keys)
 
 
-def append_new(new: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
-    """Idempotent append: running the same batch twice leaves the table unchanged."""
-    fresh = only_new(new, path, keys).withColumn(BUCKET, bucket_of(keys, buckets))
-    fresh.write.mode("append").partitionBy(BUCKET).parquet(path)
+def _batch(new: DataFrame, path: str, keys: Sequence[str], buckets: int | None) -> tuple[DataFrame, list[int]]:
+    """The batch, evaluated once and stored, with its buckets; and which buckets it touches (at most as many as there are)."""
+    new = materialise(new, scratch_dir(new.sparkSession, "batch"))
+    tagged = new.withColumn(BUCKET, bucket_of(keys, table_buckets(new, path, buckets)))
+    return tagged, [r[0] for r in tagged.select(BUCKET).distinct().collect()]
 
 
-def upsert(new: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+def _write(rows: DataFrame, keys: Sequence[str], path: str, mode: str) -> None:
+    """A few writers per bucket, chosen by row hash, so one hot key is not one task and a bucket is a few files."""
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != BUCKET]), F.lit(4))
+    (
+        rows.repartition(F.col(BUCKET), spread).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        .partitionBy(BUCKET).parquet(path)
+    )
+
+
+def append_new(new: DataFrame, path: str, keys: Sequence[str], buckets: int | None = None) -> None:
+    """Idempotent append: running the same batch twice leaves the table unchanged.
+
+    A key that the batch repeats is stored once.  Only the touched buckets' keys are read.
+    """
+    tagged, touched = _batch(new, path, keys, buckets)
+    old = read_or_none(new.sparkSession, path)
+    fresh = tagged.dropDuplicates(list(keys))
+    if old is not None:
+        fresh = pending(fresh, old.where(F.col(BUCKET).isin(touched)).select(*keys).distinct(), keys)
+    _write(fresh, keys, path, "append")
+
+
+def upsert(new: DataFrame, path: str, keys: Sequence[str], buckets: int | None = None) -> None:
     """Replace the rows of the keys in ``new`` and add the rest.
 
     Only the buckets that receive rows are read back and swapped in (dynamic
     partition overwrite stages the files before moving them).
     """
-    spark = new.sparkSession
-    tagged = new.withColumn(BUCKET, bucket_of(keys, buckets))
-    old = read_or_none(spark, path)
+    tagged, touched = _batch(new, path, keys, buckets)
+    old = read_or_none(new.sparkSession, path)
     if old is not None:
-        touched = [r[0] for r in tagged.select(BUCKET).distinct().collect()]  # at most ``buckets`` integers
-        kept = old.where(F.col(BUCKET).isin(touched)).join(new.select(*keys).distinct(), list(keys), "left_anti")
+        kept = old.where(F.col(BUCKET).isin(touched)).join(tagged.select(*keys).distinct(), list(keys), "left_anti")
         tagged = kept.select(*tagged.columns).unionByName(tagged)
-    # a few writers per bucket, chosen by row hash, so one hot key is not one task
-    spread = F.pmod(F.xxhash64(*new.columns), F.lit(4))
-    (
-        tagged.repartition(F.col(BUCKET), spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET).parquet(path)
-    )
+    _write(tagged, keys, path, "overwrite")
 
 
 def append_log(events: DataFrame, path: str) -> None:

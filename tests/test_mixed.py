@@ -86,7 +86,7 @@ def test_battery_families(spark):
             rows.append((s, s % 2, float(v), 60.0 + s % 7, "male" if s % 3 else "female", 8.0 + s % 5,
                          float(rng.normal()), *[float(x) for x in rng.normal(size=6)]))
     cols = "id int, flag int, time double, age_1 double, sex string, YoE double, memory double, " + ", ".join(f"{c} double" for c in nets.values())
-    out = M.fit_battery(spark, spark.createDataFrame(rows, cols), "id", nets).collect()
-    assert len(out) == 24
+    out = M.fit_battery(spark, spark.createDataFrame(rows, cols), "id", {"200": nets, "400": nets}).collect()
+    assert len(out) == 48 and {r["atlas"] for r in out} == {"200", "400"}
     for r in out:
         assert r["p_value"] <= r["p_fdr"] + 1e-12 <= 1.0 + 1e-9

@@ -1,7 +1,10 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
 from neurospan.operators import linear_fits as L
+from neurospan.operators import ordered as O
 from neurospan.operators import resampling as S
 from neurospan.session import scratch_dir
 
@@ -71,22 +74,39 @@ def test_nested_cv(spark):
     assert {r["subject_id"]: r["score"] for r in again.oof.collect()} == pytest.approx(oof)
 
 
-def test_large_table_path_agrees(spark, monkeypatch):
-    """Beyond the broadcast limit every fit runs on Spark's own trainer."""
-    x, y = data(90, 4)
+def test_every_subject_is_scored_beyond_the_fit_sample(spark):
+    """The bound limits what models are fitted on, nothing else."""
+    x, y = data(200, 4)
     features = frame(spark, x, y)
     plan = S.Plan("elastic_net", c_grid=(0.1,), l1_grid=(0.5,), outer=2, inner=2, importance_repeats=2)
-    small = S.nested_cv(spark, features, plan)
-    monkeypatch.setattr(S, "BROADCAST_LIMIT_BYTES", 10)
-    large = S.nested_cv(spark, features, plan)
-    a = {r["subject_id"]: r["score"] for r in small.oof.collect()}
-    b = {r["subject_id"]: r["score"] for r in large.oof.collect()}
-    assert a.keys() == b.keys()
-    assert np.corrcoef([a[k] for k in a], [b[k] for k in a])[0, 1] > 0.999
-    assert large.features.count() == 4
-    null = S.permutation_aucs(spark, features, S.Plan("elastic_net", c_grid=(0.1,), l1_grid=(0.5,), outer=2, inner=2),
-                              spark.range(1, 2).withColumnRenamed("id", "perm_id")).collect()
-    assert [r["perm_id"] for r in null] == [1] and 0 <= null[0]["auc"] <= 1
+    whole, part = S.nested_cv(spark, features, plan), S.nested_cv(spark, features, replace(plan, fit_rows=100))
+    a = {r["subject_id"]: r["score"] for r in whole.oof.collect()}
+    b = {r["subject_id"]: r["score"] for r in part.oof.collect()}
+    assert a.keys() == b.keys() and len(a) == 200
+    assert a != b and np.corrcoef([a[k] for k in a], [b[k] for k in a])[0, 1] > 0.9
+
+
+def test_shuffle_partitions_do_not_matter(spark):
+    x, y = data(80, 4)
+    plan = S.Plan("linear_svm", c_grid=(0.01, 0.1), outer=3, inner=2, importance_repeats=2)
+    out, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out.append({r["subject_id"]: r["score"] for r in S.nested_cv(spark, frame(spark, x, y), plan).oof.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == pytest.approx(out[1], abs=1e-9)
+
+
+def test_folds_and_shuffles_are_those_of_spark(spark):
+    x, y = data(50, 2)
+    rows = frame(spark, x, y).select("subject_id", "y")
+    got = O.stratified_folds(rows, "subject_id", "y", 4, 7 + 1 + 2).orderBy("subject_id").toPandas()
+    uid, own = got["subject_id"].astype(str).to_numpy(), got["y"].to_numpy().astype(int)
+    assert (S._inner_folds(uid, own, 4, 7, 2) == got["fold"].to_numpy()).all()
+    shuffled = S._labels({"uid": uid, "y": own}, 3, 7)
+    assert sorted(shuffled) == sorted(own) and (shuffled != own).any()
 
 
 def test_class_checks(spark):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from neurospan.operators import clean, groupstats, norms, quality, visits
+from neurospan.operators import clean, groupstats, norms, quality, rollup, visits
 from neurospan.session import scratch_dir
 from neurospan.sources import scans, sinks
 from neurospan.streaming import incremental as inc
@@ -64,10 +64,15 @@ def test_education_norms(spark, score, years, want):
     assert norms.by_education(df, table, "s", "y", "T", "o").first()["o"] == want
 
 
-def test_norm_table_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(norms, "MAX_CELLS", 3)
-    with pytest.raises(ValueError, match="at most"):
-        norm_tables(spark)
+def test_bands_are_tried_in_sheet_order(spark):
+    """Both sheets hold the age and the score; the one that comes first in the workbook decides."""
+    sheets = spark.createDataFrame(
+        [("T", "60-64", 2, 0, "1–9", 2.0), ("T", "62-70", 1, 5, "1–9", 7.0)],
+        "test string, band string, band_no int, row_no int, raw_text string, scaled double",
+    )
+    table = norms.AgeNorms(norms.tidy_age_norms(sheets))
+    df = spark.createDataFrame([(5.0, 63.0), (5.0, 61.0)], "raw double, age double")
+    assert [r["o"] for r in norms.by_age(df, table, "raw", "age", "T", "o").collect()] == [7.0, 2.0]
 
 
 def test_long_visits(spark):
@@ -162,30 +167,41 @@ def test_export_keeps_the_row_order(spark):
     assert [r["text"] for r in spark.read.csv(path, header=True).collect()] == ["row 1", "row 2", "row 3"]
 
 
-def test_scratch_uses_the_named_folder():
-    class Fake:
-        class conf:  # noqa: N801
-            @staticmethod
-            def get(key, *_):
-                return {"spark.checkpoint.dir": "hdfs://shared/ckpt/"}[key]
+def test_scratch_uses_the_named_folder(spark):
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    place = scratch_dir(spark, "x")
+    assert place.startswith(f"{named}/{spark.sparkContext.applicationId}/x-") and place != scratch_dir(spark, "x")
 
-    assert scratch_dir(Fake(), "x").startswith("hdfs://shared/ckpt/x-")
 
+def test_append_keeps_one_row_per_key_and_the_bucket_count(spark):
+    path = scratch_dir(spark, "append-test")
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    inc.append_new(rows, path, ["k"], buckets=3)
+    inc.append_new(rows, path, ["k"], buckets=50)
+    assert sorted(r["k"] for r in inc.stored(spark, path).collect()) == [1, 2]
+    assert sinks.table_buckets(rows, path) == 3
 
-def test_scratch_needs_a_shared_folder_off_local_mode(spark):
-    class Conf:
-        def get(self, *_):
-            return None
 
-    class Fake:
-        conf = Conf()
+def test_missing_weight_is_an_error(spark):
+    rows = [("s", "ses-01", "7Networks_LH_Vis_1", 0.5, None), ("s", "ses-01", "7Networks_LH_Cont_1", None, None)]
+    frame = spark.createDataFrame(rows, "subject_id string, ses string, roi string, value double, weight double")
+    with pytest.raises(Exception, match="no weight for region"):
+        rollup.weighted_rollup(frame).collect()
+    assert rollup.weighted_rollup(frame.where("value IS NULL")).first()["sfc_weighted_mean"] is None
+
 
-        class sparkContext:  # noqa: N801
-            master = "yarn"
+def test_features_keep_second_visit_nulls_in_the_baseline_model(spark):
+    cells = [("a", "ses-01", 0, 1.0), ("a", "ses-01", 1, 2.0), ("a", "ses-02", 0, 3.0), ("a", "ses-02", 1, None),
+             ("b", "ses-01", 0, 4.0), ("b", "ses-01", 1, 5.0), ("b", "ses-02", 0, 6.0), ("b", "ses-02", 1, 7.0),
+             ("c", "ses-01", 0, 4.0), ("c", "ses-01", 1, 5.0)]
+    regions = spark.createDataFrame(cells, "subject_id string, ses string, roi int, value double")
+    people = spark.createDataFrame([(s, 1, 60.0, 62.0, 9.0, "male") for s in "abc"],
+                                   "subject_id string, flag int, age_1 double, age_2 double, YoE double, sex string")
+    base = {r["subject_id"]: r["x"] for r in visits.assemble_features(regions, people).collect()}
+    assert base == {"a": [1.0, 2.0, 60.0, 9.0, 1.0], "b": [4.0, 5.0, 60.0, 9.0, 1.0]}
+    assert [r["subject_id"] for r in visits.assemble_features(regions, people, with_slope=True).collect()] == ["b"]
+    stray = regions.union(spark.createDataFrame([("b", "ses-01", 9, 1.0)], regions.schema))
+    with pytest.raises(Exception, match="differ in their regions"):
+        visits.assemble_features(stray, people).collect()
 
-            @staticmethod
-            def getConf():
-                return Conf()
 
-    with pytest.raises(ValueError, match="shared"):
-        scratch_dir(Fake(), "x")
