@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neurospan.operators.ordered import numbered, running, with_ranges
+from neurospan.session import scratch_dir
+from neurospan.sources.sinks import materialise
 
 Z_95 = 1.959963984540054  # fixed value: normal quantile at 0.975
 
@@ -92,6 +94,20 @@ def permutation_p(null: DataFrame, observed: DataFrame, stop: int = 50, keys: Se
     )
 
 
+def summarise_runs(scores: DataFrame, null: DataFrame, keys: Sequence[str], family: Sequence[str], stop: int = 50) -> DataFrame:
+    """One row per run: AUC with DeLong interval, sequential permutation p, permutations used, FDR inside ``family``.
+
+    ``scores`` is (keys, y, score) out of fold, ``null`` (keys, perm_id, auc).  A run without permutations keeps its AUC
+    and has no p.
+    """
+    from neurospan.operators.ordered import bh_fdr
+
+    keys = list(keys)
+    found = materialise(delong(scores, keys=keys), scratch_dir(scores.sparkSession, "runs"))
+    tested = permutation_p(null, found.select(*keys, F.col("auc").alias("observed_auc")), stop, keys)
+    return bh_fdr(found.join(tested, keys, "left"), keys=family)
+
+
 def top_k_overlap(df: DataFrame, uid: str, a: str, b: str, k: int) -> DataFrame:
     """Items both rankings place among their k largest (item id breaks ties)."""
     best_a = df.orderBy(F.col(a).desc(), F.col(uid)).limit(k).select(uid)

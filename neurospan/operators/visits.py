@@ -77,6 +77,17 @@ def slopes_between(values: DataFrame, ages: DataFrame, uid: str, keys: Sequence[
     return both.join(ages, uid).withColumn("slope", C.annual_change("value_1", "value_2", "age_1", "age_2"))
 
 
+def wide_master(demographics: DataFrame, measures: Sequence[DataFrame], stems: Sequence[str], uid: str = "subject_id") -> DataFrame:
+    """One row per subject of ``demographics`` with the visit columns of every measure table and their annual changes.
+
+    Each measure table has one row per subject (``<stem>_1``, ``<stem>_2``); subjects without one keep NULLs.
+    """
+    out = demographics
+    for table in measures:
+        out = out.join(table, uid, "left")
+    return annual_changes(out, stems)
+
+
 def assemble_features(regions: DataFrame, demographics: DataFrame, uid: str = "subject_id", roi: str = "roi",
                       value: str = "value", with_slope: bool = False,
                       covariates: Sequence[str] = ("age_1", "YoE", "sex"), label: str = "flag",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from neurospan.functions import columns as C
 from neurospan.operators import connectivity as N
 from neurospan.operators import rollup as R
+from neurospan.operators import visits as V
 from neurospan.plans import connectome_inputs as I
 from neurospan.plans.registry import query, r6, sql6
 from neurospan.session import table
@@ -243,6 +244,30 @@ def pivot_rollup(spark, sf):
     return wide.select("subject_id", *[r6(c).alias(c) for c in wide.columns if c != "subject_id"])
 
 
+@query(
+    "wide_master",
+    f"""WITH {_ROLLUP_SQL}, demo AS (SELECT DISTINCT CAST(label AS VARCHAR) AS subject_id, label % 2 AS flag, 60.0 + label AS age_1, 62.0 + label + label % 3 AS age_2
+      FROM embeddings UNION ALL VALUES ('nobody', 1, 70.0, 73.0)),
+    wide AS (SELECT subject_id, """
+    + ", ".join(f"max({m}) FILTER (ses = 'ses-0{k}') AS {m}_{k}" for k in (1, 2) for m in _MEASURES)
+    + """ FROM rolled GROUP BY ALL)
+    SELECT subject_id, CAST(flag AS INT) AS flag, """
+    + ", ".join(f"{sql6(f'{m}_{k}')} AS {m}_{k}" for k in (1, 2) for m in _MEASURES) + ", "
+    + ", ".join(f"{sql6(f'({m}_2 - {m}_1) / (age_2 - age_1)')} AS {m}_slope" for m in _MEASURES)
+    + " FROM demo LEFT JOIN wide USING (subject_id)",
+)
+def wide_master(spark, sf):
+    """Demographics with both visits' roll-ups and their annual changes; a subject without scans stays."""
+    label = F.col("label")
+    demo = table(spark, sf, "embeddings").select(
+        label.cast("string").alias("subject_id"), (label % 2).cast("int").alias("flag"), (label + 60.0).alias("age_1"),
+        (label + 62.0 + label % 3).alias("age_2"),
+    ).distinct().union(spark.createDataFrame([("nobody", 1, 70.0, 73.0)], "subject_id string, flag int, age_1 double, age_2 double"))
+    wide = R.visits_to_columns(rollup(spark, sf), {"ses-01": "1", "ses-02": "2"})
+    out = V.wide_master(demo, [wide], _MEASURES).drop("age_1", "age_2")
+    return out.select("subject_id", "flag", *[r6(c).alias(c) for c in out.columns if c not in ("subject_id", "flag")])
+
+
 @query(
     "missing_weights",
     f"""WITH {I.SERIES_SQL}, w AS (SELECT DISTINCT p_partkey % 61 AS roi FROM part)

@@ -190,6 +190,46 @@ def perm_null(spark, sf):
     return permutation_p(null.where(F.col("run_id") == run_id), obs, stop=50).drop("run_id")
 
 
+@query(
+    "model_summary",
+    f"""WITH s AS (SELECT o_orderkey % 12 AS run, o_custkey % 2 AS y, o_totalprice AS score FROM orders),
+    r AS (SELECT run, y, rank() OVER (PARTITION BY run ORDER BY score) + (count(*) OVER (PARTITION BY run, score) - 1) / 2.0 AS ra,
+      rank() OVER (PARTITION BY run, y ORDER BY score) + (count(*) OVER (PARTITION BY run, y, score) - 1) / 2.0 AS rw,
+      sum(y) OVER (PARTITION BY run) AS n1, sum(1 - y) OVER (PARTITION BY run) AS n0 FROM s),
+    v AS (SELECT run, y, CASE WHEN y = 1 THEN (ra - rw) / n0 ELSE 1 - (ra - rw) / n1 END AS v FROM r),
+    d AS (SELECT run, avg(v) FILTER (y = 1) AS auc, sqrt(var_samp(v) FILTER (y = 1) / count(*) FILTER (y = 1)
+      + var_samp(v) FILTER (y = 0) / count(*) FILTER (y = 0)) AS se FROM v GROUP BY run),
+    n AS (SELECT user_id % 12 AS run, event_id, CAST((event_id * 37 % 1000) / 1000.0::DOUBLE >= auc AS INT) AS hit FROM events JOIN d ON d.run = user_id % 12),
+    k AS (SELECT *, row_number() OVER win AS draw, sum(hit) OVER win AS hits FROM n WINDOW win AS (PARTITION BY run ORDER BY event_id)),
+    e AS (SELECT run, min(draw) FILTER (hits >= 50 AND hit = 1) AS stop_at, count(*) AS n_done, sum(hit) AS b FROM k GROUP BY run),
+    p AS (SELECT d.run, auc, se, coalesce(stop_at, n_done) AS n_perm_used, coalesce(50.0::DOUBLE / stop_at, (b + 1.0::DOUBLE) / (n_done + 1)) AS p_value
+      FROM d LEFT JOIN e ON e.run = d.run),
+    f AS (SELECT *, run % 2 AS fam, count(p_value) OVER (PARTITION BY run % 2) AS m, count(p_value) OVER (PARTITION BY run % 2 ORDER BY p_value) AS upto FROM p)
+    SELECT CASE fam WHEN 0 THEN 'elastic_net' ELSE 'linear_svm' END AS model, run // 2 % 3 AS modality, run // 6 AS feature_set,
+      {sql6('auc')} AS auc, {sql6('auc - 1.959963984540054 * se')} AS ci_low, {sql6('auc + 1.959963984540054 * se')} AS ci_high,
+      n_perm_used, {sql6('p_value')} AS p_value,
+      {sql6('least(1, min(p_value * m / upto) OVER (PARTITION BY fam ORDER BY p_value RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS p_fdr
+    FROM f""",
+)
+def model_summary(spark, sf):
+    """The twelve runs, two models x three modalities x two feature sets, with FDR inside each model."""
+    from neurospan.operators.discrimination import summarise_runs
+
+    def run(number):
+        model = F.when(number % 2 == 0, "elastic_net").otherwise("linear_svm")
+        return [model.alias("model"), F.floor(number / 2 % 3).alias("modality"), F.floor(number / 6).alias("feature_set")]
+
+    keys = ["model", "modality", "feature_set"]
+    scores = table(spark, sf, "orders").select(
+        *run(F.col("o_orderkey") % 12), (F.col("o_custkey") % 2).alias("y"), F.col("o_totalprice").alias("score")
+    )
+    null = table(spark, sf, "events").select(
+        *run(F.col("user_id") % 12), F.col("event_id").alias("perm_id"), ((F.col("event_id") * 37 % 1000) / 1000).alias("auc")
+    )
+    out = summarise_runs(scores, null, keys, ["model"])
+    return out.select(*keys, *[r6(c).alias(c) for c in ("auc", "ci_low", "ci_high")], "n_perm_used", *[r6(c).alias(c) for c in ("p_value", "p_fdr")])
+
+
 def _agreement_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     base = table(spark, sf, "part").select(
         F.concat(F.lit("f"), F.col("p_partkey")).alias("feature"),
