@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.shared import free_name, text_key
+from neurospan.llm.shared import cut, free_name, text_key
 
 #: Sentences and words of a run, at least.  Twenty words in a row do not repeat by chance.
 LEAST_SENTENCES, LEAST_WORDS = 2, 20
@@ -96,7 +96,8 @@ def repeated_places(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, lea
     """
     found = _all_runs(docs, least_sentences, least_words)
     firsts = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = firsts.select(F.col("h1").alias("of1"), F.col("h2").alias("of2"), "first_id")
+    # stored, so that both sides of the join are dealt anew and Spark can split the partition of a hot run
+    firsts = cut(firsts).select(F.col("h1").alias("of1"), F.col("h2").alias("of2"), "first_id")
     met = found.join(firsts, (F.col("h1") == F.col("of1")) & (F.col("h2") == F.col("of2")))
     later = F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_id"))
     return met.filter(later).groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
