@@ -101,15 +101,21 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     return O.bh_fdr(with_ci, keys=("model",))
 
 
+_STARS_SQL = "format('{{:.4f}}', {0}) || CASE WHEN {0} < 0.001 THEN '***' WHEN {0} < 0.01 THEN '**' WHEN {0} < 0.05 THEN '*' ELSE '' END"
+
+
 @query(
     "model_tables",
     f"""WITH {_RESULT_SQL} SELECT model, network,
       format('{{:.4f}} ({{:.4f}}', coef, ci_lo) || CASE WHEN ci_hi < 0 THEN '- ' ELSE '-' END || format('{{:.4f}})', ci_hi) AS coef_ci,
+      {_STARS_SQL.format('p_value')} AS p_text, {_STARS_SQL.format('p_fdr')} AS p_fdr_text,
+      format('{{:.4f}}', abs(coef) / (1 + abs(coef))) AS marginal_r2, format('{{:.4f}}', (abs(coef) + 0.5) / (1 + abs(coef))) AS conditional_r2,
       CASE WHEN p_fdr < 0.05 THEN 'fdr' WHEN p_value < 0.05 THEN 'nominal' ELSE 'none' END AS significance FROM adj""",
 )
 def model_tables(spark, sf):
-    rows = _results(spark, sf).withColumns({"marginal_r2": F.lit(0.1), "conditional_r2": F.lit(0.2)})
-    return R.mixed_model_rows(rows).select("model", "network", "coef_ci", "significance")
+    size = F.abs("coef")
+    rows = _results(spark, sf).withColumns({"marginal_r2": size / (1 + size), "conditional_r2": (size + 0.5) / (1 + size)})
+    return R.mixed_model_rows(rows)
 
 
 @query(
@@ -133,15 +139,17 @@ def result_slice(spark, sf):
 
 
 _SECTION_SQL = """top AS (SELECT p_type, p_name, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r
-  FROM part WHERE p_type IN ('SMALL', 'LARGE')),
-body AS (SELECT CASE p_type WHEN 'SMALL' THEN 0 ELSE 1 END AS section_no, p_type AS section, false AS is_heading, CAST(r AS INT) AS row_no,
-    CAST(p_partkey AS VARCHAR) AS label, p_name AS cell FROM top WHERE r <= 10),
-tbl AS (SELECT * FROM body UNION ALL VALUES (0, 'SMALL', true, 0, 'SMALL', ''), (1, 'LARGE', true, 0, 'LARGE', ''))"""
+  FROM part),
+kinds AS (SELECT p_type, CAST(row_number() OVER (ORDER BY p_type) - 1 AS INT) AS section_no FROM (SELECT DISTINCT p_type FROM part)),
+body AS (SELECT section_no, p_type AS section, false AS is_heading, CAST(r AS INT) AS row_no,
+    CAST(p_partkey AS VARCHAR) AS label, p_name AS cell FROM top JOIN kinds USING (p_type) WHERE r <= 10),
+tbl AS (SELECT * FROM body UNION ALL SELECT section_no, p_type, true, 0, p_type, '' FROM kinds)"""
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
-    for kind in ("SMALL", "LARGE"):
+    kinds = [r[0] for r in table(spark, sf, "part").select("p_type").distinct().orderBy("p_type").collect()]  # the headings
+    for kind in kinds:
         rows = table(spark, sf, "part").where(F.col("p_type") == kind)
         best = R.top_features(rows, 10, "p_retailprice", "p_partkey")
         ranked = best.select(
