@@ -182,3 +182,33 @@ def sample_characteristics(df: DataFrame, measures: Sequence[str], group: str, o
     )
     keep = ["measure", "t", "df"] + (["p_value"] if p_value else [])
     return cells.join(tests.select(*keep), "measure")
+
+
+def characteristics_table(df: DataFrame, flag: str, sex: str, sections: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The whole characteristics table: (section, measure, whole, group_0, group_1, p_value).
+
+    Group 1 has flag 1; everyone else, an unknown flag included, is group 0.  The first section holds the group sizes
+    and the share of women with a Yates-corrected chi-square; then one section per visit (or any other list of measures).
+    """
+    named = df.withColumn("_group", F.coalesce((F.col(flag) == 1).cast("int"), F.lit(0)))
+    woman = F.lower(F.col(sex)).eqNullSafe("female")
+    counts = chi2_two_by_two(named, F.col("_group") == 1, woman)
+    of_1, of_0 = F.col("a") + F.col("b"), F.col("c") + F.col("d")
+
+    def women(n: Column, total: Column) -> Column:
+        return F.concat(C.fixed(n, 0), F.lit(" ("), C.fixed(F.try_divide(100 * n, total), 1), F.lit("%)"))
+
+    def row(measure: str, whole: Column, group_0: Column, group_1: Column, p: Column) -> Column:
+        named_cells = zip(("measure", "whole", "group_0", "group_1", "p_value"), (F.lit(measure), whole, group_0, group_1, p), strict=True)
+        return F.struct(*[c.alias(name) for name, c in named_cells])
+
+    cells = F.array(
+        row("n", C.fixed(of_1 + of_0, 0), C.fixed(of_0, 0), C.fixed(of_1, 0), F.lit(None).cast("double")),
+        row("female", women(F.col("a") + F.col("c"), of_1 + of_0), women(F.col("c"), of_0), women(F.col("a"), of_1), F.col("p_value")),
+    )
+    out = counts.select(F.lit("sample").alias("section"), F.inline(cells))
+    measures = sorted({m for own in sections.values() for m in own})
+    rows = sample_characteristics(named, measures, "_group", 1, 0)
+    places = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(m).alias("of")) for s, own in sections.items() for m in own])
+    listed = rows.select("*", F.explode(places).alias("place")).where(F.col("place.of") == F.col("measure"))
+    return out.unionByName(listed.select(F.col("place.section").alias("section"), "measure", "whole", "group_0", "group_1", "p_value"))

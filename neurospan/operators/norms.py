@@ -41,10 +41,6 @@ def _by_test(cells: DataFrame, cell: Column) -> DataFrame:
     return per_test.agg(F.map_from_entries(F.collect_list(F.struct("test", "cells"))))
 
 
-def _field(name: str):
-    return lambda cell: cell[name]
-
-
 class AgeNorms:
     """Cells of one age-norm table: for every test its rows in sheet order, and the span of ages."""
 
@@ -58,8 +54,13 @@ class EducationNorms:
     """Score x years grid of one education table; years between listed columns take the lower column."""
 
     def __init__(self, norms: DataFrame):
-        cell = F.struct("yoe", "age_scaled", F.col("scaled").cast("double").alias("scaled"))
-        self.packed = _by_test(norms, cell).scalar()
+        place = F.struct("age_scaled", "yoe")
+        per_test = norms.groupBy("test").agg(
+            F.min("age_scaled").alias("lo"), F.max("age_scaled").alias("hi"), F.array_sort(F.collect_set("yoe")).alias("listed"),
+            F.map_from_entries(F.collect_list(F.struct(place.alias("place"), F.col("scaled").cast("double").alias("scaled")))).alias("grid"),
+        )
+        entry = F.struct("test", F.struct("lo", "hi", "listed", "grid").alias("table"))
+        self.packed = per_test.agg(F.map_from_entries(F.collect_list(entry))).scalar()
 
 
 _AGE, _EDU = "_age_norms", "_education_norms"
@@ -90,16 +91,16 @@ def by_age(df: DataFrame, norms: AgeNorms, raw: str, age: str, test: str, out: s
 def by_education(df: DataFrame, norms: EducationNorms, scaled: str, years: str, test: str, out: str,
                  max_years: int = MAX_YEARS) -> DataFrame:
     """Education-adjusted score: clamped row, then the greatest listed year not above the subject's."""
-    cells = F.try_element_at(F.col(_EDU), F.lit(test))
-    scores, listed = F.transform(cells, _field("age_scaled")), F.transform(cells, _field("yoe"))
-    row = C.clamp(F.col(scaled).cast("int"), F.array_min(scores), F.array_max(scores))
+    table = F.try_element_at(F.col(_EDU), F.lit(test))
     capped = F.when(F.col(years).isNotNull(), F.least(F.floor(years).cast("int"), F.lit(max_years)))
-    wanted = C.clamp(capped, F.array_min(listed), F.array_max(listed))
-    place = F.struct(row.alias("row"), F.array_max(F.filter(listed, lambda y: y <= wanted)).alias("column"))
-    placed = _attach(df, None, norms).withColumn("_place", place)
-    at = F.col("_place")
-    hit = F.filter(cells, lambda c: (c["age_scaled"] == at["row"]) & (c["yoe"] == at["column"]))
-    found = placed.withColumn(out, F.get(hit, F.lit(0))["scaled"]).drop("_place")
+    wanted = C.clamp(capped, F.array_min(table["listed"]), F.array_max(table["listed"]))
+    column = F.array_max(F.filter(table["listed"], lambda y: y <= wanted))
+    row = C.clamp(F.col(scaled).cast("int"), table["lo"], table["hi"])
+    # one map lookup: an expression inside a lambda is evaluated again for every cell
+    place = F.struct(row.alias("age_scaled"), column.alias("yoe"))
+    found = _attach(df, None, norms).withColumn(
+        out, F.when(row.isNotNull() & column.isNotNull(), F.try_element_at(table["grid"], place))
+    )
     return found if _EDU in df.columns else found.drop(_EDU)
 
 

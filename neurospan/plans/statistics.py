@@ -366,6 +366,50 @@ def sample_characteristics(spark, sf):
     return out.withColumns({c: r6(c) for c in ("t", "df", "p_value")})
 
 
+_TABLE_SQL = """sub AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE CAST(c_nationkey % 2 AS INT) END AS grp,
+    c_custkey % 3 = 0 AS woman, any_value(c_acctbal) AS acctbal, count(o_orderkey)::DOUBLE AS n_orders,
+    round(avg(o_totalprice) / 1000, 1) AS mean_price FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+  long AS (SELECT grp, 'acctbal' AS measure, acctbal AS value FROM sub UNION ALL SELECT grp, 'n_orders', n_orders FROM sub
+    UNION ALL SELECT grp, 'mean_price', mean_price FROM sub),
+  m AS (SELECT measure, avg(value) AS mean, stddev_samp(value) AS sd, avg(value) FILTER (grp = 1) AS m1, var_samp(value) FILTER (grp = 1) AS v1,
+    count(*) FILTER (grp = 1) AS n1, avg(value) FILTER (grp = 0) AS m0, var_samp(value) FILTER (grp = 0) AS v0, count(*) FILTER (grp = 0) AS n0 FROM long GROUP BY 1),
+  w AS (SELECT *, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t, pow(v1 / n1 + v0 / n0, 2)
+    / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)) AS df FROM m),
+  c AS (SELECT count(*) FILTER (grp = 1 AND woman)::DOUBLE AS a, count(*) FILTER (grp = 1 AND NOT woman)::DOUBLE AS b,
+    count(*) FILTER (grp = 0 AND woman)::DOUBLE AS c, count(*) FILTER (grp = 0 AND NOT woman)::DOUBLE AS d FROM sub),
+  x AS (SELECT *, (a + b + c + d) * pow(abs(a * d - b * c) - least(abs(a * d - b * c), (a + b + c + d) / 2), 2)
+    / ((a + b) * (c + d) * (a + c) * (b + d)) AS chi2 FROM c)"""
+_SECTIONS = {"first visit": ("acctbal", "mean_price"), "follow-up": ("n_orders", "mean_price")}
+
+
+def _women_sql(n: str, total: str) -> str:
+    return f"format('{{:.0f}} ({{:.1f}}%)', {n}, 100 * ({n}) / ({total}))"
+
+
+@query(
+    "characteristics_table",
+    f"""WITH {_TABLE_SQL}, p(section, measure) AS (VALUES {", ".join(f"('{k}', '{m}')" for k, own in _SECTIONS.items() for m in own)})
+    SELECT 'sample' AS section, 'n' AS measure, format('{{:.0f}}', a + b + c + d) AS whole, format('{{:.0f}}', c + d) AS group_0,
+      format('{{:.0f}}', a + b) AS group_1, NULL AS p_value FROM x
+    UNION ALL SELECT 'sample', 'female', {_women_sql('a + c', 'a + b + c + d')}, {_women_sql('c', 'c + d')}, {_women_sql('a', 'a + b')}, {sql6(_CHI_TAIL)} FROM x
+    UNION ALL SELECT section, measure, format('{{:.2f}} ({{:.2f}})', mean, sd), format('{{:.2f}} ({{:.2f}})', m0, sqrt(v0)),
+      format('{{:.2f}} ({{:.2f}})', m1, sqrt(v1)), {sql6(_t_tail_sql('t', 'df'))} FROM w JOIN p USING (measure)""",
+)
+def characteristics_table(spark, sf):
+    """Sizes, sex and the measures of each visit; subjects of unknown flag are typical."""
+    subjects = (
+        table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_custkey", "c_nationkey")
+        .agg(F.max("c_acctbal").alias("acctbal"), F.count("o_orderkey").cast("double").alias("n_orders"),
+             F.round(F.avg("o_totalprice") / 1000, 1).alias("mean_price"))
+        .withColumns({
+            "flag": F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey") % 2),
+            "sex": F.when(F.col("c_custkey") % 3 == 0, "female").otherwise("male"),
+        })
+    )
+    return G.characteristics_table(subjects, "flag", "sex", _SECTIONS).withColumn("p_value", r6("p_value"))
+
+
 @query(
     "p_text",
     f"""WITH {_WELCH_SQL}, p AS (SELECT c_mktsegment, t, {_t_tail_sql('t', 'df')} AS p FROM w)
