@@ -24,9 +24,14 @@ def first_failure(rules: Sequence[tuple[str, Column]], passed: str = ELIGIBLE) -
     return out.otherwise(passed)
 
 
-def funnel(df: DataFrame, rules: Sequence[tuple[str, Column]], keys: Sequence[str] = ()) -> DataFrame:
-    """Count of rows per first failing reason (and of the eligible rest)."""
-    return df.groupBy(*keys, first_failure(rules).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+def funnel(df: DataFrame, rules: Sequence[tuple[str, Column]], keys: Sequence[str] = (),
+           details: Mapping[str, Column] | None = None) -> DataFrame:
+    """Count of rows per first failing reason (and of the eligible rest); ``details`` adds a rule's own text to its reason."""
+    reason = first_failure(rules)
+    out = reason
+    for name, text in (details or {}).items():
+        out = F.when(reason == name, F.concat(F.lit(f"{name}: "), text)).otherwise(out)
+    return df.groupBy(*keys, out.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_valid(df: DataFrame, rules: Sequence[tuple[str, Column]], stage: str) -> tuple[DataFrame, DataFrame]:

@@ -624,9 +624,7 @@ def eligibility_funnel(spark, sf):
         ("motion", F.col("exclude_motion")),
         ("source", F.col("reject_reason").isNotNull()),
     ]
-    reason = quality.first_failure(rules)
-    detail = F.when(reason == "source", F.concat(F.lit("source: "), F.col("reject_reason"))).otherwise(reason)
-    return joined.groupBy(detail.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return quality.funnel(joined, rules, details={"source": F.col("reject_reason")})
 
 
 @query(

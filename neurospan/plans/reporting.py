@@ -9,7 +9,8 @@ from neurospan.functions import columns as C
 from neurospan.operators import ordered as O
 from neurospan.operators import report as R
 from neurospan.plans import connectome_inputs as I
-from neurospan.plans.registry import query, r6, sql6
+from neurospan.plans.models import model_summary
+from neurospan.plans.registry import ORACLES, query, r6, sql6
 from neurospan.session import table
 
 # --- labels --------------------------------------------------------------------
@@ -180,26 +181,15 @@ def heading_levels(spark, sf):
 
 @query(
     "classifier_table",
-    """WITH s AS (SELECT toxic AS run, quality AS y, n_chars AS score FROM labels JOIN documents USING (doc_id)),
-    p AS (SELECT *, row_number() OVER () AS id FROM s),
-    c AS (SELECT a.run, a.id AS pi, b.id AS ni, CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END AS w
-          FROM p a JOIN p b ON a.run = b.run AND a.y = 1 AND b.y = 0),
-    a AS (SELECT run, avg(v) AS auc, var_samp(v) / count(*) AS x FROM (SELECT run, pi, avg(w) AS v FROM c GROUP BY ALL) GROUP BY run),
-    b AS (SELECT run, var_samp(v) / count(*) AS x FROM (SELECT run, ni, avg(w) AS v FROM c GROUP BY ALL) GROUP BY run),
-    d AS (SELECT run, auc, sqrt(a.x + b.x) AS se FROM a JOIN b USING (run))
-    SELECT run, format('{:.3f} ({:.3f}-{:.3f})', auc, auc - 1.959963984540054 * se, auc + 1.959963984540054 * se) AS auc_ci,
-      '0.020*' AS p_text, '0.040*' AS p_fdr_text, '1000' AS permutations FROM d""",
+    f"""WITH runs AS ({ORACLES["model_summary"]})
+    SELECT model, modality, feature_set, format('{{:.3f}} ({{:.3f}}-{{:.3f}})', auc, ci_low, ci_high) AS auc_ci,
+      format('{{:.3f}}', p_value) || CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS p_text,
+      format('{{:.3f}}', p_fdr) || CASE WHEN p_fdr < 0.001 THEN '***' WHEN p_fdr < 0.01 THEN '**' WHEN p_fdr < 0.05 THEN '*' ELSE '' END AS p_fdr_text,
+      CAST(n_perm_used AS VARCHAR) AS permutations FROM runs""",
 )
 def classifier_table(spark, sf):
-    from neurospan.operators.discrimination import delong
-
-    scored = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").select(
-        F.col("toxic").alias("run"), F.col("quality").alias("y"), F.col("n_chars").alias("score")
-    )
-    rows = delong(scored, keys=["run"]).where("n_pos > 0 AND n_neg > 0").withColumns(
-        {"p_value": F.lit(0.02), "p_fdr": F.lit(0.04), "n_perm_used": F.lit(1000)}
-    )
-    return R.classifier_rows(rows, ["run"])
+    """The twelve runs of ``model_summary`` as printed cells."""
+    return R.classifier_rows(model_summary(spark, sf), ["model", "modality", "feature_set"])
 
 
 @query(

@@ -184,6 +184,22 @@ def json_fields(spark, sf):
     return scans.json_fields(table(spark, sf, "events"), "props", {"k": "int"}).select("event_id", "k")
 
 
+@query(
+    "json_side_files",
+    f"""SELECT CAST(c_custkey AS VARCHAR) AS subject_id, 'ses-01' AS ses, {sql6('c_acctbal / 1000', 3)} AS repetition_time, CAST(c_nationkey AS INT) AS n_slices
+    FROM customer""",
+)
+def json_side_files(spark, sf):
+    """One JSON document per subject below its folder, read back by path."""
+    folder = scratch_dir(spark, "side-files")
+    rows = table(spark, sf, "customer").select(
+        F.concat(F.lit("sub-"), F.col("c_custkey")).alias("subject"), F.lit("ses-01").alias("visit"),
+        r6(F.col("c_acctbal") / 1000, 3).alias("repetition_time"), F.col("c_nationkey").alias("n_slices"),
+    )
+    rows.repartition("subject").write.partitionBy("visit", "subject").json(folder)
+    return scans.json_side_files(spark, f"{folder}/*/*/*.json", {"repetition_time": "double", "n_slices": "int"})
+
+
 @query(
     "edge_name_split",
     """SELECT DISTINCT 'roi' || CAST(l_partkey % 64 AS VARCHAR) || ' - roi' || CAST(l_suppkey % 64 AS VARCHAR) AS edge,
