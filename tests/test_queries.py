@@ -7,7 +7,6 @@ from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW = {"perm_null", "lme_battery", "svm_nested_cv", "perm_importance"}  # covered by their own tests
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def test_matches_sql(spark, con, name):
     assert not diff, diff
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
