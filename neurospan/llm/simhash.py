@@ -207,7 +207,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tre
     rooted = fps.join(joined, F.col("fp") == F.col("linked_fp"), "left").select(
         "doc_id", "text_key", "fp", F.coalesce("root", "fp").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "of_root")
+    # stored, so that both sides of the join are dealt anew and Spark can split the partition of a large group
+    least = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))).withColumnRenamed("root", "of_root")
     out = rooted.join(least, F.col("root") == F.col("of_root"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
 
