@@ -298,7 +298,7 @@ def fit_battery(
     from neurospan.operators.ordered import bh_fdr
 
     names = {"flag": "flag", "memory": "memory", "time": "time", "age": "age_1", "sex": "sex", "years": "YoE", **columns}
-    measured = [c for own in networks.values() for c in own.values()]
+    measured = list(dict.fromkeys(c for own in networks.values() for c in own.values()))
     scaled = zscore(long, [*measured, names["memory"], names["time"], names["age"], names["years"]])
     specs = [
         replace(s, name=f"{s.name}|{atlas}") for atlas, own in networks.items() for s in battery(own, **names)
