@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.shared import free_name
+from neurospan.llm.shared import free_name, pieces
 
 WORDS, THRESHOLD = 5, 0.8
 #: Text bytes of the items that one pass over the documents carries; a larger benchmark takes several passes.
@@ -121,7 +121,7 @@ def contaminated(
     def search(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches = Sketches(block, threshold, size)
-            for batch in batches:
+            for batch in pieces(batches, 1):
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for k, shared in sketches.found(text):
@@ -149,7 +149,7 @@ def drop_contaminated(
     def mark(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches = Sketches(block, threshold, size)
-            for batch in batches:
+            for batch in pieces(batches, text):
                 clean = pa.array([not sketches.found(t) for t in batch.column(text).to_pylist()], pa.bool_())
                 yield pa.RecordBatch.from_arrays([*batch.columns, clean], names=[*batch.schema.names, flag])
 

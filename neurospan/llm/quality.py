@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from neurospan.llm.sampling import bounded_ids, one_label, texts_of
+from neurospan.llm.shared import free_name, pieces
 
 #: Trusted positives and unlabelled documents that the model is fitted on, at most.
 POSITIVE_ROWS, UNLABELLED_ROWS = 5000, 20000
@@ -133,7 +134,7 @@ def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, l
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 0):
         x = pa.array([features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([x], names=["x"])
 
@@ -169,7 +170,7 @@ def score(docs: DataFrame, model: QualityModel, into: str = "score") -> DataFram
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text):
             x = np.array([features(t or "") for t in batch.column(text).to_pylist()], float).reshape(-1, WIDTH)
             z = model.logits(x) if len(model.edges) else np.zeros(len(x))
             found = pa.array(_logistic(z) + np.zeros(len(x)), pa.float64())
@@ -180,7 +181,5 @@ def score(docs: DataFrame, model: QualityModel, into: str = "score") -> DataFram
 
 def drop_poor(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score below the threshold; columns unchanged."""
-    from neurospan.llm.shared import free_name
-
     name = free_name(docs.columns, "quality_score")
     return score(docs, model, name).filter(F.col(name) >= threshold).drop(name)

@@ -51,8 +51,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepieces.load_model(SENTENCEPIECE_MODEL)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    coded = sentencepieces.encode(docs, model, keep=["doc_id", "text_sha256"])
-    read = sentencepieces.decode(coded, model)
+    read = sentencepieces.encode_decode(docs, model, keep=["doc_id", "text_sha256"])
     decoded = F.sha2(F.col("decoded").cast("binary"), 256)
     return read.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),

@@ -22,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from neurospan.llm.shared import pieces
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the public model format
 UNIGRAM, BPE = 1, 2  # likewise
 
 #: Largest model file that tasks may carry.
 MODEL_LIMIT_BYTES = 64 * 1024 * 1024
-#: Characters encoded at once, and words remembered by a worker.
-SLICE_CHARS, MEMO_WORDS = 1 << 20, 500_000
+#: Text bytes encoded at once, and words remembered by a worker.
+SLICE_BYTES, MEMO_WORDS = 1 << 20, 150_000
 
 
 # every byte that is no part of a character is one replacement character
@@ -160,7 +162,7 @@ class Codec:
 
     def __init__(self, data: bytes):
         self.model = parse_model(data)
-        self.tokenizer = build_tokenizer(self.model)
+        self.built = None  # a worker that only decodes seldom needs it
         self.normalise = normaliser(self.model)
         # a piece with a marker behind another character joins words; user pieces may do so too
         self.by_word = not any(kind == USER or (kind == NORMAL and re.search(f"[^{MARK}]{MARK}", p)) for p, _, kind in self.model.pieces)
@@ -177,6 +179,12 @@ class Codec:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(x or b"" for x in shown), np.uint8)
 
+    @property
+    def tokenizer(self):
+        if self.built is None:
+            self.built = build_tokenizer(self.model)
+        return self.built
+
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.flat, self.cuts = array("i"), array("q", [0])
@@ -261,18 +269,6 @@ class Codec:
         return pa.array(out, pa.string())
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch with at most SLICE_CHARS characters (or a single text)."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        if k > start and size + len(t) > SLICE_CHARS:
-            yield start, k
-            start, size = k, 0
-        size += len(t)
-    if texts:
-        yield start, len(texts)
-
-
 _CODECS: dict[int, Codec] = {}
 
 
@@ -301,15 +297,13 @@ def encode(
     ``threads`` is the number of threads of the library in each worker.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
-    schema = _added(df, keep, into, T.ArrayType(T.IntegerType()))
+    schema, at = _added(df, keep, into, T.ArrayType(T.IntegerType())), df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, threads)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            for a, b in slices(texts):
-                part = batch.slice(a, b - a).select(keep)
-                yield pa.RecordBatch.from_arrays([*part.columns, c.encode(texts[a:b])], names=[*keep, into])
+        for part in pieces(batches, at, SLICE_BYTES):
+            ids = c.encode([t or "" for t in part.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.select(keep).columns, ids], names=[*keep, into])
 
     return df.mapInArrow(run, schema)
 
@@ -324,9 +318,27 @@ def decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, threads)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
                 found = c.decode(part.column(part.schema.get_field_index(ids)))
                 yield pa.RecordBatch.from_arrays([*part.select(keep).columns, found], names=[*keep, into])
 
     return df.mapInArrow(run, schema)
+
+
+def encode_decode(
+    df: DataFrame, model: bytes, text: str = "text", into: str = "ids", back: str = "decoded",
+    keep: Sequence[str] | None = None, threads: int = 2,
+) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: a task needs one Python worker, and one table of words, instead of two."""
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in (into.lower(), back.lower())]
+    schema, at = _added(df, keep, into, T.ArrayType(T.IntegerType())), df.columns.index(text)
+    schema = T.StructType([*schema.fields, T.StructField(back, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model, threads)
+        for part in pieces(batches, at, SLICE_BYTES):
+            ids = c.encode([t or "" for t in part.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.select(keep).columns, ids, c.decode(ids)], names=[*keep, into, back])
+
+    return df.mapInArrow(run, schema)

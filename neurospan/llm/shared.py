@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices with at most ``limit`` bytes in column ``text`` (or a single row).
+
+    Arrow batches have a fixed number of rows, whatever these hold; a worker's memory should not follow the longest ones.
+    """
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < batch.num_rows:
+            before = int(sizes[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(sizes, before + limit, "right")))
+            yield batch.slice(a, b - a)
+            a = b
+        pa.default_memory_pool().release_unused()
+
+
 def crc32_fold(key: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is hashed as the empty text."""
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neurospan.llm.components import components
-from neurospan.llm.shared import cut, same, text_key, without
+from neurospan.llm.shared import cut, pieces, same, text_key, without
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Bit blocks (two more than the radius: two blocks agree) and fingerprints in one tree.
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, text_key, fp): one row per row of ``docs``; null texts count as empty and have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             found = np.array([fingerprint(t or "", words) for t in batch.column(2).to_pylist()], np.uint64)
             kept = [batch.column(0), batch.column(1), pa.array(found.view(np.int64))]
             yield pa.RecordBatch.from_arrays(kept, names=["doc_id", "text_key", "fp"])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.shared import cut, free_name, text_key
+from neurospan.llm.shared import cut, free_name, pieces, text_key
 
 #: Sentences and words of a run, at least.  Twenty words in a row do not repeat by chance.
 LEAST_SENTENCES, LEAST_WORDS = 2, 20
@@ -63,7 +63,7 @@ def _all_runs(docs: DataFrame, least_sentences: int, least_words: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "place", "again", "h1", "h2"]
-        for batch in batches:
+        for batch in pieces(batches, 2):
             texts = batch.column(2).to_pylist()
             rows, places, again, hashes = [], [], [], []
             for k, t in enumerate(texts):
@@ -122,7 +122,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", T.ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts, removed = [], []
             for t, starts in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 gone = []

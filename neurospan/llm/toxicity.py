@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from neurospan.llm.sampling import bounded_ids, one_label, texts_of
+from neurospan.llm.shared import free_name, pieces
 
 #: Labelled rows of each class that the model is fitted on, at most.
 FIT_ROWS = 5000
@@ -66,7 +67,7 @@ def _parts(word: str, named: frozenset[str]) -> list[int]:
 class _Known(dict):
     """Features with a weight of each word met so far; a worker remembers a bounded number of words."""
 
-    def __init__(self, model: ToxicityModel, limit: int = 300_000):
+    def __init__(self, model: ToxicityModel, limit: int = 150_000):
         super().__init__()
         self.weights, self.named, self.limit = model.weights, model.named, limit
 
@@ -93,7 +94,7 @@ def _features(terms: Sequence[Sequence[str]]):
     named = _named(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 0):
             texts = [t.lower() for t in batch.column(0).to_pylist()]
             words = pa.array([sorted({f for w in set(_WORDS(t)) for f in _parts(w, named)}) for t in texts], pa.list_(pa.int32()))
             swaps = [[sorted(named.intersection(_WORDS(s))) for s in _SENTENCES(t)] if named.intersection(_WORDS(t)) else [] for t in texts]
@@ -202,7 +203,7 @@ def score(docs: DataFrame, model: ToxicityModel, into: str = "score") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(model)
-        for batch in batches:
+        for batch in pieces(batches, text):
             sums = [known.total(t or "") for t in batch.column(text).to_pylist()]
             found = pa.array(_logistic(np.array(sums, float) + model.bias), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, into])
@@ -212,7 +213,5 @@ def score(docs: DataFrame, model: ToxicityModel, into: str = "score") -> DataFra
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score at or above the threshold; columns unchanged."""
-    from neurospan.llm.shared import free_name
-
     name = free_name(docs.columns, "toxicity")
     return score(docs, model, name).filter(F.col(name) < threshold).drop(name)

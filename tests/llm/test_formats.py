@@ -78,6 +78,9 @@ def test_encode_frame(spark, model):
     got = out.collect()
     assert len(got) == len(rows) and all(r["decoded"] == (r["text"] or "").replace("▁", " ") for r in got)
     assert sentencepieces.encode(docs.limit(0), model).count() == 0
+    both = sentencepieces.encode_decode(docs, model)
+    order = lambda rows: sorted((tuple(sorted(r.asDict().items())) for r in rows), key=str)
+    assert order(both.collect()) == order(got)
 
 
 def test_truncated_model_is_refused(model):
