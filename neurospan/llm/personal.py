@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.shared import cut, free_name, text_key
+from neurospan.llm.shared import cut, free_name, pieces, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 #: A word is a risk if its information about an entity reaches this share of all there is to know; removed above the second.
@@ -115,7 +115,7 @@ def _found(docs: DataFrame) -> DataFrame:
     beside_type = pa.list_(pa.struct([("entity", pa.string()), ("word", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             base, beside = [], []
             for t in batch.column(2).to_pylist():
                 spans = base_spans(t or "")
@@ -137,7 +137,7 @@ def word_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
 
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for t in batch.column(0).to_pylist():
                 counts.update({w.lower() for w in set(_WORD.findall(t or ""))})
                 if len(counts) >= flush:
@@ -155,8 +155,8 @@ def _disclosing(found: DataFrame, docs: DataFrame, generalise_at: float, support
     near = found.select(F.explode(F.array_distinct(F.transform("beside", lambda x: F.struct(x["entity"].alias("entity"), x["word"].alias("word"))))).alias("x"))
     pairs = near.groupBy("x.entity", "x.word").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
     words = word_counts(docs).withColumnRenamed("word", "known").withColumnRenamed("n", "n_word")
-    total = found.agg(F.count(F.lit(1)).cast("double").alias("total"))
-    joined = pairs.join(entities, "entity").join(words, F.col("word") == F.col("known")).join(F.broadcast(total))  # one row
+    total = found.agg(F.count(F.lit(1)).cast("double")).scalar()
+    joined = pairs.join(entities, "entity").join(words, F.col("word") == F.col("known")).withColumn("total", total)
     information = F.log2(F.col("total") / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * F.col("total") / (F.col("n_word") * F.col("n_entity")))
     strength = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
@@ -207,7 +207,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     at, marks = docs.columns.index("text"), {"general": "[TERM]", "remove": ""}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts = []
             for t, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if spans:
