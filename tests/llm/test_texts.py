@@ -1,5 +1,6 @@
 """Decontamination, sentence spans, personal data and classifiers against brute force on small tables."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -181,6 +182,54 @@ def test_disclosing_words(spark):
     assert personal.personal_spans(docs.limit(0)).count() == 0
 
 
+def plain_terms(rows):
+    """Disclosing words by counting over whole texts, and all their places."""
+    held, both, n_word, n_entity = [], defaultdict(int), defaultdict(int), defaultdict(int)
+    for _, text in rows:
+        text = text or ""
+        base = plain_base(text)
+        places = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+        places = [p for p in places if not any(p[1] < b and a < p[2] for _, a, b in base)]
+        entities = {personal._entity(k, text[a:b]) for k, a, b in base}
+        held.append(places)
+        for w in {p[0] for p in places}:
+            n_word[w] += 1
+            for e in entities:
+                both[e, w] += 1
+        for e in entities:
+            n_entity[e] += 1
+    risk = {}
+    for (e, w), n in both.items():
+        own = math.log2(len(rows) / n_entity[e])
+        if n >= 2 and own > 0:
+            strength = math.log2(n * len(rows) / (n_word[w] * n_entity[e])) / own
+            if strength >= 0.8:
+                risk[w] = max(strength, risk.get(w, 0))
+    return [sorted(("remove" if risk[w] >= 0.95 else "general", a, b) for w, a, b in p if w in risk) for p in held]
+
+
+def test_terms_match_brute_force_over_whole_texts(spark):
+    """Words count wherever they stand in a text, and go from every text, also from those without the identifier."""
+    rng = random.Random(11)
+    name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:04d}")
+    people = [f"{name(k)}@corp.example" for k in range(12)]
+    rows = []
+    for k in range(300):
+        parts = [name(rng.randrange(1500)) for _ in range(rng.randint(0, 60))]
+        if k % 3 == 0:
+            p = rng.randrange(12)
+            parts = [people[p], *parts, "\n", f"Friend{name(p)}", f"known{name(p // 2)}"]
+        elif k % 40 == 1:
+            parts += ["\n", f"friend{name(rng.randrange(12))}"]
+        rows.append((k, " ".join(parts)))
+    rows += [(None, rows[0][1]), (5, rows[3][1]), (300, None), (301, "")]
+    got = personal.personal_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(i, t) for (i, _), t in zip(rows, plain_terms(rows))]
+    assert sorted(((r["doc_id"], [tuple(t) for t in r["terms"]]) for r in got), key=str) == sorted(want, key=str)
+    assert sum(bool(t) and "@" not in (x or "") for (_, x), (_, t) in zip(rows, want)) > 3
+    assert {k for _, t in want for k, _, _ in t} == {"remove", "general"}
+
+
 # --- classifiers -------------------------------------------------------------
 
 
