@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from neurospan.llm import exact, simhash
+from neurospan.llm import exact, similar, simhash
 from neurospan.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, label string, fp string, recipe string"
@@ -144,3 +144,58 @@ def test_drop_exact(spark):
 @pytest.mark.parametrize("run", [simhash.near_groups, exact.exact_groups])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def similar_case():
+    """Chains of edited copies around the threshold, hot groups, texts without words, repeated and missing ids."""
+    rng = random.Random(9)
+    texts = [None, "", " \n", "one two", "One TWO", "one two three"]
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([8, 40, 150, 600]))]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([1, 2, 12])):
+            for _ in range(rng.randint(1, max(1, len(base) // 40))):
+                base[rng.randrange(len(base))] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(base))
+    rows = [(3 * k + 1, t, "l", "f", "r") for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    return rows + rows[:3] + [(None, rows[0][1], "l", "f", "r"), (None, "only here", "l", "f", "r")]
+
+
+def expected_similar(rows):
+    sets = []
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    up = list(range(len(rows)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        up[root(i)] = root(j)
+    least = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            least[root(k)] = min(least.get(root(k), r[0]), r[0])
+    return pairs, [least.get(root(k)) for k in range(len(rows))]
+
+
+def test_near_stage_drops_all_similar_texts(spark):
+    """The stage's rule is similarity, which copies with more than four differing fingerprint bits meet as well."""
+    import corpus_pipeline
+
+    rows = similar_case()
+    pairs, want = expected_similar(rows)
+    fps = [plain_fingerprint(r[1]) for r in rows]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 4 for i, j in pairs) > 20
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = similar.similar_groups(docs).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((r[0], c) for r, c in zip(rows, want)), key=str)
+    kept = corpus_pipeline.near_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r, c in zip(rows, want) if r[0] == c)
+    assert similar.similar_groups(docs.limit(0)).count() == 0
