@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurospan.llm import chat, decontaminate, exact, personal, quality, revisits, sentencepieces, simhash, spans, toxicity
+from neurospan.llm import (
+    alignment, chat, decontaminate, exact, mixing, personal, quality, repair, revisits, sentencepieces, simhash, spans, toxicity,
+)
 from neurospan.llm.shared import crc32_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 #: Where the public SentencePiece model lies; pass another path to the operators for another model.
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_LEVEL_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def query(name: str, sql: str | None = None):
@@ -279,3 +282,56 @@ def _captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document under both tokenizers, set against corpus-wide counts of linked ids."""
+    a, b = alignment.read_file(BYTE_LEVEL_FILE), alignment.read_file(SENTENCEPIECE_MODEL)
+    out = alignment.aligned_totals(table(spark, sf_dir, "documents"), a, b)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query(
+    "op12_source_mixing",
+    f"""
+    WITH worded AS (
+      SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    drawn AS (
+      SELECT doc_id, source, len(w)::BIGINT AS size, 0.1::DOUBLE + CASE WHEN len(w) > 0 THEN len(list_distinct(w))::DOUBLE / len(w) ELSE 0 END AS weight,
+        (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / {2.0**52} AS u FROM worded
+    ),
+    totals AS (SELECT source, sum(size)::DOUBLE AS source_size FROM drawn GROUP BY source),
+    weighed AS (
+      SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight,
+        2 * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS mix FROM totals
+    ),
+    levels AS (SELECT *, cap / weight AS level FROM weighed),
+    filled AS (
+      SELECT *, sum(cap) OVER (ORDER BY level, source NULLS LAST) + level * (sum(weight) OVER () - sum(weight) OVER (ORDER BY level, source NULLS LAST)) <= mix AS shut FROM levels
+    ),
+    targets AS (
+      SELECT source, source_size::BIGINT AS source_size, CASE WHEN shut THEN cap ELSE least(cap, weight
+        * ((mix - coalesce(sum(cap) FILTER (shut) OVER (), 0)) / (sum(weight) OVER () - coalesce(sum(weight) FILTER (shut) OVER (), 0)))) END AS target FROM filled
+    ),
+    plan AS (
+      SELECT *, round(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM targets
+    ),
+    placed AS (
+      SELECT d.doc_id, d.size, p.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / d.weight, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
+      FROM drawn d JOIN plan p ON p.source IS NOT DISTINCT FROM d.source
+    )
+    SELECT doc_id, size, source_size, target,
+      (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM placed
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired rows of every conversation, after it was damaged."""
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
