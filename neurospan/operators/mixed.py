@@ -4,7 +4,8 @@ Spark reduces the visits to per-subject sums and those to one row of totals per
 (model, visits per subject).  The likelihood depends on the data only through
 these totals, so the remaining one-dimensional search over the variance ratio
 touches one row per distinct number of visits (at most about the square root of
-twice the visits).  Each model is searched in a task of its own.
+twice the visits).  Models are dealt over the tasks; each search evaluates whole
+grids of ratios at once.
 """
 
 from __future__ import annotations
@@ -70,7 +71,12 @@ def cluster_totals(df: DataFrame, subject: str, specs: Sequence[Spec]) -> DataFr
 
 
 class Totals:
-    """Likelihood of one model from its totals; theta is the variance ratio tau^2 / sigma^2."""
+    """Likelihood of one model from its totals; theta is the variance ratio tau^2 / sigma^2.
+
+    Everything is computed for many ratios at once: the likelihood's maximum and both profile limits are
+    one-dimensional searches over the ratio, because with one coefficient held at v the residual sum of squares is
+    rss + (v - estimate)^2 / variance, all three known functions of the ratio.
+    """
 
     def __init__(self, rows: Sequence[Mapping], width: int, k: int):
         use = [*range(k), width - 1]
@@ -89,110 +95,100 @@ class Totals:
         self.products = fill("p")
         self.n = float(self.sizes @ self.counts)
 
-    def weighted(self, theta: float) -> np.ndarray:
-        shrink = theta / (1.0 + self.sizes * theta)
-        return self.gram - np.tensordot(shrink, self.products, axes=1)
-
-    def fit(self, theta: float, fixed: tuple[int, float] | None = None):
-        """(deviance, beta, sigma2, covariance without sigma2) with an optional coefficient held fixed."""
-        w = self.weighted(theta)
-        a, b, yy = w[:-1, :-1], w[:-1, -1], w[-1, -1]
-        if fixed is not None:
-            j, v = fixed
-            keep = [i for i in range(len(b)) if i != j]
-            yy = yy - 2 * v * b[j] + v * v * a[j, j]
-            a, b = a[np.ix_(keep, keep)], b[keep] - v * a[keep, j]
-        inv = np.linalg.inv(a)
-        beta = inv @ b
-        sigma2 = max(float(yy - b @ beta), 1e-300) / self.n
-        logdet = float(self.counts @ np.log1p(self.sizes * theta))
-        return logdet + self.n * (math.log(sigma2) + 1 + math.log(2 * math.pi)), beta, sigma2, inv
-
-    def best(self, fixed: tuple[int, float] | None = None, near: float | None = None) -> float:
-        """Variance ratio with the smallest deviance, searched on u = sqrt(theta) >= 0.
-
-        ``near``: a nearby solution; only its surroundings are scanned unless the
-        minimum falls on their edge.
-        """
-
-        def dev(u: float) -> float:
-            return self.fit(u * u, fixed)[0]
-
-        wide = np.concatenate([[0.0], np.geomspace(1e-3, 1e3, 49)])
-        grid = wide if not near else math.sqrt(near) * np.geomspace(0.4, 2.5, 7)
-        values = [dev(u) for u in grid]
-        at = int(np.argmin(values))
-        if near and at in (0, len(grid) - 1):
-            return self.best(fixed)
-        lo, hi = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
-        ratio = (math.sqrt(5) - 1) / 2
-        c, d = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-        fc, fd = dev(c), dev(d)
-        while hi - lo > 1e-8 * (1e-3 + hi):
-            if fc < fd:
-                hi, d, fd = d, c, fc
-                c = hi - ratio * (hi - lo)
-                fc = dev(c)
-            else:
-                lo, c, fc = c, d, fd
-                d = lo + ratio * (hi - lo)
-                fd = dev(d)
-        u = (lo + hi) / 2
-        return 0.0 if grid[0] == 0.0 and values[0] <= dev(u) else u * u
-
-    def satterthwaite_df(self, j: int, theta: float, sigma2: float) -> float:
-        """Degrees of freedom of one coefficient's t (Kuznetsova et al. 2017), in (u, sigma) at the optimum."""
-        x0 = np.array([math.sqrt(theta), math.sqrt(sigma2)])
-
-        def dev(x):
-            w = self.weighted(x[0] ** 2)
-            a, b, yy = w[:-1, :-1], w[:-1, -1], w[-1, -1]
-            rss = float(yy - b @ np.linalg.solve(a, b))
-            s2 = x[1] ** 2
-            return float(self.counts @ np.log1p(self.sizes * x[0] ** 2)) + self.n * math.log(2 * math.pi * s2) + rss / s2
-
-        def var(x):
-            return x[1] ** 2 * np.linalg.inv(self.weighted(x[0] ** 2)[:-1, :-1])[j, j]
-
-        h = 1e-4 * np.maximum(np.abs(x0), 1e-2)
-        eye = np.eye(2)
-        grad = np.array([(var(x0 + h * e) - var(x0 - h * e)) / (2 * h @ e) for e in eye])
-        hess = np.zeros((2, 2))
-        for p in range(2):
-            for q in range(2):
-                ep, eq = h * eye[p], h * eye[q]
-                hess[p, q] = (dev(x0 + ep + eq) - dev(x0 + ep - eq) - dev(x0 - ep + eq) + dev(x0 - ep - eq)) / (
-                    4 * h[p] * h[q]
-                )
-        values, vectors = np.linalg.eigh((hess + hess.T) / 2)
+    def at(self, theta: np.ndarray):
+        """(log determinant, residual sum of squares, coefficients, their covariance without sigma^2) per ratio."""
+        theta = np.asarray(theta, float)
+        shrink = theta[:, None] / (1.0 + theta[:, None] * self.sizes)
+        w = self.gram - np.tensordot(shrink, self.products, axes=1)
+        inv = np.linalg.inv(w[:, :-1, :-1])
+        beta = (inv @ w[:, :-1, -1:])[:, :, 0]
+        rss = np.maximum(w[:, -1, -1] - (w[:, :-1, -1] * beta).sum(axis=1), 1e-300)
+        return np.log1p(theta[:, None] * self.sizes) @ self.counts, rss, beta, inv
+
+    def deviance(self, logdet, rss):
+        return logdet + self.n * (np.log(rss / self.n) + 1 + math.log(2 * math.pi))
+
+    def fit(self, theta: float):
+        """(deviance, beta, sigma2, covariance without sigma2)."""
+        logdet, rss, beta, inv = self.at(np.array([theta]))
+        return float(self.deviance(logdet, rss)[0]), beta[0], float(rss[0]) / self.n, inv[0]
+
+    def slopes(self, theta: float):
+        """First and second derivative by the ratio: of the log determinant, of rss; first one of the covariance."""
+        _, beta, _, inv = self.fit(theta)
+        scale = 1.0 + self.sizes * theta
+        w1 = -np.tensordot(scale**-2, self.products, axes=1)
+        w2 = np.tensordot(2 * self.sizes * scale**-3, self.products, axes=1)
+        r = np.append(-beta, 1.0)
+        turned = (w1 @ r)[:-1]
+        rss = float(r @ w1 @ r), float(r @ w2 @ r - 2 * turned @ inv @ turned)
+        logdet = float(self.counts @ (self.sizes / scale)), -float(self.counts @ (self.sizes / scale) ** 2)
+        return logdet, rss, -inv @ w1[:-1, :-1] @ inv
+
+    def best(self) -> float:
+        """Variance ratio with the smallest deviance, searched on u = sqrt(theta) >= 0; below 1e-8 it counts as zero."""
+
+        def gain(u: np.ndarray) -> np.ndarray:
+            logdet, rss, *_ = self.at(u * u)
+            return -self.deviance(logdet, rss)
+
+        u = _zoom(gain, np.concatenate([[0.0], np.geomspace(1e-3, 1e3, 97)]), 1e-5)
+        if u < 1e-4 or gain(np.array([0.0, u])).argmax() == 0:
+            return 0.0
+        theta = u * u
+        for _ in range(20):  # the deviance is flat at its minimum; its derivative is not
+            rss = self.fit(theta)[2] * self.n
+            (l1, l2), (r1, r2), _ = self.slopes(theta)
+            bend = l2 + self.n * (r2 / rss - (r1 / rss) ** 2)
+            step = (l1 + self.n * r1 / rss) / bend if bend > 0 else 0.0
+            if not abs(step) < 1e-3 * theta:
+                break
+            theta -= step
+            if abs(step) < 1e-14 * theta:
+                break
+        return theta
+
+    def satterthwaite_df(self, j: int, theta: float) -> float:
+        """Degrees of freedom of one coefficient's t (Kuznetsova et al. 2017), in (sqrt(theta), sigma) at the optimum."""
+        _, _, sigma2, inv = self.fit(theta)
+        (l1, l2), (r1, r2), c1 = self.slopes(theta)
+        u, sigma = math.sqrt(theta), math.sqrt(sigma2)
+        cross = -4 * u * r1 / sigma**3
+        hess = np.array([[2 * (l1 + r1 / sigma2) + 4 * theta * (l2 + r2 / sigma2), cross], [cross, 4 * self.n / sigma2]])
+        grad = np.array([sigma2 * 2 * u * c1[j, j], 2 * sigma * inv[j, j]])
+        values, vectors = np.linalg.eigh(hess)
         good = values > 1e-8 * max(values.max(), 1e-300)
         cov = 2 * (vectors[:, good] / values[good]) @ vectors[:, good].T
         spread = float(grad @ cov @ grad)
-        return 2 * var(x0) ** 2 / spread if spread > 0 else math.inf
+        return 2 * (sigma2 * inv[j, j]) ** 2 / spread if spread > 0 else math.inf
+
+    def profile_limit(self, j: int, theta: float, side: int) -> float:
+        """The furthest value of a coefficient whose profiled deviance exceeds the minimum by the 95 % quantile.
 
-    def profile_limit(self, j: int, estimate: float, se: float, floor: float, side: int, theta: float) -> float:
-        """Where the profiled deviance exceeds its minimum by the 95 % quantile."""
+        At each ratio the values within the limit are an interval around the estimate, so the limit is the furthest
+        end of all these intervals.
+        """
+        level = self.fit(theta)[0] + CHI2_95
 
-        def excess(v: float) -> float:
-            return self.fit(self.best((j, v), theta), (j, v))[0] - floor - CHI2_95
+        def end(u: np.ndarray) -> np.ndarray:
+            logdet, rss, beta, inv = self.at(u * u)
+            over = self.n * np.exp((level - logdet) / self.n - 1 - math.log(2 * math.pi)) - rss
+            return np.where(over >= 0, side * beta[:, j] + np.sqrt(np.maximum(over, 0) * inv[:, j, j]), -np.inf)
 
-        step = 2.0 * se
-        inner, outer = estimate, estimate + side * step
-        for _ in range(60):
-            if excess(outer) > 0:
-                break
-            inner, outer = outer, outer + side * step
-        f_in, f_out = excess(inner), excess(outer)
-        for it in range(100):
-            mid = outer - f_out * (outer - inner) / (f_out - f_in) if it % 3 else (inner + outer) / 2
-            f_mid = excess(mid)
-            if f_mid > 0:
-                outer, f_out = mid, f_mid
-            else:
-                inner, f_in = mid, f_mid
-            if abs(outer - inner) < 1e-8 * se or abs(f_mid) < 1e-8:
-                return mid
-        return (inner + outer) / 2
+        u = math.sqrt(theta)
+        around = u * np.geomspace(0.1, 10, 97) if u else np.geomspace(1e-3, 1e3, 97)
+        return side * float(end(np.array([_zoom(end, np.unique([0.0, u, *around]), 1e-9)]))[0])
+
+
+def _zoom(value, grid: np.ndarray, precision: float) -> float:
+    """Where a function with one peak is largest: ever finer grids around the best place so far."""
+    while True:
+        found = value(grid)
+        at = int(np.argmax(found))
+        lo, hi = grid[max(at - 1, 0)], grid[min(at + 1, len(grid) - 1)]
+        if hi - lo <= precision * (1e-3 + hi):
+            return float(grid[at])
+        grid = np.unique([*np.linspace(lo, hi, 17), grid[at]])
 
 
 def solve(rows: Sequence[Mapping], width: int, k: int, j: int) -> dict:
@@ -201,7 +197,7 @@ def solve(rows: Sequence[Mapping], width: int, k: int, j: int) -> dict:
     theta = t.best()
     dev, beta, sigma2, inv = t.fit(theta)
     se = math.sqrt(sigma2 * inv[j, j])
-    dof = t.satterthwaite_df(j, theta, sigma2)
+    dof = t.satterthwaite_df(j, theta)
     mean = t.gram[0, 1:-1] / t.n
     cov = t.gram[1:-1, 1:-1] / t.n - np.outer(mean, mean)
     fixed = float(beta[1:] @ cov @ beta[1:]) * t.n / (t.n - 1)
@@ -211,15 +207,14 @@ def solve(rows: Sequence[Mapping], width: int, k: int, j: int) -> dict:
     return {
         "coef": float(beta[j]), "se": se, "df": dof, "t": float(stat),
         "p_value": t_two_sided(float(stat), dof if math.isfinite(dof) else 1e12),
-        "ci_lo": t.profile_limit(j, beta[j], se, dev, -1, theta),
-        "ci_hi": t.profile_limit(j, beta[j], se, dev, 1, theta),
+        "ci_lo": t.profile_limit(j, theta, -1), "ci_hi": t.profile_limit(j, theta, 1),
         "sigma2": sigma2, "tau2": tau2, "marginal_r2": fixed / total, "conditional_r2": (fixed + tau2) / total,
         "n_obs": int(t.n), "n_subjects": int(t.counts.sum()), "deviance": dev,
     }
 
 
 def _per_model(totals: DataFrame, specs: Sequence[Spec], schema: str, solve_one) -> DataFrame:
-    """``solve_one(spec, totals rows)`` for each model, as rows, in one task per model."""
+    """``solve_one(spec, totals rows)`` for each model, as rows; as many partitions as models, however small they are."""
     # an expression cannot travel to a task, but the shape of a model can
     shapes = {s.name: (list(s.terms), s.report) for s in specs}
     width = max(len(s.terms) for s in specs) + 2
@@ -229,7 +224,8 @@ def _per_model(totals: DataFrame, specs: Sequence[Spec], schema: str, solve_one)
         terms, report = shapes[name]
         return pd.DataFrame(solve_one(name, terms, report, width, rows.to_dict("records")))
 
-    return totals.groupBy("model").applyInPandas(run, schema)
+    # a given number of partitions is one that adaptive execution does not put together again
+    return totals.repartition(len(specs), "model").groupBy("model").applyInPandas(run, schema)
 
 
 def gls_at(spark: SparkSession, df: DataFrame, subject: str, spec: Spec, ratios: Sequence[float]) -> DataFrame:

@@ -102,28 +102,43 @@ def numbered(df: DataFrame, order: Sequence[str], out: str = "row_no", keys: Seq
 def bh_fdr(df: DataFrame, p: str = "p_value", keys: Sequence[str] = (), out: str = "p_fdr") -> DataFrame:
     """Benjamini-Hochberg adjusted p per family (1995).
 
-    Ties are collapsed to (value, count) first, so a third of all tests sharing
-    one p costs one row.  A p outside [0, 1] is an error; NULL stays NULL.
+    The tests are stored once and read from there, so a p that a second evaluation would give in another last digit still
+    meets its family.  Ties are collapsed to (value, count) first, so a third of all tests sharing one p costs one row.
+    Both running columns use one range assignment.  A p outside [0, 1] is an error; NULL stays NULL.
     """
-    keys = list(keys)
-    checked = F.when((F.col(p) < 0) | (F.col(p) > 1) | F.isnan(p), F.raise_error(F.lit("p-value outside [0, 1]"))).otherwise(
-        F.col(p)
-    )
-    distinct = (
-        df.where(F.col(p).isNotNull()).select(*keys, checked.alias(p))
-        .groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n"))
-    )
+    keys, spark = list(keys), df.sparkSession
+    wrong = (F.col(p) < 0) | (F.col(p) > 1) | F.isnan(p)
+    tests = df.withColumn(p, F.when(wrong, F.raise_error(F.lit("p-value outside [0, 1]"))).otherwise(F.col(p)))
+    tests = materialise(tests, scratch_dir(spark, "tests"))
+    distinct = tests.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n"))
     cut = with_ranges(distinct, keys, [p])
-    counted = running(cut, keys, [p], sums={"_upto": "_n"})
-    if keys:
-        counted = counted.join(distinct.groupBy(*keys).agg(F.sum("_n").alias("_m")), keys)
-    else:
-        counted = counted.withColumn("_m", distinct.agg(F.sum("_n").alias("_m")).scalar())
-    scaled = counted.withColumn("_q", F.col(p) * F.col("_m") / F.col("_upto"))  # the slices of the first pass serve again
-    adjusted = running(scaled, keys, [p], min_from_end={"_adj": "_q"}).select(
-        *keys, p, F.least("_adj", F.lit(1.0)).alias(out)
+    family = keys or [F.lit(0)]
+
+    def carried(per_range: DataFrame, *cells) -> DataFrame:
+        found = per_range.select(*keys, RANGE, *cells)
+        return found.withColumnsRenamed({c: f"_on_{c}" for c in [*keys, RANGE]})
+
+    def met(columns: Sequence[str]):
+        return reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in columns])
+
+    across = Window.partitionBy(*family).orderBy(RANGE)
+    counts = carried(
+        cut.groupBy(*keys, RANGE).agg(F.sum("_n").alias("_s")),
+        F.coalesce(F.sum("_s").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_s").over(Window.partitionBy(*family)).alias("_m"),
+    )
+    within = Window.partitionBy(*keys, RANGE).orderBy(p)
+    upto = F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_before")
+    scaled = cut.join(counts, met([*keys, RANGE])).withColumn("_q", F.col(p) * F.col("_m") / upto)
+    least = F.min("_q").over(within.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    scaled = materialise(scaled.select(*keys, p, RANGE, least.alias("_q")), scratch_dir(spark, "scaled"))
+    later = carried(
+        scaled.groupBy(*keys, RANGE).agg(F.min("_q").alias("_l")),
+        F.min("_l").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
     )
-    return df.join(adjusted, [*keys, p], "left")
+    # least() skips NULL, which is what the last range carries
+    adjusted = scaled.join(later, met([*keys, RANGE])).select(*keys, p, F.least("_q", "_later", F.lit(1.0)).alias(out))
+    return tests.join(adjusted, [*keys, p], "left")
 
 
 def hash_numbered(df: DataFrame, uid: str, salt: str, keys: Sequence[str] = (), out: str = "row_no") -> DataFrame:

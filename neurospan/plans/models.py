@@ -9,6 +9,7 @@ from neurospan.functions import columns as C
 from neurospan.operators import mixed as M
 from neurospan.operators import resampling as S
 from neurospan.operators import visits as V
+from neurospan.plans import mixed_sql
 from neurospan.plans.registry import query, r6, sql6
 from neurospan.session import scratch_dir, table
 
@@ -92,16 +93,74 @@ def lme_profile(spark, sf):
     return out.select("ratio", "term", r6("coef", 5).alias("coef"), r6("sigma2", 3).alias("sigma2"), r6("deviance", 4).alias("deviance"))
 
 
-@query("lme_fit")
+def _rounded():
+    return [r6(c, d).alias(c) for c, d in mixed_sql.DIGITS.items()]
+
+
+@query(
+    "lme_fit",
+    f"""WITH RECURSIVE {_LME_SQL.split("per AS")[0]} y_ AS (SELECT 'price' AS model, id, z0, z2 AS z1, z1 AS z2, z3 FROM x),
+    {mixed_sql.fit_sql("y_", 3)} SELECT model, n_obs, n_subjects, {mixed_sql.rounded()} FROM fit""",
+)
 def lme_fit(spark, sf):
-    return M.fit_models(spark, _simple_visits(spark, sf), "id", [_simple_spec()])
+    out = M.fit_models(spark, _simple_visits(spark, sf), "id", [_simple_spec()])
+    return out.select("model", "n_obs", "n_subjects", *_rounded())
+
+
+_ATLASES = {"200": {n: f"sfc_{n}" for n in _NETWORKS}, "400": {n: f"sfc400_{n}" for n in _NETWORKS}}
+
+
+def _battery_sql() -> str:
+    """The visits scaled, one row for each model; the reported term stands last but one."""
+    coupling = [
+        f"(o_totalprice / ({base} + {step} * {k})) % ({span} + {wider} * {k}) + c_acctbal / ({over} + {more} * {k}) AS {prefix}_{n}"
+        for prefix, base, step, span, wider, over, more in (("sfc", 1000, 300, 90, 20, 400, 50), ("sfc400", 700, 200, 80, 15, 500, 40))
+        for k, n in enumerate(_NETWORKS)
+    ]
+    measured = [c for own in _ATLASES.values() for c in own.values()]
+    scaled = [*measured, "memory", "time", "age_1", "YoE"]
+    z = ", ".join(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_samp({c}) OVER (), 0), 1) AS {c}_z" for c in scaled)
+    models = []
+    for atlas, own in _ATLASES.items():
+        for net, c in own.items():
+            shared = "time_z, age_1_z, male, YoE_z"
+            models += [
+                f"('group|{net}|{atlas}', 1.0, {shared}, 0.0, flag, {c}_z)",
+                f"('group_change|{net}|{atlas}', 1.0, {shared}, flag, flag * time_z, {c}_z)",
+                f"('memory|{net}|{atlas}', 1.0, {shared}, 0.0, {c}_z, memory_z)",
+                f"('memory_change|{net}|{atlas}', 1.0, {shared}, {c}_z, {c}_z * time_z, memory_z)",
+            ]
+    known = " AND ".join(f"z{k} IS NOT NULL" for k in range(8))
+    return f"""visits AS (
+      SELECT c_custkey AS id, (c_nationkey % 2)::DOUBLE AS flag, (CAST(o_orderdate AS DATE) - DATE '1937-06-01') / 365.25 AS age,
+        CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS male, (c_custkey % 12 + 8)::DOUBLE AS YoE,
+        CASE WHEN o_orderkey % 29 <> 0 THEN o_totalprice / 1000 END AS memory, {', '.join(coupling)}
+      FROM orders JOIN customer ON o_custkey = c_custkey
+    ),
+    timed AS (SELECT *, age - min(age) OVER (PARTITION BY id) AS time, min(age) OVER (PARTITION BY id) AS age_1 FROM visits),
+    scaled AS (SELECT id, flag, male, {z} FROM timed),
+    every_ AS (SELECT id, unnest([{', '.join(f"row{m}" for m in models)}]) AS v FROM scaled),
+    named_ AS (SELECT id, v[1] AS model, {', '.join(f"v[{k + 2}]::DOUBLE AS z{k}" for k in range(8))} FROM every_),
+    rows_ AS (SELECT * FROM named_ WHERE {known})"""
+
+
+def _fdr_sql() -> str:
+    family = " ".join(f"WHEN '{n}' THEN '{f}'" for n, f in M.FDR_FAMILIES.items())
+    return f"""parts AS (SELECT * EXCLUDE (model), split_part(model, '|', 1) AS model, split_part(model, '|', 2) AS network, split_part(model, '|', 3) AS atlas FROM fit),
+    fam AS (SELECT *, CASE network {family} END AS family FROM parts),
+    placed AS (SELECT *, count(*) OVER (PARTITION BY atlas, model, family) AS m, row_number() OVER (PARTITION BY atlas, model, family ORDER BY p_value) AS place FROM fam),
+    adjusted AS (SELECT *, least(1, min(p_value * m / place) OVER (PARTITION BY atlas, model, family ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_fdr FROM placed)"""
 
 
-@query("lme_battery")
+@query(
+    "lme_battery",
+    f"""WITH RECURSIVE {_battery_sql()}, {mixed_sql.fit_sql("rows_", 7)}, {_fdr_sql()}
+    SELECT model, network, atlas, family, n_obs, n_subjects, {sql6("p_fdr")} AS p_fdr, {mixed_sql.rounded()} FROM adjusted""",
+)
 def lme_battery(spark, sf):
     """The 48 models: four kinds, six outcomes, two atlases."""
-    atlases = {"200": {n: f"sfc_{n}" for n in _NETWORKS}, "400": {n: f"sfc400_{n}" for n in _NETWORKS}}
-    return M.fit_battery(spark, _visits(spark, sf), "id", atlases)
+    out = M.fit_battery(spark, _visits(spark, sf), "id", _ATLASES)
+    return out.select("model", "network", "atlas", "family", "n_obs", "n_subjects", r6("p_fdr").alias("p_fdr"), *_rounded())
 
 
 # --- classifier features ------------------------------------------------------------
