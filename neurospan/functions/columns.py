@@ -275,7 +275,9 @@ def encode_label(c: Column | str, offset: int) -> Column:
 
 
 def fixed(c: Column | str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", as_col(c).cast("double"))
+    """A number with so many decimals, rounded from its exact binary value (0.24375 lies below the tie and gives 0.2437)."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", as_col(c).cast("double"), F.lit(pattern))
 
 
 def mean_sd(mean: Column, sd: Column) -> Column:

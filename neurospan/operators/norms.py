@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neurospan.functions import columns as C
+from neurospan.operators.ordered import latest_known
 
 MAX_YEARS = 20  # fixed value: education columns stop here
 
@@ -32,47 +33,52 @@ def tidy_age_norms(sheets: DataFrame) -> DataFrame:
     )
 
 
-# A normative table is a printed sheet.  Spark packs it into one row (a map from test to its cells), which the scoring
-# expressions read as a subquery: no join, no shuffle and no copy of the table on the driver or in the plan.
-
-
-def _by_test(cells: DataFrame, cell: Column) -> DataFrame:
-    per_test = cells.groupBy("test").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return per_test.agg(F.map_from_entries(F.collect_list(F.struct("test", "cells"))))
+# Both lookups are equi-joins.  Bands and ranges are cut to integer cells, so a subject's cell meets the few rows that can
+# hold it, and the cost of a lookup does not follow the length of the sheet.  Spark copies the cells to the tasks while
+# their size allows it, else it shuffles both sides.
 
 
 class AgeNorms:
-    """Cells of one age-norm table: for every test its rows in sheet order, and the span of ages."""
+    """Cells (test, age, score) of an age-norm table, each with the sheet rows that reach into it, in sheet order."""
 
     def __init__(self, norms: DataFrame):
-        self.lo, self.hi = norms.agg(F.min("age_lo")).scalar(), norms.agg(F.max("age_hi")).scalar()
-        cell = F.struct("band_no", "row_no", "age_lo", "age_hi", "lo", "hi", F.col("scaled").cast("double").alias("scaled"))
-        self.packed = _by_test(norms, cell).scalar()
+        ends = norms.groupBy("test").agg(
+            F.floor(F.min(F.least("lo", "hi"))).alias("first"), F.floor(F.max(F.greatest("lo", "hi"))).alias("last"),
+            F.min("age_lo").alias("age_lo"), F.max("age_hi").alias("age_hi"),
+        ).collect()  # one row per test of a printed table
+        self.ends = {r["test"]: (r["first"], r["last"]) for r in ends if r["first"] is not None}
+        ages = [(r["age_lo"], r["age_hi"]) for r in ends]
+        self.ages = (min(a for a, _ in ages), max(b for _, b in ages)) if ages else (0, 0)
+        # one cell below and one above all bounds stand for everything further out
+        below = F.lit(None).cast("bigint")
+        above = F.lit(None).cast("bigint")
+        for test, (first, last) in self.ends.items():
+            below = F.when(F.col("test") == test, first - 1).otherwise(below)
+            above = F.when(F.col("test") == test, last + 1).otherwise(above)
+        reach = F.sequence(F.coalesce(F.floor("lo"), below), F.coalesce(F.floor("hi"), above))
+        cells = norms.where((below.isNotNull()) & (F.col("age_lo") <= F.col("age_hi"))).where("lo is null or hi is null or lo <= hi")
+        cells = cells.withColumn("cell", F.explode(reach)).withColumn("age", F.explode(F.sequence("age_lo", "age_hi")))
+        row = F.struct("band_no", "row_no", "lo", "hi", F.col("scaled").cast("double").alias("scaled"))
+        self.cells = cells.groupBy("test", "age", "cell").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
 class EducationNorms:
-    """Score x years grid of one education table; years between listed columns take the lower column."""
+    """Score x years grid of one education table, filled for every whole year by the last listed column."""
 
     def __init__(self, norms: DataFrame):
-        place = F.struct("age_scaled", "yoe")
-        per_test = norms.groupBy("test").agg(
-            F.min("age_scaled").alias("lo"), F.max("age_scaled").alias("hi"), F.array_sort(F.collect_set("yoe")).alias("listed"),
-            F.map_from_entries(F.collect_list(F.struct(place.alias("place"), F.col("scaled").cast("double").alias("scaled")))).alias("grid"),
+        ends = norms.groupBy("test").agg(
+            F.min("age_scaled").alias("lo"), F.max("age_scaled").alias("hi"), F.min("yoe").alias("first"), F.max("yoe").alias("last")
         )
-        entry = F.struct("test", F.struct("lo", "hi", "listed", "grid").alias("table"))
-        self.packed = per_test.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-
-
-_AGE, _EDU = "_age_norms", "_education_norms"
-
-
-def _attach(df: DataFrame, age_norms: AgeNorms | None, edu_norms: EducationNorms | None) -> DataFrame:
-    """Each table once as a column, so that all lookups of a row share its subquery."""
-    if age_norms is not None and _AGE not in df.columns:
-        df = df.withColumn(_AGE, F.struct(age_norms.packed.alias("cells"), age_norms.lo.alias("lo"), age_norms.hi.alias("hi")))
-    if edu_norms is not None and _EDU not in df.columns:
-        df = df.withColumn(_EDU, edu_norms.packed)
-    return df
+        self.ends = {r["test"]: (r["lo"], r["hi"], r["first"], r["last"]) for r in ends.collect()}  # as above
+        years = ends.select("test", F.explode(F.sequence("first", "last")).alias("year"))
+        listed = norms.select("test", "yoe").distinct()
+        columns = latest_known(years, listed, ["test"], "year", "yoe", "yoe", "column")
+        twice = F.raise_error(F.concat_ws(" ", F.lit("two scores for"), "test", "age_scaled", "yoe"))
+        grid = norms.groupBy("test", "age_scaled", "yoe").agg(
+            F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max(F.col("scaled").cast("double"))).alias("scaled")
+        )
+        own = columns.select(F.col("test").alias("of"), "year", "column")
+        self.grid = grid.join(own, (F.col("test") == F.col("of")) & (F.col("yoe") == F.col("column"))).select("test", "age_scaled", "year", "scaled")
 
 
 def by_age(df: DataFrame, norms: AgeNorms, raw: str, age: str, test: str, out: str) -> DataFrame:
@@ -80,36 +86,37 @@ def by_age(df: DataFrame, norms: AgeNorms, raw: str, age: str, test: str, out: s
 
     Ages round half to even and clamp to the supported span; NULL when nothing matches.
     """
-    table = F.col(_AGE)
-    whole = C.clamp(C.round_half_even(age).cast("int"), table["lo"], table["hi"])
-    cells = F.try_element_at(table["cells"], F.lit(test))
-    hit = F.filter(cells, lambda r: whole.between(r["age_lo"], r["age_hi"]) & C.in_bounds(F.col(raw), r["lo"], r["hi"]))
-    scored = _attach(df, norms, None).withColumn(out, F.when(F.col(raw).isNotNull(), F.get(hit, F.lit(0))["scaled"]))
-    return scored if _AGE in df.columns else scored.drop(_AGE)
+    first, last = norms.ends.get(test, (0, 0))
+    whole = C.clamp(C.round_half_even(age).cast("int"), *[F.lit(x) for x in norms.ages])
+    cell = C.clamp(F.floor(raw), F.lit(first - 1), F.lit(last + 1)).cast("bigint")
+    cells = norms.cells.where(F.col("test") == test).select(F.col("age").alias("_in_age"), F.col("cell").alias("_in_cell"), F.col("rows").alias("_rows"))
+    met = df.withColumns({"_age": whole, "_cell": cell}).join(cells, (F.col("_age") == F.col("_in_age")) & (F.col("_cell") == F.col("_in_cell")), "left")
+    hit = F.filter("_rows", lambda r: C.in_bounds(F.col(raw), r["lo"], r["hi"]))
+    return met.withColumn(out, F.get(hit, F.lit(0))["scaled"]).drop("_age", "_cell", "_in_age", "_in_cell", "_rows")
 
 
 def by_education(df: DataFrame, norms: EducationNorms, scaled: str, years: str, test: str, out: str,
                  max_years: int = MAX_YEARS) -> DataFrame:
     """Education-adjusted score: clamped row, then the greatest listed year not above the subject's."""
-    table = F.try_element_at(F.col(_EDU), F.lit(test))
+    if test not in norms.ends:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    lo, hi, first, last = norms.ends[test]
     capped = F.when(F.col(years).isNotNull(), F.least(F.floor(years).cast("int"), F.lit(max_years)))
-    wanted = C.clamp(capped, F.array_min(table["listed"]), F.array_max(table["listed"]))
-    column = F.array_max(F.filter(table["listed"], lambda y: y <= wanted))
-    row = C.clamp(F.col(scaled).cast("int"), table["lo"], table["hi"])
-    # one map lookup: an expression inside a lambda is evaluated again for every cell
-    place = F.struct(row.alias("age_scaled"), column.alias("yoe"))
-    found = _attach(df, None, norms).withColumn(
-        out, F.when(row.isNotNull() & column.isNotNull(), F.try_element_at(table["grid"], place))
+    wanted = C.clamp(capped, F.lit(first), F.lit(last))
+    row = C.clamp(F.col(scaled).cast("int"), F.lit(lo), F.lit(hi))
+    grid = norms.grid.where(F.col("test") == test).select(
+        F.col("age_scaled").alias("_in_row"), F.col("year").alias("_in_year"), F.col("scaled").alias(out)
     )
-    return found if _EDU in df.columns else found.drop(_EDU)
+    met = df.withColumns({"_row": row, "_year": wanted}).join(grid, (F.col("_row") == F.col("_in_row")) & (F.col("_year") == F.col("_in_year")), "left")
+    return met.drop("_row", "_year", "_in_row", "_in_year")
 
 
 def score_visit(df: DataFrame, age_norms: AgeNorms, edu_norms: EducationNorms, tests: Mapping[str, str], visit: str,
                 years: str = "YoE") -> DataFrame:
     """Both lookups for every test of one visit: ``tests`` maps test -> raw column stem."""
-    out = _attach(df, age_norms, edu_norms)
+    out = df
     for test, stem in tests.items():
         name = f"{visit}_{test.lower()}_norm"
         out = by_age(out, age_norms, f"{visit}_{stem}", f"{visit}_age", test, f"{name}_age")
         out = by_education(out, edu_norms, f"{name}_age", years, test, name)
-    return out.drop(_AGE, _EDU)
+    return out

@@ -71,6 +71,34 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapp
     )
 
 
+def latest_known(df: DataFrame, known: DataFrame, keys: Sequence[str], at: str, known_at: str, value: str, out: str) -> DataFrame:
+    """As-of merge: ``df`` with the ``value`` of the last row of ``known`` at or before ``at``, per key.
+
+    Both tables are put into one order and each row looks back to the last known value; ranges of that order are
+    windows of their own and hand their last value on, so a hot key is many tasks.  Of several known rows at one place
+    the largest value counts.  NULL where nothing is known before; a missing key or place gives NULL.
+    """
+    keys = list(keys)
+    placed = df.withColumn("_at", F.col(at)).withColumn("_value", F.lit(None).cast(known.schema[value].dataType)).withColumn("_side", F.lit(1))
+    usable = known.where(F.col(known_at).isNotNull() & F.col(value).isNotNull())
+    marks = usable.select(*keys, F.col(known_at).alias("_at"), F.col(value).alias("_value"), F.lit(0).alias("_side"))
+    order = ["_at", "_side", "_value"]
+    cut = with_ranges(placed.unionByName(marks, allowMissingColumns=True), keys, order)
+    within = Window.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max_by("_value", F.struct("_at", "_value")).alias("_last")
+    per_range = cut.where("_side = 0").groupBy(*keys, RANGE).agg(last).unionByName(
+        cut.select(*keys, RANGE).distinct().withColumn("_last", F.lit(None).cast(known.schema[value].dataType))
+    ).groupBy(*keys, RANGE).agg(F.max("_last").alias("_last"))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_range.select(*keys, RANGE, F.last("_last", ignorenulls=True).over(across).alias("_carried"))
+    right = carried.withColumnsRenamed({c: f"_on_{c}" for c in [*keys, RANGE]})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in [*keys, RANGE]])
+    usable_key = reduce(and_, [F.col(c).isNotNull() for c in [at, *keys]])
+    merged = cut.withColumn("_found", F.last("_value", ignorenulls=True).over(within)).where("_side = 1").join(right, same)
+    found = F.when(usable_key, F.coalesce("_found", "_carried"))
+    return merged.select(*df.columns, found.alias(out))
+
+
 def mid_ranks(df: DataFrame, value: str, out: str = "midrank", keys: Sequence[str] = ()) -> DataFrame:
     """Distinct values with their average rank: (keys..., value, n, out)."""
     distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
