@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from neurospan.functions import columns as C
 from neurospan.operators.ordered import latest_known
+from neurospan.session import scratch_dir
+from neurospan.sources.sinks import materialise
 
 MAX_YEARS = 20  # fixed value: education columns stop here
 
@@ -59,7 +61,8 @@ class AgeNorms:
         cells = norms.where((below.isNotNull()) & (F.col("age_lo") <= F.col("age_hi"))).where("lo is null or hi is null or lo <= hi")
         cells = cells.withColumn("cell", F.explode(reach)).withColumn("age", F.explode(F.sequence("age_lo", "age_hi")))
         row = F.struct("band_no", "row_no", "lo", "hi", F.col("scaled").cast("double").alias("scaled"))
-        self.cells = cells.groupBy("test", "age", "cell").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+        cells = cells.groupBy("test", "age", "cell").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+        self.cells = materialise(cells, scratch_dir(norms.sparkSession, "age-norms"))  # every lookup reads it
 
 
 class EducationNorms:
@@ -78,7 +81,8 @@ class EducationNorms:
             F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max(F.col("scaled").cast("double"))).alias("scaled")
         )
         own = columns.select(F.col("test").alias("of"), "year", "column")
-        self.grid = grid.join(own, (F.col("test") == F.col("of")) & (F.col("yoe") == F.col("column"))).select("test", "age_scaled", "year", "scaled")
+        grid = grid.join(own, (F.col("test") == F.col("of")) & (F.col("yoe") == F.col("column"))).select("test", "age_scaled", "year", "scaled")
+        self.grid = materialise(grid, scratch_dir(norms.sparkSession, "education-norms"))
 
 
 def by_age(df: DataFrame, norms: AgeNorms, raw: str, age: str, test: str, out: str) -> DataFrame:
