@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from neurospan.functions.aggregates import safe_corr
 from neurospan.functions.columns import edge_ends
 from neurospan.operators.quality import finite_array
+from neurospan.session import scratch_dir
+from neurospan.sources.sinks import materialise
 
 KEYS = ("subject_id", "ses")
 
@@ -174,8 +176,9 @@ def pair_covariances(series: DataFrame, keys: Sequence[str] = KEYS, signal: str
     summed with map-side combining, all in generated code.  ``fourth`` summed
     over a key's pairs is the mean of |z|^4, needed by the shrinkage estimate.
     """
-    blocks = block_moments(series, keys, signal, frame, clustered)
-    met = blocks.join(signal_moments(blocks, keys), list(keys))  # the frames are read and dealt once for both
+    # stored: the totals and the re-centring both read the blocks, and the frames are multiplied once
+    blocks = materialise(block_moments(series, keys, signal, frame, clustered), scratch_dir(series.sparkSession, "blocks"))
+    met = blocks.join(signal_moments(blocks, keys), list(keys))
     centred = met.withColumn("d", F.zip_with("mean_k", "mean", lambda a, b: a - b))
     extra = []
     if fourth:
@@ -304,17 +307,27 @@ def edges_within(edges: DataFrame, region_group: DataFrame, group: str = "networ
 # --- structural connectivity ----------------------------------------------------------
 
 
-def structural_edges(streamlines: DataFrame, node_volumes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def connections(streamlines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys..., node_a, node_b, weight, n): streamlines counted per pair of ends and stored, at most an atlas squared per key.
+
+    Edges, node volumes and shared weights are sums over these rows, so the streamlines themselves are read once.
+    """
+    summed = streamlines.groupBy(*keys, "node_a", "node_b").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+    return materialise(summed, scratch_dir(streamlines.sparkSession, "connections"))
+
+
+def structural_edges(streamlines: DataFrame, node_volumes: DataFrame, keys: Sequence[str] = KEYS, count: str | None = None) -> DataFrame:
     """Sum of streamline weights per unordered node pair, scaled by 2 / (volume_a + volume_b).
 
     Streamlines collapse to one row per pair first (map-side), and only that
     bounded result meets the volumes.  Unassigned ends (NULL) and self loops drop.
+    ``count`` names the number of streamlines of a row of ``connections``.
     """
     keys = list(keys)
     summed = (
         streamlines.where(F.col("node_a") != F.col("node_b"))
         .groupBy(*keys, F.least("node_a", "node_b").alias("i"), F.greatest("node_a", "node_b").alias("j"))
-        .agg(F.sum("weight").alias("raw_weight"), F.count(F.lit(1)).alias("n_streamlines"))
+        .agg(F.sum("weight").alias("raw_weight"), F.sum(F.col(count) if count else F.lit(1)).alias("n_streamlines"))
     )
     # one row per key with its node volumes (an atlas' worth), so the edges move once
     packed = node_volumes.groupBy(*keys).agg(

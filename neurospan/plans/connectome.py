@@ -19,13 +19,17 @@ def _fc(spark: SparkSession, sf: str) -> DataFrame:
     return N.functional_edges_shrunk(I.series(spark, sf))
 
 
-def _sc(spark: SparkSession, sf: str) -> DataFrame:
-    lines = I.streamlines(spark, sf)
-    return N.structural_edges(lines, I.node_volumes(lines))
+def _connections(spark: SparkSession, sf: str) -> DataFrame:
+    return N.connections(I.streamlines(spark, sf))
 
 
-def _sfc(spark: SparkSession, sf: str) -> DataFrame:
-    return N.coupling(_sc(spark, sf), _fc(spark, sf))
+def _sc(spark: SparkSession, sf: str, connections: DataFrame | None = None) -> DataFrame:
+    found = _connections(spark, sf) if connections is None else connections
+    return N.structural_edges(found, I.node_volumes(found), count="n")
+
+
+def _sfc(spark: SparkSession, sf: str, connections: DataFrame | None = None) -> DataFrame:
+    return N.coupling(_sc(spark, sf, connections), _fc(spark, sf))
 
 
 @query("fc_edges", f"WITH {I.PLAIN_FC_SQL} SELECT subject_id, ses, i, j, {sql6('r')} AS r, {sql6('z')} AS z FROM fc")
@@ -210,14 +214,10 @@ _MEASURES = ("sfc_weighted_mean", "sfc_sensory", "sfc_hmod", "sfc_salience", "sf
 
 
 def rollup(spark: SparkSession, sf: str) -> DataFrame:
-    lines = I.streamlines(spark, sf)
-    named = _sfc(spark, sf).withColumn("roi", I.region_name(F.col("roi"))).withColumnRenamed("rho", "value")
-    shared = (
-        table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % I.N_REGIONS).cast("int").alias("k"))
-        .agg(F.count(F.lit(1)).alias("weight"))
-        .select(I.region_name(F.col("k")).alias("roi"), "weight")
-    )
-    own = I.node_volumes(lines).select(
+    found = _connections(spark, sf)
+    named = _sfc(spark, sf, found).withColumn("roi", I.region_name(F.col("roi"))).withColumnRenamed("rho", "value")
+    shared = found.groupBy("node_a").agg(F.sum("n").alias("weight")).select(I.region_name(F.col("node_a")).alias("roi"), "weight")
+    own = I.node_volumes(found).select(
         "subject_id", "ses", I.region_name(F.col("node")).alias("roi"), F.col("volume").alias("weight")
     )
     return R.weighted_rollup(R.attach_weights(named, shared, own))

@@ -37,12 +37,10 @@ def streamlines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def node_volumes(lines: DataFrame) -> DataFrame:
+def node_volumes(connections: DataFrame) -> DataFrame:
     """Endpoints per node stand in for node volume."""
     ends = F.explode(F.array("node_a", "node_b")).alias("node")
-    return lines.select("subject_id", "ses", ends).groupBy("subject_id", "ses", "node").agg(
-        F.count(F.lit(1)).alias("volume")
-    )
+    return connections.select("subject_id", "ses", "n", ends).groupBy("subject_id", "ses", "node").agg(F.sum("n").alias("volume"))
 
 
 def region_name(k: Column) -> Column:
