@@ -110,41 +110,51 @@ def _units_sql() -> str:
     "op3_sentence_spans",
     f"""
     WITH {_units_sql()},
-    enough AS (
+    run_ends AS (
       SELECT s.doc_id, s.k, greatest(s.k + {spans.LEAST_SENTENCES - 1}, min(e.k)) AS last
       FROM summed s JOIN summed e ON e.doc_id = s.doc_id AND e.k >= s.k
         AND e.upto - s.upto + s.n_words >= {spans.LEAST_WORDS}
       GROUP BY s.doc_id, s.k
+      UNION
+      SELECT e.doc_id, least(e.k - {spans.LEAST_SENTENCES - 1}, max(s.k)), e.k
+      FROM summed e JOIN summed s ON e.doc_id = s.doc_id AND s.k <= e.k
+        AND e.upto - s.upto + s.n_words >= {spans.LEAST_WORDS}
+      GROUP BY e.doc_id, e.k
     ),
     run AS (
       SELECT r.doc_id, r.k, r.last, string_agg(u.line, '|' ORDER BY u.k) AS body, count(*) AS n
-      FROM enough r JOIN summed u ON u.doc_id = r.doc_id AND u.k BETWEEN r.k AND r.last
-      GROUP BY r.doc_id, r.k, r.last HAVING count(*) = r.last - r.k + 1
+      FROM run_ends r JOIN summed u ON u.doc_id = r.doc_id AND u.k BETWEEN r.k AND r.last
+      WHERE r.k >= 0 GROUP BY r.doc_id, r.k, r.last HAVING count(*) = r.last - r.k + 1
     ),
     later AS (
       SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, k) AS place FROM run
     ),
     covered AS (
-      SELECT DISTINCT s.doc_id, s.k, s.char_end - s.n_chars AS a, s.char_end AS b, s.text
+      SELECT DISTINCT s.doc_id, s.k, s.char_end - s.n_chars AS a, s.char_end AS b
       FROM later r JOIN summed s ON s.doc_id = r.doc_id AND s.k BETWEEN r.k AND r.last WHERE r.place > 1
     ),
     islands AS (
       SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM covered
     ),
-    merged AS (SELECT doc_id, island, min(a) AS a, max(b) AS b, any_value(text) AS text FROM islands GROUP BY doc_id, island)
-    SELECT doc_id, count(*) AS n_removed, string_agg(a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a) AS removed,
-           (length(any_value(text)) - sum(b - a))::BIGINT AS kept_chars
-    FROM merged GROUP BY doc_id
+    merged AS (SELECT doc_id, island, min(a) AS a, max(b) AS b FROM islands GROUP BY doc_id, island),
+    gone AS (SELECT doc_id, count(*) AS n, string_agg(a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a) AS removed FROM merged GROUP BY doc_id),
+    kept AS (
+      SELECT u.doc_id, string_agg(u.part, '' ORDER BY u.k) AS text FROM units u
+      WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = u.doc_id AND c.k = u.k) GROUP BY u.doc_id
+    )
+    SELECT d.doc_id, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed, length(coalesce(kept.text, ''))::BIGINT AS kept_chars,
+      sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM documents d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
 )
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lost repeated sentences: removed spans, digest and length of what is left."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = spans.remove_repeats(docs, changed_only=True)
+    """Every document with its removed spans, and length and digest of what is left."""
+    out = spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     span = F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    left = F.coalesce("text", F.lit(""))
     return out.select(
         "doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join(span, ",").alias("removed"),
-        F.length("text").cast("long").alias("kept_chars"),
+        F.length(left).cast("long").alias("kept_chars"), F.sha2(left.cast("binary"), 256).alias("kept_sha256"),
     )
 
 

@@ -71,19 +71,19 @@ def test_contaminated(spark, block_bytes):
 
 
 def plain_removal(rows):
+    """The full rule: every run of two or more sentences and twenty or more words (none that repeats has 60 sentences)."""
     found, seen = defaultdict(set), set()
     for doc_id, text in sorted(rows):
         units = spans.sentences(text or "")
         for i in range(len(units)):
             total = 0
-            for j in range(i, len(units)):
+            for j in range(i, min(len(units), i + 60)):
                 total += len(text[slice(*units[j])].split())
                 if total >= 20 and j > i:
                     body = tuple(tuple(text[slice(*u)].split()) for u in units[i : j + 1])
                     if body in seen:
                         found[doc_id] |= set(range(i, j + 1))
                     seen.add(body)
-                    break
     return {d: "".join((text or "")[slice(*u)] for k, u in enumerate(spans.sentences(text or "")) if k not in found[d]) for d, text in rows if found[d]}
 
 
@@ -115,6 +115,20 @@ def test_repeats_removed(spark):
     assert changed.columns == ["doc_id", "text", "score", "spans", "places", "removed"]
 
 
+def test_short_end_of_a_repeated_passage(spark):
+    """Sentences of 15, 15 and 3 words: the third lies only in runs that begin before it."""
+    passage = " ".join(f"a{k}" for k in range(15)) + ". " + " ".join(f"b{k}" for k in range(15)) + ". c d e. "
+    docs = spark.createDataFrame([(1, passage), (2, "Own start. " + passage + "And own words behind it")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in spans.remove_repeats(docs).collect()}
+    assert got == {1: passage, 2: "Own start. And own words behind it"}
+
+
+def test_no_documents_no_spans(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string, places int, last int, removed string")
+    out = spans.remove_repeats(empty)
+    assert out.count() == 0 and out.columns == ["doc_id", "text", "places", "last", "removed"]
+
+
 def test_repeats_nulls_and_repeated_rows(spark):
     passage = "one two three four five six seven eight nine ten. eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty more. "
     rows = [(1, passage), (1, passage), (None, passage), (2, "before. " + passage + "after."), (3, None)]
