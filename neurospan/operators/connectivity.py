@@ -6,7 +6,8 @@ Connectivity lives in one long edge table ``(keys..., i, j, weight)`` with
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from neurospan.session import scratch_dir
 from neurospan.sources.sinks import materialise
 
 KEYS = ("subject_id", "ses")
+Measure = Callable[[np.ndarray], tuple]
 
 #: Frames per grouped-map call.  Bounds every Python group whatever the number
 #: of frames one subject owns (512 frames x 414 regions is under 2 MB).
@@ -106,14 +108,22 @@ def _moment_schema(series: DataFrame, keys: Sequence[str]) -> T.StructType:
     fields = [T.StructField(k, series.schema[k].dataType) for k in keys]
     fields += [T.StructField("n_k", T.LongType())]
     fields += [T.StructField(c, numbers) for c in ("mean_k", "cross_k", "square_k", "skew_k")]
-    fields += [T.StructField("quart_k", T.DoubleType())]
+    fields += [T.StructField("quart_k", T.DoubleType()), T.StructField("error", T.StringType()), T.StructField("failed_at", T.TimestampType())]
     return T.StructType(fields)
 
 
-def _moment_row(frames: pa.ChunkedArray | pa.Array, key: Sequence) -> list:
-    """An unusable block has no moments, which takes its key out of the result."""
-    x = _signals(frames)
-    return [*key, len(frames), *([None] * 5 if x is None else _co_moments(x))]
+UNUSABLE = "frames are missing, of different widths, or not finite"
+
+
+def _moment_row(frames: pa.ChunkedArray | pa.Array, key: Sequence, measure: Measure) -> list:
+    """A block that is unusable or raises has no moments, which takes its key out of the result; it says why and when."""
+    try:
+        x = _signals(frames)
+        found, error = (None, UNUSABLE) if x is None else (measure(x), None)
+    except Exception as e:  # noqa: BLE001 - whatever a block raises must not end the other keys
+        found, error = None, f"{type(e).__name__}: {e}"
+    when = None if error is None else datetime.now(timezone.utc)
+    return [*key, len(frames), *([None] * 5 if found is None else found), error, when]
 
 
 def _moment_table(rows: list[list], names: Sequence[str], types: Sequence[pa.DataType]) -> pa.Table:
@@ -122,9 +132,12 @@ def _moment_table(rows: list[list], names: Sequence[str], types: Sequence[pa.Dat
 
 
 def block_moments(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal",
-                  frame: str = "frame", clustered: bool = False) -> DataFrame:
+                  frame: str = "frame", clustered: bool = False, measure: Measure = _co_moments) -> DataFrame:
     """Co-moment matrices of bounded blocks of frames.
 
+    ``measure`` computes them from a matrix of frames.  An exception inside a block does not end the job: the block has
+    no moments, and ``error`` and ``failed_at`` instead.
+
     ``clustered=True``: the input already stores each key's frames together (one
     file or sorted run per key), so the work happens in scan order without any
     shuffle of frames.  Otherwise frames are grouped by (key, frame block); a key
@@ -141,7 +154,7 @@ def block_moments(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "
                 frame_keys = batch.select(list(keys)).to_pandas()
                 rows = [
                     _moment_row(batch.column(signal).take(pa.array(idx)),
-                                key if isinstance(key, tuple) else (key,))
+                                key if isinstance(key, tuple) else (key,), measure)
                     for key, idx in frame_keys.groupby(list(keys), sort=False, dropna=False).indices.items()
                 ]
                 if rows:
@@ -151,7 +164,7 @@ def block_moments(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "
 
     def per_block(key: tuple, block: pa.Table) -> pa.Table:
         values = [k.as_py() for k in key[: len(keys)]]
-        return _moment_table([_moment_row(block.column(signal), values)], names, arrow)
+        return _moment_table([_moment_row(block.column(signal), values, measure)], names, arrow)
 
     return (
         series.select(*keys, F.floor(F.col(frame) / FRAME_BLOCK).alias("block"), signal)
@@ -166,18 +179,28 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def pair_covariances(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal",
-                     frame: str = "frame", clustered: bool = False, fourth: bool = False) -> DataFrame:
+def stored_moments(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal", frame: str = "frame",
+                   clustered: bool = False, measure: Measure = _co_moments) -> DataFrame:
+    """``block_moments`` computed once: totals, re-centring and error reports read them from there."""
+    return materialise(block_moments(series, keys, signal, frame, clustered, measure), scratch_dir(series.sparkSession, "blocks"))
+
+
+def failed_blocks(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys..., reason, failed_at, n_blocks): the keys that left no result, with their first reason in text order."""
+    return blocks.where(F.col("error").isNotNull()).groupBy(*keys).agg(
+        F.min("error").alias("reason"), F.min("failed_at").alias("failed_at"), F.count(F.lit(1)).alias("n_blocks")
+    )
+
+
+def pair_covariances(blocks: DataFrame, keys: Sequence[str] = KEYS, fourth: bool = False) -> DataFrame:
     """Population covariance of every region pair: ``(keys..., i, j, n, cov, var_i, var_j[, fourth])``.
 
-    Keys with unusable frames (see ``unusable_signals``) give no rows.
+    ``blocks`` are stored co-moments.  Keys with a block that has none (see ``failed_blocks``) give no rows.
     Block co-moments are re-centred on the key's own means (so no precision is
     lost to large signal offsets), spread to one row per pair by a generator and
     summed with map-side combining, all in generated code.  ``fourth`` summed
     over a key's pairs is the mean of |z|^4, needed by the shrinkage estimate.
     """
-    # stored: the totals and the re-centring both read the blocks, and the frames are multiplied once
-    blocks = materialise(block_moments(series, keys, signal, frame, clustered), scratch_dir(series.sparkSession, "blocks"))
     met = blocks.join(signal_moments(blocks, keys), list(keys))
     centred = met.withColumn("d", F.zip_with("mean_k", "mean", lambda a, b: a - b))
     extra = []
@@ -225,8 +248,13 @@ def fisher_z(r: Column) -> Column:
 def functional_edges(series: DataFrame, keys: Sequence[str] = KEYS, signal: str = "signal",
                      frame: str = "frame", clustered: bool = False) -> DataFrame:
     """Pearson correlation of every region pair, with its Fisher z."""
+    return edges_of(stored_moments(series, keys, signal, frame, clustered), keys)
+
+
+def edges_of(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``functional_edges`` from stored co-moments."""
     r = F.try_divide(F.col("cov"), F.sqrt(F.col("var_i") * F.col("var_j")))
-    return pair_covariances(series, keys, signal, frame, clustered).select(
+    return pair_covariances(blocks, keys).select(
         *keys, "i", "j", unit(r).alias("r")
     ).withColumn("z", fisher_z(F.col("r")))
 
@@ -245,7 +273,7 @@ def functional_edges_shrunk(series: DataFrame, keys: Sequence[str] = KEYS, signa
     def over_pairs(e: Column) -> Column:
         return F.sum(e).over(own)
 
-    pairs = pair_covariances(series, keys, signal, frame, clustered, fourth=True).select(
+    pairs = pair_covariances(stored_moments(series, keys, signal, frame, clustered), keys, fourth=True).select(
         "*",
         over_pairs(F.lit(1.0)).alias("m"),
         over_pairs(F.col("var_i") + F.col("var_j")).alias("sum_var"),

@@ -6,11 +6,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from neurospan.functions import columns as C
 from neurospan.operators.discrimination import top_k_overlap
 from neurospan.operators.groupstats import spearman
-from neurospan.operators.ordered import competition_rank
+from neurospan.operators.ordered import competition_rank, numbered
+from neurospan.session import scratch_dir
+from neurospan.sources.sinks import materialise
 
 # Sub-region abbreviations of the public cortical atlas.
 REGION_ABBREVIATIONS = {
@@ -156,6 +159,47 @@ def sectioned(parts: Sequence[tuple[str, DataFrame, str]], label: str) -> DataFr
     return out
 
 
+def sectioned_top(rows: DataFrame, section: str, n: int, order: Sequence[Column], cells: Mapping[str, Column], label: str) -> DataFrame:
+    """Heading row and the first ``n`` rows of every section, sections numbered in their order.
+
+    The sections come from the data: each task passes on at most ``n`` rows per section, what is left is stored, and the
+    plan is the same for any number of sections.
+    """
+    own = Window.partitionBy(section).orderBy(*order)
+    best = rows.withColumn("row_no", F.row_number().over(own)).where(F.col("row_no") <= n)
+    spark = rows.sparkSession
+    best = materialise(best.select(section, "row_no", *[c.cast("string").alias(k) for k, c in cells.items()]), scratch_dir(spark, "sections"))
+    named = numbered(best.select(section).distinct(), [section], "section_no").withColumnRenamed(section, "section")
+    named = materialise(named.select("section", (F.col("section_no") - 1).cast("int").alias("section_no")), scratch_dir(spark, "headings"))
+    body = best.join(named, F.col(section).eqNullSafe(F.col("section"))).select(
+        "section_no", "section", F.lit(False).alias("is_heading"), "row_no", *cells
+    )
+    head = named.select(
+        "section_no", "section", F.lit(True).alias("is_heading"), F.lit(0).alias("row_no"),
+        *[(F.col("section") if c == label else F.lit("")).alias(c) for c in cells],
+    )
+    return head.unionByName(body)
+
+
+def figure_blocks(blocks: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> DataFrame:
+    """Tables of different shapes in one: (block_no, block, row_no, cells), cells being a map from column to text.
+
+    ``blocks`` are (title, table, order); a table is as long as a figure's panel, so numbering its rows is a small window.
+    A column that is a map itself (a matrix row) gives its entries.
+    """
+    out = None
+    for k, (title, rows, order) in enumerate(blocks):
+        plain = [f for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
+        cells = F.map_from_entries(F.array(*[F.struct(F.lit(f.name), F.col(f.name).cast("string")) for f in plain]))
+        for f in rows.schema.fields:
+            if isinstance(f.dataType, T.MapType):
+                cells = F.map_concat(cells, F.transform_values(f.name, lambda _, v: v.cast("string")))
+        number = F.row_number().over(Window.partitionBy(F.lit(k)).orderBy(*order))
+        part = rows.select(F.lit(k).alias("block_no"), F.lit(title).alias("block"), number.alias("row_no"), cells.alias("cells"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def heading_depth(df: DataFrame, section: str, order: str, heading: str, is_section: str, out: str = "level") -> DataFrame:
     """Indent level of table rows: running count of sub-headings inside each section."""
     within = Window.partitionBy(section).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

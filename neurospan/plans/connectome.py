@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from neurospan.operators import rollup as R
 from neurospan.operators import visits as V
 from neurospan.plans import connectome_inputs as I
 from neurospan.plans.registry import query, r6, sql6
-from neurospan.session import table
+from neurospan.session import scratch_dir, table
+from neurospan.sources.sinks import load_or_compute
 
 
 def _fc(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +40,52 @@ def fc_edges(spark, sf):
     return N.functional_edges(I.series(spark, sf)).select("subject_id", "ses", "i", "j", r6("r").alias("r"), r6("z").alias("z"))
 
 
+def _strict_moments(x):
+    """Co-moments of frames in which every region varies; numpy raises where one does not."""
+    found = N._co_moments(x)
+    with np.errstate(divide="raise"):
+        np.divide(1.0, found[2])
+    return found
+
+
+@query(
+    "error_quarantine",
+    f"""WITH {I.PLAIN_FC_SQL}, kept AS (SELECT subject_id, ses, count(*) AS n_edges, {sql6('avg(r)')} AS mean_r FROM fc WHERE subject_id <> '3' GROUP BY ALL)
+    SELECT subject_id, ses, n_edges, mean_r, NULL AS reason, false AS timed FROM kept
+    UNION ALL SELECT DISTINCT subject_id, ses, 0, NULL, 'FloatingPointError: divide by zero encountered in divide', true FROM ts WHERE subject_id = '3'""",
+)
+def error_quarantine(spark, sf):
+    """Subject 3's fifth region does not vary, so numpy raises in its blocks; everyone else has edges."""
+    flat = F.transform("signal", lambda v, k: F.when(k == 4, F.lit(1.0)).otherwise(v))
+    series = I.series(spark, sf).withColumn("signal", F.when(F.col("subject_id") == "3", flat).otherwise(F.col("signal")))
+    blocks = N.stored_moments(series, measure=_strict_moments)
+    good = N.edges_of(blocks).groupBy("subject_id", "ses").agg(F.count(F.lit(1)).alias("n_edges"), r6(F.avg("r")).alias("mean_r"))
+    bad = N.failed_blocks(blocks).select(
+        "subject_id", "ses", F.lit(0).cast("bigint").alias("n_edges"), F.lit(None).cast("double").alias("mean_r"), "reason",
+        F.col("failed_at").isNotNull().alias("timed"),
+    )
+    return good.withColumns({"reason": F.lit(None).cast("string"), "timed": F.lit(False)}).unionByName(bad)
+
+
+@query(
+    "cached_group_means",
+    f"WITH {I.FC_SQL} SELECT i, j, {sql6('avg(z)')} AS mean_z, count(z) AS n_subjects FROM fc GROUP BY ALL",
+)
+def cached_group_means(spark, sf):
+    """Group means computed once for their input files and settings; the second call loads what the first one stored."""
+    folder, settings, runs = scratch_dir(spark, "group-means"), {"value": "z", "shrunk": True}, []
+
+    def compute():
+        runs.append(1)
+        return N.group_mean_edges(_fc(spark, sf), value="z")
+
+    for _ in range(2):
+        out = load_or_compute(spark, folder, [f"{sf}/embeddings.parquet"], settings, compute)
+    if len(runs) != 1:
+        raise AssertionError("the stored result was not used")
+    return out.select("i", "j", r6("mean_value").alias("mean_z"), "n_subjects")
+
+
 def _damaged_series(spark: SparkSession, sf: str) -> DataFrame:
     """Signals of which subject 3 lost a frame's last values and subject 5 one value."""
     frame, signal = F.col("frame"), F.col("signal")

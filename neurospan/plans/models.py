@@ -152,14 +152,23 @@ def _fdr_sql() -> str:
     adjusted AS (SELECT *, least(1, min(p_value * m / place) OVER (PARTITION BY atlas, model, family ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_fdr FROM placed)"""
 
 
+def battery_ctes() -> str:
+    """SQL twin of ``battery_results``, as a CTE ``adjusted``."""
+    return f"{_battery_sql()}, {mixed_sql.fit_sql('rows_', 7)}, {_fdr_sql()}"
+
+
+def battery_results(spark: SparkSession, sf: str) -> DataFrame:
+    return M.fit_battery(spark, _visits(spark, sf), "id", _ATLASES)
+
+
 @query(
     "lme_battery",
-    f"""WITH RECURSIVE {_battery_sql()}, {mixed_sql.fit_sql("rows_", 7)}, {_fdr_sql()}
+    f"""WITH RECURSIVE {battery_ctes()}
     SELECT model, network, atlas, family, n_obs, n_subjects, {sql6("p_fdr")} AS p_fdr, {mixed_sql.rounded()} FROM adjusted""",
 )
 def lme_battery(spark, sf):
     """The 48 models: four kinds, six outcomes, two atlases."""
-    out = M.fit_battery(spark, _visits(spark, sf), "id", _ATLASES)
+    out = battery_results(spark, sf)
     return out.select("model", "network", "atlas", "family", "n_obs", "n_subjects", r6("p_fdr").alias("p_fdr"), *_rounded())
 
 
@@ -237,6 +246,7 @@ def perm_importance(spark, sf):
 def perm_null(spark, sf):
     """Null AUCs in stored batches, resumed once, until the study's stopping rule; with the sequential p-value."""
     from neurospan.operators.discrimination import permutation_p
+    from neurospan.streaming.incremental import stored
 
     plan = _SVM
     features = _features(spark, sf, False)
@@ -244,7 +254,7 @@ def perm_null(spark, sf):
     path = scratch_dir(spark, "null-auc")
     S.resumable_null(spark, features, plan, observed, path, n_perm=20)
     run_id = S.resumable_null(spark, features, plan, observed, path)
-    null = spark.read.parquet(path).select("run_id", "perm_id", "auc")
+    null = stored(spark, path).select("run_id", "perm_id", "auc")
     obs = null.select("run_id").distinct().select("run_id", F.lit(float(observed)).alias("observed_auc"))
     return permutation_p(null.where(F.col("run_id") == run_id), obs, stop=50).drop("run_id")
 

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from neurospan.functions import columns as C
+from neurospan.operators import connectivity as N
 from neurospan.operators import ordered as O
 from neurospan.operators import report as R
+from neurospan.operators import rollup as RU
+from neurospan.plans import connectome as X
 from neurospan.plans import connectome_inputs as I
+from neurospan.plans import models as M
 from neurospan.plans.models import model_summary
 from neurospan.plans.registry import ORACLES, query, r6, sql6
 from neurospan.session import table
@@ -148,17 +152,8 @@ tbl AS (SELECT * FROM body UNION ALL SELECT section_no, p_type, true, 0, p_type,
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
-    parts = []
-    kinds = [r[0] for r in table(spark, sf, "part").select("p_type").distinct().orderBy("p_type").collect()]  # the headings
-    for kind in kinds:
-        rows = table(spark, sf, "part").where(F.col("p_type") == kind)
-        best = R.top_features(rows, 10, "p_retailprice", "p_partkey")
-        ranked = best.select(
-            F.col("p_partkey").cast("string").alias("label"), F.col("p_name").alias("cell"),
-            F.struct(-F.col("p_retailprice"), F.col("p_partkey")).alias("place"),
-        )
-        parts.append((kind, ranked, "place"))
-    return R.sectioned(parts, "label")
+    cells = {"label": F.col("p_partkey"), "cell": F.col("p_name")}
+    return R.sectioned_top(table(spark, sf, "part"), "p_type", 10, [F.col("p_retailprice").desc(), F.col("p_partkey")], cells, "label")
 
 
 @query("sectioned_table", f"WITH {_SECTION_SQL} SELECT section_no, section, is_heading, row_no, label, cell FROM tbl")
@@ -209,3 +204,103 @@ def figure_source_features(spark, sf):
         "rank", "feature", "label", C.recode("feature_type", {"slope": "Annual change", "baseline": "Baseline"}).alias("kind_text"),
         C.feature_region("feature").alias("region"), r6("imp").alias("importance"),
     )
+
+
+# --- the tables behind the figures ------------------------------------------------
+
+
+def _cells(blocks: DataFrame) -> DataFrame:
+    """One row per cell, numbers rounded for comparison."""
+    each = blocks.select("block_no", "block", "row_no", F.explode("cells").alias("cell", "value"))
+    number = F.col("value").try_cast("double")
+    return each.select("block_no", "block", "row_no", "cell", r6(number, 5).alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+
+
+_FIGURE_1 = ("Structure-function coupling (mean r per region)", "Structural connectivity (region x region)", "Functional connectivity (region x region)")
+
+
+@query(
+    "figure_source_connectivity",
+    f"""WITH {I.SFC_SQL}, names AS (SELECT DISTINCT roi, {I.region_name_sql('roi')} AS region FROM ts),
+    people AS (SELECT count(DISTINCT subject_id)::DOUBLE AS n FROM sc WHERE ses = 'ses-01'),
+    base_sc AS (SELECT i, j, sum(weight) / any_value(n) AS v FROM sc CROSS JOIN people WHERE ses = 'ses-01' GROUP BY ALL),
+    base_fc AS (SELECT i, j, avg(z) AS v FROM fc WHERE ses = 'ses-01' GROUP BY ALL),
+    cells AS (
+      SELECT 1 AS block_no, a.roi AS i, b.roi AS j, coalesce(v, 0) AS v FROM names a CROSS JOIN names b LEFT JOIN base_sc ON base_sc.i = least(a.roi, b.roi) AND base_sc.j = greatest(a.roi, b.roi)
+      UNION ALL SELECT 2, a.roi, b.roi, coalesce(v, 0) FROM names a CROSS JOIN names b LEFT JOIN base_fc ON base_fc.i = least(a.roi, b.roi) AND base_fc.j = greatest(a.roi, b.roi)
+    ),
+    coupled AS (SELECT roi, avg(rho) AS v FROM sfc WHERE ses = 'ses-01' GROUP BY roi),
+    flat AS (
+      SELECT 0 AS block_no, roi + 1 AS row_no, 'Region' AS cell, NULL::DOUBLE AS number, region AS text FROM coupled JOIN names USING (roi)
+      UNION ALL SELECT 0, roi + 1, 'Structure-function coupling (r)', {sql6('v', 5)}, NULL FROM coupled
+      UNION ALL SELECT DISTINCT block_no, i + 1, 'Region', NULL, a.region FROM cells JOIN names a ON a.roi = i
+      UNION ALL SELECT block_no, i + 1, b.region, {sql6('v', 5)}, NULL FROM cells JOIN names b ON b.roi = j
+    )
+    SELECT block_no, ['{"', '".join(_FIGURE_1)}'][block_no + 1] AS block, row_no::INT AS row_no, cell, number, text FROM flat""",
+)
+def figure_source_connectivity(spark, sf):
+    """Figure 1: group means at baseline, as region values and region x region matrices with their names."""
+    connections = X._connections(spark, sf)
+    sc, fc = X._sc(spark, sf, connections), X._fc(spark, sf)
+    first = F.col("ses") == "ses-01"
+    regions = I.regions(spark, sf)
+    coupled = N.coupling(sc, fc).where(first).groupBy("roi").agg(F.avg("rho").alias("r"))
+    people = sc.where(first).select("subject_id").distinct().count()
+    mean_sc = sc.where(first).groupBy("i", "j").agg((F.sum("weight") / F.lit(float(people))).alias("weight"))
+    mean_fc = N.group_mean_edges(fc.where(first), value="z").select("i", "j", F.col("mean_value").alias("weight"))
+    names = regions.agg(F.array_sort(F.collect_set("roi")).alias("o")).select(F.transform("o", I.region_name).alias("names")).scalar()
+
+    def matrix(edges):
+        rows = N.matrix_rows(edges.withColumn("all", F.lit(0)), regions, ("all",))
+        return rows.select("roi", I.region_name(F.col("roi")).alias("Region"), F.map_from_arrays(names, "row").alias("values"))
+
+    values = coupled.select("roi", I.region_name(F.col("roi")).alias("Region"), F.col("r").alias("Structure-function coupling (r)"))
+    blocks = R.figure_blocks([(title, rows, ["roi"]) for title, rows in zip(_FIGURE_1, (values, matrix(mean_sc), matrix(mean_fc)), strict=True)])
+    return _cells(blocks).where("cell <> 'roi'")
+
+
+_FIGURE_3 = (
+    "Structure-function coupling difference (mean of both timepoints)", "Coupling by status: standardised effects", "Memory by coupling: standardised effects",
+)
+_NETWORK_ORDER = {"global": "Global", "hmod": "Heteromodal", "dmn": "Default mode network", "control": "Executive control network",
+                  "salience": "Salience network", "sensory": "Sensory"}
+_PANEL = {"Standardised effect": "coef", "CI lower": "ci_lo", "CI upper": "ci_hi", "p (uncorrected)": "p_value", "p (FDR-corrected)": "p_fdr"}
+
+
+def _figure_3_sql() -> str:
+    order = ", ".join(f"('{k}', {n}, '{v}')" for n, (k, v) in enumerate(_NETWORK_ORDER.items()))
+    effects = " UNION ALL ".join(
+        f"SELECT block_no, row_no, '{cell}', {sql6(column, 5)}, NULL FROM panels" for cell, column in _PANEL.items()
+    )
+    return f"""WITH RECURSIVE {I.SFC_SQL}, d AS (
+      SELECT ses, roi, avg(atanh(rho)) FILTER (CAST(subject_id AS INT) % 2 = 1) - avg(atanh(rho)) FILTER (CAST(subject_id AS INT) % 2 = 0) AS difference FROM sfc GROUP BY ALL),
+    a AS (SELECT roi, {I.region_name_sql('roi')} AS region, avg(difference) AS v FROM d GROUP BY roi),
+    {M.battery_ctes()},
+    shown(network, place, name) AS (VALUES {order}),
+    panels AS (SELECT CASE model WHEN 'group' THEN 1 ELSE 2 END AS block_no, row_number() OVER (PARTITION BY model ORDER BY shown.place, atlas) AS row_no, name, atlas, coef, ci_lo, ci_hi, p_value, p_fdr
+      FROM adjusted JOIN shown USING (network) WHERE model IN ('group', 'memory')),
+    flat(block_no, row_no, cell, number, text) AS (
+      SELECT 0, row_number() OVER (ORDER BY roi), 'Region', NULL::DOUBLE, region FROM a
+      UNION ALL SELECT 0, row_number() OVER (ORDER BY roi), 'Difference (Fisher z)', {sql6('v', 5)}, NULL FROM a
+      UNION ALL SELECT block_no, row_no, 'Network', NULL, name FROM panels
+      UNION ALL SELECT block_no, row_no, 'Parcellation', NULL, 'Parcels ' || atlas FROM panels
+      UNION ALL {effects})
+    SELECT block_no, ['{"', '".join(_FIGURE_3)}'][block_no + 1] AS block, row_no::INT AS row_no, cell, number, text FROM flat"""
+
+
+@query("figure_source_models", _figure_3_sql())
+def figure_source_models(spark, sf):
+    """Figure 3: the coupling difference per region, and the two models' effects in figure order."""
+    difference = RU.average_over_sessions(X._diff(spark, sf)).select(
+        "roi", I.region_name(F.col("roi")).alias("Region"), F.col("difference").alias("Difference (Fisher z)")
+    )
+    fitted = M.battery_results(spark, sf)
+    place = F.array_position(F.array(*[F.lit(k) for k in _NETWORK_ORDER]), F.col("network"))
+    blocks = [(_FIGURE_3[0], difference, ["roi"])]
+    for title, model in zip(_FIGURE_3[1:], ("group", "memory"), strict=True):
+        rows = fitted.where((F.col("model") == model) & F.col("network").isin(*_NETWORK_ORDER)).select(
+            place.alias("roi"), "atlas", C.recode("network", _NETWORK_ORDER).alias("Network"),
+            F.concat(F.lit("Parcels "), F.col("atlas")).alias("Parcellation"), *[F.col(c).alias(k) for k, c in _PANEL.items()],
+        )
+        blocks.append((title, rows, ["roi", "atlas"]))
+    return _cells(R.figure_blocks(blocks)).where("cell not in ('roi', 'atlas')")
