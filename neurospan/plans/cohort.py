@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from neurospan.functions import columns as C
 from neurospan.operators import clean, norms, quality, visits
 from neurospan.operators.groupstats import value_counts
+from neurospan.plans import connectome_inputs as I
 from neurospan.plans.registry import query, r6, sql6
 from neurospan.session import table
 
@@ -282,6 +283,27 @@ def comment_filter(spark, sf):
     return clean.comments_to_read(merged, "a", "b", boring_pattern="^È")
 
 
+_TURNS_SQL = """t AS (SELECT conv_id, min(text) FILTER (turn % 2 = 0) AS even, min(text) FILTER (turn % 2 = 1) AS odd FROM conversations GROUP BY conv_id),
+c AS (SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'ok' WHEN conv_id % 4 = 1 THEN NULL ELSE even END AS a, CASE conv_id % 3 WHEN 0 THEN 'NA' WHEN 1 THEN 'yes' ELSE odd END AS b FROM t)"""
+
+
+@query(
+    "comment_filter_second",
+    f"""WITH {_TURNS_SQL} SELECT conv_id, a, b FROM c
+    WHERE NOT (coalesce(a, '') IN ('', 'NA', 'ok', 'yes') AND coalesce(b, '') IN ('', 'NA', 'ok', 'yes'))""",
+)
+def comment_filter_second(spark, sf):
+    """The second cohort's boilerplate, on the texts of all turns: one comment from the even ones, one from the odd ones."""
+    talk, parity = table(spark, sf, "conversations"), F.col("turn") % 2
+    both = talk.groupBy("conv_id").agg(F.min(F.when(parity == 0, F.col("text"))).alias("even"), F.min(F.when(parity == 1, F.col("text"))).alias("odd"))
+    fourth, third = F.col("conv_id") % 4, F.col("conv_id") % 3
+    rows = both.select(
+        "conv_id", F.when(fourth == 0, "ok").when(fourth == 1, None).otherwise(F.col("even")).alias("a"),
+        F.when(third == 0, "NA").when(third == 1, "yes").otherwise(F.col("odd")).alias("b"),
+    )
+    return clean.comments_to_read(rows, "a", "b", C.BOILERPLATE_COMMENTS_B, C.BOILERPLATE_COMMENTS_B)
+
+
 @query(
     "cohort_union",
     """SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END AS score,
@@ -713,13 +735,15 @@ def square_check(spark, sf):
 
 @query(
     "label_layout",
-    """SELECT max(generate) = 64 AS count_ok, min(generate) = 1 AND max(generate) = count(DISTINCT generate) AS numbering_ok,
-    true AS blocks_ok, false AS sides_ok FROM (SELECT unnest(range(1, len(embedding) + 1)) AS generate FROM embeddings)""",
+    f"""WITH k AS (SELECT DISTINCT unnest(range(1, len(embedding) + 1)) AS idx FROM embeddings),
+    named AS (SELECT idx, {I.region_name_sql('(idx - 1)')} AS roi FROM k),
+    sided AS (SELECT *, CASE WHEN roi LIKE '%\_LH\_%' ESCAPE '\' OR roi LIKE '%: Left %' THEN 'LH' ELSE 'RH' END AS side,
+      CASE WHEN idx <= 28 OR idx BETWEEN 57 AND 60 THEN 'LH' ELSE 'RH' END AS expected FROM named)
+    SELECT count(*) = 64 AS count_ok, min(idx) = 1 AND max(idx) = count(DISTINCT idx) AS numbering_ok,
+      count(*) FILTER ((roi LIKE 'Subcortical%') <> (idx > 56)) = 0 AS blocks_ok, count(*) FILTER (side <> expected) = 0 AS sides_ok FROM sided""",
 )
 def label_layout(spark, sf):
     """The derived labels alternate sides, so the hemisphere-block check must fail."""
-    from neurospan.plans import connectome_inputs as I
-
     labels = I.regions(spark, sf).select(
         (F.col("roi") + 1).alias("roi_idx"), I.region_name(F.col("roi")).alias("roi")
     )

@@ -215,6 +215,37 @@ def feature_assembly(spark, sf):
     )
 
 
+@query(
+    "feature_assembly_baseline",
+    f"""WITH e AS (SELECT vec_id, label, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+    SELECT CAST(vec_id AS VARCHAR) AS subject_id, CAST(label % 2 AS INT) AS y, k AS pos, {sql6('v')} AS value FROM e WHERE k < 32
+    UNION ALL SELECT CAST(vec_id AS VARCHAR), CAST(label % 2 AS INT), 32, {sql6('vec_id % 20 + 60')} FROM embeddings
+    UNION ALL SELECT CAST(vec_id AS VARCHAR), CAST(label % 2 AS INT), 33, {sql6('vec_id % 9 + 8')} FROM embeddings
+    UNION ALL SELECT CAST(vec_id AS VARCHAR), CAST(label % 2 AS INT), 34, {sql6('CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 0 END')} FROM embeddings""",
+)
+def feature_assembly_baseline(spark, sf):
+    """Features of the first visit only; subjects whose visits are no time apart stay."""
+    return _features(spark, sf, False).select("subject_id", "y", F.posexplode("x").alias("pos", "v")).select(
+        "subject_id", "y", "pos", r6("v").alias("value")
+    )
+
+
+@query(
+    "penalty_grid",
+    f"""WITH grid AS (SELECT k, l, pow(10, -4 + 7 * k / 9.0) AS c, [0.01, 0.1, 0.3, 0.5][l + 1]::DOUBLE AS l1 FROM range(10) a(k) CROSS JOIN range(4) b(l))
+    SELECT CAST(k * 4 + l AS INT) AS candidate, {sql6('c')} AS c, l1 AS l1_ratio,
+      (SELECT count(*) FROM customer WHERE abs(c_acctbal) / 10 <= grid.c) AS n_below FROM grid""",
+)
+def penalty_grid(spark, sf):
+    """The candidates of the elastic net, log-spaced, and how many balances lie below each penalty."""
+    grid = _EN.c_grid
+    size = F.abs("c_acctbal") / 10
+    row = table(spark, sf, "customer").agg(*[F.count_if(size <= c).alias(f"n{k}") for k, c in enumerate(grid)])
+    counts = row.select(F.posexplode(F.array(*[F.col(f"n{k}") for k in range(len(grid))])).alias("k", "n_below"))
+    own = S.parameter_grid(spark, _EN).withColumn("of_k", F.floor(F.col("candidate") / len(_EN.ratios)).cast("int"))
+    return own.join(counts, F.col("of_k") == F.col("k")).select("candidate", r6("c").alias("c"), "l1_ratio", "n_below")
+
+
 # The study's grids, folds and repeats are the defaults of Plan.
 _EN, _SVM = S.Plan("elastic_net"), S.Plan("linear_svm")
 
