@@ -5,11 +5,13 @@ item with n distinct shingles at most (1 - threshold) * n may be missing, so of
 them at least one is there.  The sketch of an item is that many of its smallest hash values; items are partitioned by
 size (powers of two) and each partition has the sketch length that its largest size needs.  A document is probed with
 all its shingles whatever its length, so no pair is missed; candidates are then checked on the shingles themselves.
+
+Sketches are a table of hashes, joined with the documents' hashes by Spark; no text of an item passes the driver.  A
+filter of bounded size keeps shingles that no sketch holds from being dealt.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.shared import free_name, pieces
+from neurospan.llm.shared import hash_filter, passes, pieces, same, stored, text_key, without
 
 WORDS, THRESHOLD = 5, 0.8
-#: Text bytes of the items that one pass over the documents carries; a larger benchmark takes several passes.
-BLOCK_BYTES = 16 * 1024 * 1024
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -52,109 +52,84 @@ def _hashes(words: list[bytes], size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-class Sketches:
-    """Sketches of one block of items."""
-
-    def __init__(self, items: list[tuple[object, str | None]], threshold: float, size: int):
-        self.threshold, self.size = threshold, size
-        self.ids, self.shingles, self.all = [], [], []
-        owners = defaultdict(list)
-        for item_id, text in items:
-            words = words_of(text)
-            known = set(shingles(words, size))
-            if not known:
-                continue
-            k = len(self.ids)
-            self.ids.append(item_id)
-            self.shingles.append(known)
-            hashes = np.unique(_hashes(words, size))
-            self.all.append(hashes)
-            largest = (1 << len(known).bit_length()) - 1  # of the item's size partition
-            for h in hashes[: int((1 - threshold) * largest + 1e-9) + 1].tolist():
-                owners[h].append(k)
-        self.keys = np.array(sorted(owners), np.uint64)
-        self.owners = [owners[h] for h in self.keys.tolist()]
-
-    def found(self, text: str | None) -> list[tuple[int, int]]:
-        """(item, shared shingles) of every item contained in the text."""
-        words = words_of(text)
-        if not words or not len(self.keys):
-            return []
-        hashes = _hashes(words, self.size)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        hit = np.unique(at[self.keys[at] == hashes])
-        out = []
-        if len(hit):
-            size = min(self.size, len(words))
-            for k in sorted({k for i in hit.tolist() for k in self.owners[i]}):
-                places = np.flatnonzero(np.isin(hashes, self.all[k]))
-                shared = len(self.shingles[k].intersection(b" ".join(words[p : p + size]) for p in places.tolist()))
-                if shared >= self.threshold * len(self.shingles[k]) - 1e-9:
-                    out.append((k, shared))
-        return out
-
-
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of about ``block_bytes`` of text; the size is measured before anything is fetched."""
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    blocks = -(-size // block_bytes)
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield [tuple(r) for r in own.select("item_id", "text").collect()]
-
-
-def contaminated(
-    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
+def sketch(text: str | None, threshold: float = THRESHOLD, size: int = WORDS) -> np.ndarray:
+    """The smallest hashes of an item's shingles, as many as its size partition needs; none for a text without words."""
+    words = words_of(text)
+    known = len(set(shingles(words, size)))
+    largest = (1 << known.bit_length()) - 1  # of the item's size partition
+    return np.unique(_hashes(words, size))[: int((1 - threshold) * largest + 1e-9) + 1 if known else 0]
+
+
+def _hash_rows(df: DataFrame, keep: list[str], hashes) -> DataFrame:
+    """(keep..., hash): a row for each hash of the text, which is the last column."""
+    fields = [df.schema[c] for c in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, len(keep)):
+            found = [hashes(t) for t in batch.column(len(keep)).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(h) for h in found]))
+            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(row) for k in range(len(keep))], pa.array(flat)], names=[*keep, "hash"])
+
+    return df.select(*keep, "text").mapInArrow(run, T.StructType([*fields, T.StructField("hash", T.LongType())]))
+
+
+def _candidates(docs: DataFrame, items: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(of_id, of_key, item_row): documents that share a sketch hash with an item."""
+    sketches = stored(_hash_rows(items, ["item_row"], lambda t: sketch(t, threshold, size)))
+    bits = hash_filter(sketches, "hash")
+
+    def probed(text: str | None) -> np.ndarray:
+        found = np.unique(_hashes(words_of(text), size))
+        return found[passes(bits, found)]
+
+    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
+    met = _hash_rows(keyed, ["doc_id", "text_key"], probed).join(sketches.withColumnRenamed("hash", "of_hash"), F.col("hash") == F.col("of_hash"))
+    return stored(met.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "item_row").distinct())
+
+
+def _verified(docs: DataFrame, items: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(doc_id, text_key, item_id, shared, item_shingles) of every item contained in a document."""
+    items = stored(items.select(F.monotonically_increasing_id().alias("item_row"), "item_id", "text"))
+    found = _candidates(docs, items, threshold, size)
+    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
+    met = keyed.join(found, same(F.col("doc_id"), F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    item = items.select(F.col("item_row").alias("of_row"), "item_id", F.col("text").alias("item_text"))
+    met = met.join(item, F.col("item_row") == F.col("of_row")).select("doc_id", "text_key", "item_id", "text", "item_text")
+    schema = T.StructType([*met.schema.fields[:3], T.StructField("shared", T.LongType()), T.StructField("item_shingles", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, words, hashes = None, [], np.zeros(0, np.uint64)
+        for batch in pieces(batches, 3):
+            keep, counts, sizes = [], [], []
+            for text, item in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if text != last:
+                    last, words = text, words_of(text)
+                    hashes = _hashes(words, size)
+                known = set(shingles(words_of(item), size))
+                places = np.flatnonzero(np.isin(hashes, _hashes(words_of(item), size)))
+                run_length = min(size, len(words))
+                shared = len(known.intersection(b" ".join(words[p : p + run_length]) for p in places.tolist()))
+                keep.append(shared >= threshold * len(known) - 1e-9)
+                counts.append(shared)
+                sizes.append(len(known))
+            columns = [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames()).filter(pa.array(keep, pa.bool_()))
+
+    return met.mapInArrow(run, schema)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) for every item contained in a document.
 
     Repeated rows on either side give repeated pairs.  Null and wordless texts contain nothing and are in nothing.  A
     text of fewer than ``size`` words is one shingle, so a short item is found only in a document that is the same
-    words.  Empty tables give no rows.
+    words.  Empty tables give no rows.  Other columns are not looked at.
     """
-    kinds = docs.schema["doc_id"].dataType, items.schema["item_id"].dataType
-    schema = T.StructType([
-        T.StructField("doc_id", kinds[0]), T.StructField("item_id", kinds[1]), T.StructField("shared", T.LongType()),
-        T.StructField("item_shingles", T.LongType()), T.StructField("containment", T.DoubleType()),
-    ])
-
-    def search(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sketches = Sketches(block, threshold, size)
-            for batch in pieces(batches, 1):
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for k, shared in sketches.found(text):
-                        n = len(sketches.shingles[k])
-                        rows.append({"doc_id": doc_id, "item_id": sketches.ids[k], "shared": shared, "item_shingles": n, "containment": shared / n})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows)
-
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-    out = None
-    for block in item_blocks(items, block_bytes):
-        found = search(block)
-        out = found if out is None else out.union(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
-
-
-def drop_contaminated(
-    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = WORDS, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """``docs`` without the documents that contain an item; columns unchanged, no shuffle."""
-    flag, text = free_name(docs.columns, "clean"), docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField(flag, T.BooleanType())])
-
-    def mark(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sketches = Sketches(block, threshold, size)
-            for batch in pieces(batches, text):
-                clean = pa.array([not sketches.found(t) for t in batch.column(text).to_pylist()], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*batch.columns, clean], names=[*batch.schema.names, flag])
-
-        return run
-
-    for block in item_blocks(items, block_bytes):
-        docs = docs.mapInArrow(mark(block), schema).filter(F.col(flag)).drop(flag)
-    return docs
+    found = _verified(docs, items, threshold, size)
+    return found.select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = WORDS) -> DataFrame:
+    """``docs`` without the documents that contain an item; columns unchanged."""
+    return without(docs, stored(_verified(docs, items, threshold, size).select("doc_id", "text_key").distinct()))

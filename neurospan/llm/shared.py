@@ -30,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet into the shared folder and read them back."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -81,3 +81,24 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -
 def crc32_fold(key: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is hashed as the empty text."""
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
+
+
+#: Bits of a filter of hashes: 8 MB for any number of them.
+FILTER_BITS = 1 << 26
+
+
+def hash_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """One bit for each 64-bit hash in ``column``: a filter of bounded size that lets all of these pass, and some others."""
+    place = F.pmod(F.col(column), F.lit(bits)) + 1
+    parts = df.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["bucket"] - 1) * len(part) :][: len(part)] = part
+    return out
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (64-bit, signed or not) may be among those of the filter."""
+    at = np.ascontiguousarray(hashes).view(np.int64) % (len(bits) * 8)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

@@ -21,12 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurospan.llm.shared import cut, free_name, pieces, text_key
+from neurospan.llm.shared import cut, free_name, hash_filter, passes, pieces, text_key
 
 #: Sentences and words of a run, at least.  Twenty words in a row do not repeat by chance.
 LEAST_SENTENCES, LEAST_WORDS = 2, 20
-#: Bits of the filter that picks the runs to be joined with the repeated ones: 8 MB for any number of runs.
-FILTER_BITS = 1 << 26
 _CUT = re.compile(r"[^.!?;,:\n]*(?:[.!?;,:\n]+\s*|$)")
 _FACTOR = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSE = tuple(pow(f, -1, 1 << 64) for f in _FACTOR)
@@ -85,8 +83,7 @@ def _all_runs(docs: DataFrame, least_sentences: int, least_words: int, bits: np.
                     seen[:] = True
                     seen[np.unique(h, axis=0, return_index=True)[1]] = False
                 if bits is not None and len(h):
-                    at = np.ascontiguousarray(h[:, 0]).view(np.int64) % FILTER_BITS
-                    may = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                    may = passes(bits, h[:, 0])
                     own, h, seen = own[may], h[may], seen[may]
                 if len(h):
                     rows.append(np.full(len(h), k))
@@ -104,17 +101,6 @@ def _all_runs(docs: DataFrame, least_sentences: int, least_words: int, bits: np.
     return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, schema)
 
 
-def _bitmap(firsts: DataFrame) -> np.ndarray:
-    """One bit for each repeated run: a filter of bounded size that lets all these pass, and some others."""
-    place = F.pmod(F.col("of1"), F.lit(FILTER_BITS)) + 1
-    parts = firsts.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts.collect():
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        bits[(r["bucket"] - 1) * len(part) :][: len(part)] = part
-    return bits
-
-
 def repeated_places(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text_key, places): the runs (place, last) that an earlier place has already.
 
@@ -126,7 +112,7 @@ def repeated_places(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, lea
     firsts = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # stored, so that both sides of the join are dealt anew and Spark can split the partition of a hot run
     firsts = cut(firsts).select(F.col("h1").alias("of1"), F.col("h2").alias("of2"), "first_id")
-    found = _all_runs(docs, least_sentences, least_words, _bitmap(firsts))
+    found = _all_runs(docs, least_sentences, least_words, hash_filter(firsts, "of1"))
     met = found.join(firsts, (F.col("h1") == F.col("of1")) & (F.col("h2") == F.col("of2")))
     later = F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_id"))
     return met.filter(later).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "last")).alias("places"))
