@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from neurospan.llm.sampling import bounded_ids, one_label, texts_of
-from neurospan.llm.shared import free_name, pieces
+from neurospan.llm.shared import cut, free_name, pieces
 
 #: Labelled rows of each class that the model is fitted on, at most.
 FIT_ROWS = 5000
@@ -104,14 +104,17 @@ def _features(terms: Sequence[Sequence[str]]):
     return run
 
 
-def counterfactual_pairs(sentences: Sequence[Sequence[str]], terms: Sequence[Sequence[str]]) -> Counter:
-    """How often swapping one word for another was tried: each name in a sentence for every other of its list."""
+def counterfactual_pairs(sentences: Iterable[tuple[Sequence[str], int]], terms: Sequence[Sequence[str]]) -> Counter:
+    """How often swapping one word for another was tried: each name in a sentence for every other of its list.
+
+    ``sentences`` are the names of a sentence and how many sentences have just these.
+    """
     pairs: Counter = Counter()
-    for present in sentences:
+    for present, times in sentences:
         for a in present:
             for group in terms:
                 if a in group:
-                    pairs.update((a, b) for b in group if b not in present)
+                    pairs.update({(a, b): times for b in group if b not in present})
     return pairs
 
 
@@ -158,38 +161,44 @@ def fit(
 ) -> ToxicityModel:
     """Fit on at most ``rows`` labelled documents of each class among the label rows ``train``.
 
-    Only this bounded sample reaches the driver, as word numbers.  Rows are weighted back to the class sizes of all
-    training labels.  Null labels and labels without a document are ignored; without both classes the model is the
-    bare class rate.
+    Features that do not tell the classes apart are left out by Spark; what reaches the driver of this bounded sample
+    are the numbers of the others.  Rows are weighted back to the class sizes of all training labels.  Null labels and
+    labels without a document are ignored; without both classes the model is the bare class rate.
     """
     known = one_label(labels, "toxic", train)
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     sample = texts_of(docs, bounded_ids(known, rows, "toxic")).select("text", "toxic")
     kind = "toxic int, words array<int>, named array<array<string>>"
-    got = sample.mapInArrow(_features(terms), kind).toArrow()
-    y = got.column("toxic").to_numpy().astype(float)
-    if len(set(y)) < 2:
-        rate = float(y.mean()) if len(y) else 0.0
+    sample = cut(sample.mapInArrow(_features(terms), kind).withColumn("row", F.monotonically_increasing_id()))
+    n = {v: 0 for v in (0, 1)} | {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not n[0] or not n[1]:
+        rate = float(n[1] > 0)
         return ToxicityModel(float(np.log((rate + 1e-9) / (1 - rate + 1e-9))))
-    lists = got.column("words").combine_chunks()
-    flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    pairs = counterfactual_pairs([s for row in got.column("named").to_pylist() for s in row], terms)
+    sentences = sample.select(F.explode("named").alias("s")).groupBy("s").count().orderBy("s").collect()
+    pairs = counterfactual_pairs([(r["s"], r["count"]) for r in sentences], terms)
     pair_ids = np.array([(_bucket(a), _bucket(b)) for a, b in pairs], np.int64).reshape(-1, 2)
     # features that tell the classes apart at all; swapped words stay in any case
-    is_toxic = np.repeat(y, sizes) == 1
-    values, where = np.unique(flat, return_inverse=True)
-    in_class = [np.bincount(where[is_toxic == bool(v)], minlength=len(values)) for v in (0, 1)]
-    n = np.bincount(y.astype(int), minlength=2)
-    pooled = (in_class[0] + in_class[1]) / n.sum()
-    z = (in_class[1] / n[1] - in_class[0] / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    used = np.union1d(values[np.abs(z) >= LEAST_Z], pair_ids.ravel()).astype(np.int64)
-    at = np.searchsorted(used, flat)
-    good = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == flat) if len(used) else np.zeros(len(flat), bool)
-    row = np.repeat(np.arange(len(y)), sizes)[good]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(y)))])
+    held = sample.select("row", F.explode("words").alias("f"), "toxic")
+    counts = held.groupBy("f").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
+    pooled = F.col("n") / F.lit(n[0] + n[1])
+    gap = F.col("n1") / F.lit(n[1]) - (F.col("n") - F.col("n1")) / F.lit(n[0])
+    z = gap / F.sqrt(pooled * (1 - pooled) * F.lit(1 / n[0] + 1 / n[1]) + F.lit(1e-12))
+    telling = F.abs(z) >= LEAST_Z
+    if len(pair_ids):
+        telling = telling | F.col("f").isin(np.unique(pair_ids).tolist())
+    chosen = cut(counts.filter(telling).select(F.col("f").alias("of_f")))
+    held = held.join(chosen, F.col("f") == F.col("of_f")).groupBy(F.col("row").alias("of_row")).agg(F.array_sort(F.collect_list("f")).alias("f"))
+    got = sample.select("row", "toxic").join(held, F.col("row") == F.col("of_row"), "left").orderBy("row")
+    got = got.select("toxic", F.coalesce("f", F.array().cast("array<int>")).alias("f")).toArrow()
+    y = got.column("toxic").to_numpy().astype(float)
+    lists = got.column("f").combine_chunks()
+    flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    used = np.union1d(flat, pair_ids.ravel()).astype(np.int64)
+    index = np.searchsorted(used, flat)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
     weight = np.array([totals[int(v)] / n[int(v)] for v in y])
     swaps = (np.searchsorted(used, pair_ids[:, 0]), np.searchsorted(used, pair_ids[:, 1]), np.array(list(pairs.values()), float))
-    w, bias = _minimise(starts, at[good], len(used), y, weight, swaps, l1, swap_weight, steps)
+    w, bias = _minimise(starts, index, len(used), y, weight, swaps, l1, swap_weight, steps)
     return ToxicityModel(float(bias), {int(k): float(v) for k, v in zip(used, w, strict=True) if v}, _named(terms))
 
 

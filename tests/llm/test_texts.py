@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,12 +49,21 @@ def plain_shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 900])
-def test_contaminated(spark, block_bytes):
+@pytest.mark.parametrize("copied", ["10MB", "-1"])
+def test_contaminated(spark, copied):
+    """With small tables copied to the tasks, and with every join dealt out."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", copied)
+    try:
+        check_contaminated(spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def check_contaminated(spark):
     items, texts = benchmark_case()
     docs = frame(spark, texts, [(3, texts[3], None, None, None, None), (None, "one two three", None, None, None, None)])
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = sorted((tuple(r)[:4] for r in decontaminate.contaminated(docs, bench, block_bytes=block_bytes).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in decontaminate.contaminated(docs, bench).collect()), key=str)
     want = []
     for doc_id, text in [*enumerate(texts), (3, texts[3]), (None, "one two three")]:
         for item_id, item in items:
@@ -62,7 +72,7 @@ def test_contaminated(spark, block_bytes):
                 want.append((doc_id, item_id, len(a & b), len(b)))
     assert got == sorted(want, key=str)
     bad = {d for d, *_ in want}
-    kept = decontaminate.drop_contaminated(docs, bench, block_bytes=block_bytes)
+    kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k in [*range(len(texts)), 3] if k not in bad)
 
@@ -70,6 +80,17 @@ def test_contaminated(spark, block_bytes):
 # --- sentence spans ----------------------------------------------------------
 
 
+def test_nothing_to_be_contaminated_by(spark):
+    docs, none = frame(spark, ["one two three four five six", None]), spark.createDataFrame([], "item_id bigint, text string, doc_id string, clean boolean")
+    assert decontaminate.contaminated(docs, none).count() == 0 and decontaminate.drop_contaminated(docs, none).count() == 2
+    items = spark.createDataFrame([(1, "one two three four five six", "x", True)], none.schema)
+    empty = docs.limit(0)
+    assert decontaminate.contaminated(empty, items).count() == 0 and decontaminate.drop_contaminated(empty, items).count() == 0
+    named = docs.withColumnsRenamed({"score": "clean", "spans": "item_row"})
+    left = decontaminate.drop_contaminated(named, items)
+    assert left.columns == named.columns and [r["doc_id"] for r in left.collect()] == [1]
+
+
 def plain_removal(rows):
     """The full rule: every run of two or more sentences and twenty or more words (none that repeats has 60 sentences)."""
     found, seen = defaultdict(set), set()
@@ -308,3 +329,106 @@ def test_quality(spark):
     assert sum((r["score"] >= 0.3) == good[r["doc_id"]] for r in rows) / len(rows) > 0.95
     kept = quality.drop_poor(docs, model)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+# --- the fits themselves, against dense versions ------------------------------
+
+
+def quality_rows(seed, n, share):
+    """Feature rows of which a known share is good; good ones lie higher."""
+    rng = np.random.default_rng(seed)
+    good = rng.random(n) < share
+    return rng.normal(size=(n, quality.WIDTH)) + 1.5 * good[:, None] * (np.arange(quality.WIDTH) < 4), good
+
+
+def dense_risk(p, u, prior, w, l2):
+    """Non-negative risk written out with a loop over rows."""
+    def loss(x, sign):
+        return np.mean([np.log1p(np.exp(-sign * (float(r @ w[:-1]) + w[-1]))) for r in x])
+
+    return prior * loss(p, 1) + max(loss(u, -1) - prior * loss(p, -1), 0.0) + l2 * float(w @ w)
+
+
+def test_risk_and_its_gradient():
+    x, good = quality_rows(1, 60, 0.5)
+    edges = np.quantile(x, quality.CUTS, axis=0).T
+    p, u = quality._binned(x[good], edges).astype(np.float64), quality._binned(x, edges).astype(np.float64)
+    w = np.random.default_rng(2).normal(size=p.shape[1] + 1) * 0.1
+    for prior in (0.2, 0.5, 0.99):
+        positive, negative, gradient = quality.risk_parts(p, u, prior, w)
+        assert positive + negative == pytest.approx(dense_risk(p, u, prior, w, 0.0), rel=1e-4)
+        for k in range(0, len(w), 37):
+            up, down = w.copy(), w.copy()
+            up[k] += 1e-4
+            down[k] -= 1e-4
+            slope = (dense_risk(p, u, prior, up, 0.0) - dense_risk(p, u, prior, down, 0.0)) / 2e-4
+            assert gradient[k] == pytest.approx(slope, abs=2e-4)
+
+
+def test_prior_and_edges_cover_all_documents(spark):
+    """The sample that the weights are fitted on may be small; statistics are those of all rows."""
+    x, _ = quality_rows(3, 4000, 0.4)
+    described = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "doc_id bigint, x array<double>")
+    edges = quality._edges(described)
+    ranks = (x[:, :, None] <= edges[None]).mean(axis=0)
+    assert np.abs(ranks - quality.CUTS).max() < 1e-3
+    weights = np.random.default_rng(4).normal(size=quality.WIDTH * (quality.BINS + 1))
+    found = quality._binned(x, edges) @ weights
+    cuts = np.quantile(found, [0.1, 0.5, 0.9])
+    assert quality._reaching(described)(edges, weights, cuts).tolist() == [*[int((found >= c).sum()) for c in cuts], 4000]
+    for share in (0.3, 0.7):
+        x, good = quality_rows(5, 6000, share)
+        model = quality.fit_arrays(x[good][:800], x)
+        assert model.prior == pytest.approx(share, abs=0.12)
+
+
+def toxicity_problem(seed):
+    """Sparse rows, labels, row weights and swapped pairs of a small problem."""
+    rng = np.random.default_rng(seed)
+    width, n = 14, 90
+    dense = (rng.random((n, width)) < 0.3).astype(float)
+    y = (dense @ rng.normal(size=width) + rng.normal(size=n) > 0).astype(float)
+    index = np.concatenate([np.flatnonzero(r) for r in dense])
+    starts = np.concatenate([[0], np.cumsum(dense.sum(axis=1).astype(int))])
+    pairs = (np.array([0, 2, 2]), np.array([1, 1, 3]), np.array([3.0, 1.0, 2.0]))
+    return dense, y, starts, index, rng.random(n) + 0.5, pairs
+
+
+@pytest.mark.parametrize("swap_weight, l1", [(1.0, 2e-3), (0.0, 1e-3), (25.0, 1e-2)])
+def test_toxicity_fit_is_the_minimum(swap_weight, l1):
+    """The loss is written out densely; at its minimum every weight meets the conditions of optimality."""
+    dense, y, starts, index, weight, (a, b, c) = toxicity_problem(6)
+    w, bias = toxicity._minimise(starts, index, dense.shape[1], y, weight, (a, b, c), l1, swap_weight, 40000)
+
+    def smooth(w, bias):
+        z = dense @ w + bias
+        rows = weight / weight.sum()
+        return rows @ (np.logaddexp(0, z) - y * z) + swap_weight * (c / c.sum()) @ (w[a] - w[b]) ** 2
+
+    for k in range(len(w)):
+        step = np.eye(len(w))[k] * 1e-5
+        slope = (smooth(w + step, bias) - smooth(w - step, bias)) / 2e-5
+        if w[k]:
+            assert slope == pytest.approx(-np.sign(w[k]) * l1, abs=2e-5)
+        else:
+            assert abs(slope) <= l1 + 2e-5
+    assert (smooth(w, bias + 1e-5) - smooth(w, bias - 1e-5)) / 2e-5 == pytest.approx(0, abs=2e-5)
+
+
+def test_swaps_pull_names_together():
+    """With a heavy penalty the names that stand for one another have one weight, whatever their rows say."""
+    dense, y, starts, index, weight, pairs = toxicity_problem(6)
+    free = toxicity._minimise(starts, index, dense.shape[1], y, weight, pairs, 1e-6, 0.0, 4000)[0]
+    tied = toxicity._minimise(starts, index, dense.shape[1], y, weight, pairs, 1e-6, 500.0, 20000)[0]
+    assert np.ptp(free[:4]) > 0.5 and np.ptp(tied[:4]) < 0.05
+
+
+def test_toxicity_of_nothing_and_an_old_toxicity_column(spark):
+    docs, labels, _, _ = labelled(spark, random.Random(7))
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    named = docs.withColumnRenamed("score", "toxicity")
+    left = toxicity.drop_toxic(named, model)
+    assert left.columns == named.columns and 0 < left.count() < named.count()
+    empty = toxicity.fit(docs.limit(0), labels, F.lit(True))
+    assert toxicity.score(docs, empty).filter("score between 0 and 1").count() == docs.count()
