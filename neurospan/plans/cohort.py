@@ -737,7 +737,7 @@ def square_check(spark, sf):
     "label_layout",
     f"""WITH k AS (SELECT DISTINCT unnest(range(1, len(embedding) + 1)) AS idx FROM embeddings),
     named AS (SELECT idx, {I.region_name_sql('(idx - 1)')} AS roi FROM k),
-    sided AS (SELECT *, CASE WHEN roi LIKE '%\_LH\_%' ESCAPE '\' OR roi LIKE '%: Left %' THEN 'LH' ELSE 'RH' END AS side,
+    sided AS (SELECT *, CASE WHEN roi LIKE '%~_LH~_%' ESCAPE '~' OR roi LIKE '%: Left %' THEN 'LH' ELSE 'RH' END AS side,
       CASE WHEN idx <= 28 OR idx BETWEEN 57 AND 60 THEN 'LH' ELSE 'RH' END AS expected FROM named)
     SELECT count(*) = 64 AS count_ok, min(idx) = 1 AND max(idx) = count(DISTINCT idx) AS numbering_ok,
       count(*) FILTER ((roi LIKE 'Subcortical%') <> (idx > 56)) = 0 AS blocks_ok, count(*) FILTER (side <> expected) = 0 AS sides_ok FROM sided""",

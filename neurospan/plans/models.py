@@ -290,6 +290,50 @@ def perm_null(spark, sf):
     return permutation_p(null.where(F.col("run_id") == run_id), obs, stop=50).drop("run_id")
 
 
+@query(
+    "coefficient_summary",
+    f"""WITH c AS (SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS feature, CAST(unnest(embedding) AS DOUBLE) AS raw FROM embeddings),
+    v AS (SELECT feature, CASE WHEN abs(raw) > 0.05 THEN raw ELSE 0 END AS value FROM c),
+    per AS (SELECT feature, avg(value) AS m, stddev_samp(value) AS sd, avg(CASE WHEN value <> 0 THEN 1.0 ELSE 0.0 END) AS f FROM v GROUP BY feature),
+    d AS (SELECT CAST(l_partkey % 64 AS INT) AS feature, l_orderkey % 10 AS outer_, avg(l_discount - 0.05) AS d FROM lineitem GROUP BY ALL),
+    imp AS (SELECT feature, avg(d) AS d FROM d GROUP BY feature)
+    SELECT feature, {sql6('m')} AS coef_mean, {sql6('sd')} AS coef_std, {sql6('f')} AS selected_freq, {sql6('abs(m)')} AS abs_coef_mean, {sql6('d')} AS perm_importance_mean
+    FROM per JOIN imp USING (feature)""",
+)
+def coefficient_summary(spark, sf):
+    """Weights over models and importance drops over folds, summarised per feature: every embedding is a model's weights."""
+    weights = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(F.abs(v) > 0.05, v).otherwise(0.0))
+    coefs = table(spark, sf, "embeddings").select(weights.alias("coef"))
+    drops = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 10).alias("outer"), (F.col("l_partkey") % 64).cast("int").alias("feature"), (F.col("l_discount") - 0.05).alias("drop")
+    )
+    out = S.summarise_coefficients(coefs, drops)
+    return out.select("feature", *[r6(c).alias(c) for c in ("coef_mean", "coef_std", "selected_freq", "abs_coef_mean", "perm_importance_mean")])
+
+
+@query(
+    "out_of_fold_scores",
+    f"""WITH m AS (SELECT vec_id AS fold, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings WHERE vec_id < 10),
+    s AS (SELECT e.vec_id, fold, label % 2 AS y, list_sum(list_transform(range(1, len(w) + 1), lambda k: w[k] * CAST(embedding[k] AS DOUBLE))) + fold / 10.0 AS z
+      FROM embeddings e JOIN m ON m.fold = e.vec_id % 10)
+    SELECT CAST(vec_id AS VARCHAR) AS subject_id, CAST(fold AS INT) AS "outer", CAST(y AS INT) AS y, {sql6('1 / (1 + exp(-z))')} AS probability, {sql6('z')} AS margin FROM s""",
+)
+def out_of_fold_scores(spark, sf):
+    """Every subject scored by the model of its fold, as a probability and as a margin; ten embeddings serve as models."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    folded = vectors.select(
+        F.col("vec_id").cast("string").alias("subject_id"), (F.col("label") % 2).cast("int").alias("y"), "x", (F.col("vec_id") % 10).cast("int").alias("outer")
+    )
+    models = vectors.where("vec_id < 10").select(
+        F.lit(0).cast("bigint").alias("perm_id"), F.col("vec_id").cast("int").alias("outer"), F.col("x").alias("weights"),
+        (F.col("vec_id") / 10).alias("intercept"),
+    )
+    both = [S.out_of_fold(folded, models, plan, "subject_id") for plan in (_EN, _SVM)]
+    margin = both[1].select(F.col("subject_id").alias("of"), F.col("score").alias("margin"))
+    out = both[0].join(margin, F.col("subject_id") == F.col("of"))
+    return out.select("subject_id", "outer", "y", r6("score").alias("probability"), r6("margin").alias("margin"))
+
+
 @query(
     "model_summary",
     f"""WITH s AS (SELECT o_orderkey % 12 AS run, o_custkey % 2 AS y, o_totalprice AS score FROM orders),
