@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from neurospan.llm import decontaminate, exact, sentencepieces, similar, toxicity
 from neurospan.llm.queries import SENTENCEPIECE_MODEL
-from neurospan.llm.shared import crc32_fold, stored, table, text_key
+from neurospan.llm.shared import crc32_fold, free_name, stored, table, text_key
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by a 5-word shingle similarity of 0.8 or more."""
+    """One document, the one with the smallest id, of each group linked by a 5-word shingle similarity of 0.8 or more.
+
+    SimHash fingerprints in BK-trees and MinHash bands propose, the exact similarity decides.
+    """
     return similar.drop_similar(docs)
 
 
@@ -34,9 +37,10 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, round_trip): the texts as token ids, and whether these read back as the text."""
     model = sentencepieces.load_model(SENTENCEPIECE_MODEL)
-    docs = docs.withColumn("text_key", text_key())
-    read = sentencepieces.encode_decode(docs, model, keep=["doc_id", "lang", "source", "text_key"])
-    return read.select("doc_id", "lang", "source", "ids", (text_key("decoded") == F.col("text_key")).alias("round_trip"))
+    key = free_name(["doc_id", "lang", "source", "ids", "decoded"], "text_key")
+    docs = docs.select("doc_id", "lang", "source", "text", text_key().alias(key))
+    read = sentencepieces.encode_decode(docs, model, keep=["doc_id", "lang", "source", key])
+    return read.select("doc_id", "lang", "source", "ids", (text_key("decoded") == F.col(key)).alias("round_trip"))
 
 
 STAGES = [

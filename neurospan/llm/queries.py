@@ -32,6 +32,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op2_simhash_bktree")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest document reachable over links of four or fewer bits."""
     return simhash.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
@@ -44,6 +45,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its group of equal texts."""
     out = exact.exact_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -69,6 +71,7 @@ def _scored(out: DataFrame, held_out) -> DataFrame:
 
 @query("op1_toxicity_counterfactual")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned outside the held-out fold."""
     docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), crc32_fold(F.col("doc_id"), 4)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
     return _scored(toxicity.score(docs, model), fold == 2)
@@ -76,6 +79,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_quality_positive_unlabelled")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held-out fold."""
     docs, fold = table(spark, sf_dir, "documents").select("doc_id", "text"), crc32_fold(F.col("doc_id"), 5)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold != 0, fold != 0)
     return _scored(quality.score(docs, model), fold == 0)
@@ -181,6 +185,7 @@ def _escaped_chars(column: str) -> str:
     """,
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one full of control strings, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     rows = rows.union(spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], rows.schema))
@@ -189,6 +194,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_pii_information")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans."""
     out = personal.personal_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(
@@ -239,6 +245,7 @@ _REVISIT_LAG = 37 * 60
     """,
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit with the response it stands for and the headers of both."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
     full, again = _captures(pages)
     out = revisits.resolve_revisits(full, again)
@@ -291,6 +298,7 @@ def _captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """,
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

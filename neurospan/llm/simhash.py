@@ -195,14 +195,15 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_rows:
     return rows.mapInArrow(_link_shards(radius), "a bigint, b bigint").distinct()
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_rows: int = TREE_ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tree_rows: int = TREE_ROWS, words: int = WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id, text_key) for every row of ``docs``.
 
     Fingerprints with at most ``radius`` differing bits are linked; ``component_id`` is the smallest ``doc_id``
     reachable over links.  Null and empty texts have fingerprint zero, which is linked like any other.  Null ids take
-    part but cannot name a component unless nothing else does.  An empty table gives no rows.
+    part but cannot name a component unless nothing else does.  An empty table gives no rows.  Shingles have ``words``
+    words.
     """
-    fps = cut(fingerprints(docs))
+    fps = cut(fingerprints(docs, words))
     joined = components(links(fps, radius, blocks, tree_rows)).withColumnRenamed("node", "linked_fp")
     rooted = fps.join(joined, F.col("fp") == F.col("linked_fp"), "left").select(
         "doc_id", "text_key", "fp", F.coalesce("root", "fp").alias("root")

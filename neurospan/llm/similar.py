@@ -1,10 +1,18 @@
 """Near-duplicates by exact similarity of word shingles.
 
 Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at least 0.8.  Candidates come
-from independent MinHash bands; a pair at the threshold agrees in none of them with a chance of 1e-11, a closer pair
-less often.  Every link is then decided on the whole shingle sets.  First each text of a band's bucket is compared with
-a few of its texts; after that all pairs of the bucket that are still in different components are compared.  Groups of
-copies fall together in the first step; only texts just below the threshold cost a comparison for each pair.
+from the SimHash operator (fingerprints of the same shingles in BK-trees) and from independent MinHash bands, because
+fingerprints alone are too coarse at 0.8.  Every link is then decided on the whole sets.
+
+A pair at the threshold agrees in 20 of the 48 bands on average, in fewer than three with a chance of 6e-9.  So pairs are
+taken from buckets of a few texts if they meet in three of them; a pair that meets in a larger bucket belongs to the group
+of texts that larger buckets connect.  Such a group is described by a core, the shingles most of
+its texts hold, and each text x by its difference D(x) from the core.  Similarity s means that the symmetric difference
+of two sets is at most the share (1 - s) / (1 + s) of their sizes, and the symmetric difference of the sets is that of
+their differences.  With slack(x) = |D(x)| - share * |x|, texts whose slacks add up to no more than zero are linked
+without looking, and all of these are linked to the text with the least slack: one star.  Any other linked pair shares
+at least half the sum of its slacks in shingles of D, hence one of the rarest few of each: these shingles make smaller
+groups with cores of their own.  No step works on all pairs of a group, and no link is lost.
 """
 
 from __future__ import annotations
@@ -13,18 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from neurospan.llm import simhash
 from neurospan.llm.components import components
 from neurospan.llm.decontaminate import _hashes, words_of
-from neurospan.llm.shared import cut, pieces, same, text_key, without
+from neurospan.llm.shared import cut, hash_filter, passes, pieces, same, stored, text_key, without
 
 WORDS, SIMILARITY = 5, 0.8
-#: Minima in a band and bands: (1 - 0.8 ** 4) ** 48 is 1e-11.
-BAND_ROWS, BANDS = 4, 48
-#: Texts of a bucket that all its others are compared with first.
-HEADS = 4
+#: Minima in a band, bands, and bands in which a pair of texts must agree: at 0.8 a band agrees with 0.8 ** 4 = 0.41.
+BAND_ROWS, BANDS, LEAST_BANDS = 4, 48, 3
+#: Texts of a bucket or group that is compared pair by pair.
+FEW = 8
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 _FLIP, _FACTOR = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 _SLICE = 256
@@ -53,87 +62,170 @@ def is_similar(one: np.ndarray, other: np.ndarray, similarity: float = SIMILARIT
     return shared >= similarity * (len(one) + len(other) - shared) - 1e-9
 
 
-def _banded(texts: DataFrame, words: int) -> DataFrame:
-    """(node, size, key): the band keys of each text and the size of its shingle set."""
+def _banded(nodes: DataFrame, words: int) -> DataFrame:
+    """(node, key): the band keys of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            keys = np.concatenate([band_keys(s) for s in sets])
-            row = np.repeat(np.arange(len(sets)), BANDS)
-            sizes = np.array([len(s) for s in sets], np.int32)[row]
-            columns = [batch.column(0).take(pa.array(row)), pa.array(sizes), pa.array(keys.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "key"])
+            keys = np.concatenate([band_keys(shingle_set(t, words)) for t in batch.column(1).to_pylist()])
+            row = np.repeat(np.arange(batch.num_rows), BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(keys.view(np.int64))], names=["node", "key"])
 
-    return texts.mapInArrow(run, "node bigint, size int, key bigint")
+    return nodes.select("node", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "node bigint, key bigint")
 
 
-def _decided(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-    one = texts.select(F.col("node").alias("a_node"), F.col("text").alias("a_text"))
-    other = texts.select(F.col("node").alias("b_node"), F.col("text").alias("b_text"))
-    met = pairs.join(one, F.col("a") == F.col("a_node")).join(other, F.col("b") == F.col("b_node"))
+def _sets(nodes: DataFrame, words: int) -> DataFrame:
+    """(node, size, diff): the shingle set of each text, which is its difference from an empty core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None  # the rows of one text often follow each other
-        for batch in batches:
-            keep = []
-            for part in pieces(iter([batch]), 2):
-                for a, t, u in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    if own is None or a != last:
-                        last, own = a, shingle_set(t, words)
-                    keep.append(is_similar(own, shingle_set(u, words), similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return met.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
-
-
-def _may(one: Column | str, other: Column | str, similarity: float) -> Column:
-    """Sets whose sizes are too far apart cannot be similar."""
-    return F.least(one, other) >= F.greatest(one, other) * F.lit(similarity) - F.lit(1e-9)
-
-
-def links(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """(a, b): pairs of similar texts, by ``text_key``, enough to connect all that are linked."""
-    texts = docs.select(text_key().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    banded = cut(_banded(texts, words))
-    heads = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("order"), "node", "size")) for k in range(HEADS)]
-    heads = F.array_distinct(F.transform(F.array(*heads), lambda x: F.struct(x["node"].alias("node"), x["size"].alias("size"))))
-    first = banded.groupBy("key").agg(heads.alias("heads"), F.min("node").alias("low"), F.max("node").alias("high"))
+        for batch in pieces(batches, 1):
+            sets = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            diff = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), diff], names=["node", "size", "diff"])
+
+    rows = nodes.select("node", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "node bigint, size int, diff array<bigint>")
+
+
+def _candidates(nodes: DataFrame, words: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to be compared, and groups (node, root) that hold all other partners of their members."""
+    prints = simhash.near_groups(nodes.select(F.col("node").alias("doc_id"), "text"), words=words)
+    prints = prints.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).filter("a < b")
+    banded = stored(_banded(nodes, words))
+    buckets = banded.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # stored, so that both sides of the join are dealt anew and Spark can split the partition of a large bucket
-    first = cut(first.filter("low < high")).select(F.col("key").alias("of_key"), "heads")
-    met = cut(banded.join(first, F.col("key") == F.col("of_key")).select("key", "node", "size", "heads"))
-    nodes = met.select(F.col("node").alias("of_node")).distinct()
-    texts = cut(texts.join(nodes, F.col("node") == F.col("of_node"), "left_semi").dropDuplicates(["node"]))
-
-    star = met.select("node", "size", F.explode("heads").alias("head"))
-    star = star.filter((F.col("node") != F.col("head.node")) & _may("size", "head.size", similarity))
-    star = cut(star.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct())
-    near = cut(_decided(star, texts, similarity, words))
-
-    roots = components(near).select(F.col("node").alias("of_node"), "root")
-    rooted = met.join(roots, F.col("node") == F.col("of_node"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    left = cut(rooted.join(several.select(F.col("key").alias("of_key")), F.col("key") == F.col("of_key"), "left_semi").distinct())
-    one = left.select(F.col("key").alias("of_key"), F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-    apart = left.join(one, (F.col("key") == F.col("of_key")) & (F.col("root") < F.col("b_root")) & _may("size", "b_size", similarity))
-    apart = apart.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    known = star.select(F.col("a").alias("of_a"), F.col("b").alias("of_b"))
-    apart = apart.join(known, (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")), "left_anti")
-    return near.union(_decided(apart, texts, similarity, words))
-
-
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    buckets = cut(buckets).select(F.col("key").alias("of_key"), "low", "n")
+    bits = hash_filter(buckets, "of_key")  # most keys belong to a single text and need not be dealt again
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bits, batch.column(1).to_numpy())))
+
+    met = cut(banded.mapInArrow(shared, banded.schema).join(buckets, F.col("key") == F.col("of_key")).select("key", "node", "low", "n"))
+    small = met.filter(F.col("n") <= few)
+    other = small.select(F.col("key").alias("of_key"), F.col("node").alias("b"))
+    pairs = small.join(other, (F.col("key") == F.col("of_key")) & (F.col("node") < F.col("b"))).groupBy(F.col("node").alias("a"), "b").count()
+    pairs = pairs.filter(F.col("count") >= LEAST_BANDS).select("a", "b").union(prints).distinct()
+    large = met.filter((F.col("n") > few) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return cut(pairs), cut(components(large.distinct()))
+
+
+def _share(similarity: float) -> float:
+    return (1 - similarity) / (1 + similarity)
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, share: float) -> DataFrame:
+    """The pairs (path, a, b) whose texts are similar, decided on their differences from one core, as (a, b)."""
+    one = rows.select(F.col("path").alias("a_path"), F.col("node").alias("a_node"), F.col("size").alias("a_size"), F.col("diff").alias("a_diff"))
+    other = rows.select(F.col("path").alias("b_path"), F.col("node").alias("b_node"), F.col("size").alias("b_size"), F.col("diff").alias("b_diff"))
+    met = pairs.join(one, (F.col("path") == F.col("a_path")) & (F.col("a") == F.col("a_node")))
+    met = met.join(other, (F.col("path") == F.col("b_path")) & (F.col("b") == F.col("b_node")))
+    apart = F.size("a_diff") + F.size("b_diff") - 2 * F.size(F.array_intersect("a_diff", "b_diff"))
+    return met.filter(apart <= share * (F.col("a_size") + F.col("b_size")) + 1e-9).select("a", "b")
+
+
+def _pairs(members: DataFrame, group: list[str]) -> DataFrame:
+    """(path, a, b): pairs of the members (group..., node, root) of small groups that are not connected yet."""
+    members = members.select(*group, "node", "root")
+    other = members.select(*[F.col(c).alias(f"of_{c}") for c in group], F.col("node").alias("b"), F.col("root").alias("b_root"))
+    met = (F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root"))
+    for c in group:
+        met = met & (F.col(c) == F.col(f"of_{c}"))
+    return members.join(other, met).select("path", F.col("node").alias("a"), "b").distinct()
+
+
+def _centred(rows: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """The rows described from their group's core, with their slack; and the shingles (path, e, n) of these differences."""
+    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("all")).withColumnRenamed("path", "in_path")
+    counts = rows.select("path", F.explode("diff").alias("e")).groupBy("path", "e").agg(F.count(F.lit(1)).alias("n"))
+    # a shingle of one text is in no core and in no smaller group
+    counts = cut(counts.filter("n > 1").join(sizes, F.col("path") == F.col("in_path")).drop("in_path"))
+    core = counts.filter(2 * F.col("n") > F.col("all")).groupBy(F.col("path").alias("of_path")).agg(F.collect_list("e").alias("core"))
+    core = cut(core)
+    nothing = F.slice("diff", 1, 0)
+    met = rows.join(core, F.col("path") == F.col("of_path"), "left").withColumn("core", F.coalesce("core", nothing))
+    diff = F.concat(F.array_except("diff", "core"), F.array_except("core", "diff"))
+    centred = met.select("path", "node", "size", diff.alias("diff")).withColumn("slack", F.size("diff") - share * F.col("size"))
+    n = F.when(2 * F.col("n") > F.col("all"), F.col("all") - F.col("n")).otherwise(F.col("n"))
+    return cut(centred), counts.select("path", "e", n.alias("n"))
+
+
+def _subgroups(rows: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(path, group, node, root, n): texts by the rarest shingles of their differences, enough for every pair still to be found.
+
+    A text whose ``need`` shingles must be shared has one of them among its rarest, all but ``need - 1``.  Groups of the
+    same texts are kept once: neighbouring shingles of one change are held by the same texts.
+    """
+    held = rows.select("path", "node", F.explode("diff").alias("e"))
+    known = shingles.filter("n > 1").select(F.col("path").alias("of_path"), F.col("e").alias("of_e"), "n")
+    held = held.join(known, (F.col("path") == F.col("of_path")) & (F.col("e") == F.col("of_e"))).select("path", "node", "e", "n")
+    own = Window.partitionBy("path", "node")
+    held = held.withColumn("shared", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("n", "e")))
+    texts = rows.select(F.col("path").alias("of_path"), F.col("node").alias("of_node"), "root", F.size("diff").alias("long"), "need")
+    held = held.join(texts, (F.col("path") == F.col("of_path")) & (F.col("node") == F.col("of_node")))
+    # shingles that no other text holds come first; they make no groups
+    held = cut(held.filter("long - shared + place <= long - need + 1").select("path", "e", "node", "root"))
+    mark = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"mark{k}") for k in (1, 2)]
+    groups = held.groupBy("path", "e").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *mark)
+    groups = groups.filter("n > 1 and low < high").groupBy("path", "n", "mark1", "mark2").agg(F.min("e").alias("of_e"))
+    groups = cut(groups.select(F.col("path").alias("of_path"), "of_e", "n", F.monotonically_increasing_id().alias("group")))
+    met = held.join(groups, (F.col("path") == F.col("of_path")) & (F.col("e") == F.col("of_e")))
+    return met.select("path", "group", "node", "root", "n")
+
+
+def links(nodes: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, few: int = FEW) -> DataFrame:
+    """(a, b): pairs of similar texts among ``nodes`` (node, text), enough to connect all that are linked."""
+    share = _share(similarity)
+    pairs, groups = _candidates(nodes, words, few)
+    used = pairs.select("a").union(pairs.select("b")).union(groups.select("node")).distinct().withColumnRenamed("a", "of_node")
+    sets = stored(_sets(nodes.join(used, F.col("node") == F.col("of_node"), "left_semi"), words))
+    alone = F.lit(-1).cast("bigint")
+    near = [cut(_linked(pairs.withColumn("path", alone), sets.withColumn("path", alone), share))]
+    groups = groups.select(F.col("node").alias("of_node"), F.col("root").alias("path"))
+    rows = cut(sets.join(groups, F.col("node") == F.col("of_node")).select("path", "node", "size", "diff"))
+    while not rows.isEmpty():
+        rows, shingles = _centred(rows, share)
+        leads = rows.groupBy("path").agg(F.min(F.struct("slack", "node")).alias("lead")).withColumnRenamed("path", "of_path")
+        leads = cut(leads)
+        met = rows.join(leads, F.col("path") == F.col("of_path")).drop("of_path")
+        star = met.filter((F.col("node") != F.col("lead.node")) & (F.col("slack") + F.col("lead.slack") <= 1e-9))
+        near.append(cut(star.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()))
+        roots = components(_union(near)).withColumnsRenamed({"node": "of_node", "root": "of_root"})
+        need = F.greatest(F.lit(1), F.ceil((F.col("slack") + F.col("lead.slack")) / 2 - 1e-9)).cast("int").alias("need")
+        rooted = met.join(roots, F.col("node") == F.col("of_node"), "left")
+        rooted = cut(rooted.select("path", "node", "size", "diff", F.coalesce("of_root", "node").alias("root"), need))
+        apart = rooted.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        apart = cut(apart.select(F.col("path").alias("of_path")))
+        left = rooted.join(apart, F.col("path") == F.col("of_path"), "left_semi").filter(F.size("diff") >= F.col("need"))
+        held = cut(_subgroups(left, shingles))
+        near.append(cut(_linked(_pairs(held.filter(F.col("n") <= few), ["path", "group"]), rooted, share)))
+        large = held.filter(F.col("n") > few).select(F.col("path").alias("of_path"), "group", F.col("node").alias("of_node"))
+        deeper = rooted.join(large, (F.col("path") == F.col("of_path")) & (F.col("node") == F.col("of_node")))
+        rows = cut(deeper.select(F.col("group").alias("path"), "node", "size", "diff"))
+    return _union(near)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, few: int = FEW) -> DataFrame:
     """(doc_id, component_id, text_key) for every row of ``docs``.
 
     ``component_id`` is the smallest ``doc_id`` reachable over links; equal texts are linked, texts without words (null
     and empty ones too) are equal to each other.  Null ids take part but cannot name a component unless nothing else
-    does.  An empty table gives no rows.
+    does.  An empty table gives no rows.  Other columns are not looked at.
     """
-    ids = docs.select("doc_id", text_key().alias("text_key"))
-    joined = components(links(docs, similarity, words))
-    rooted = ids.join(joined, F.col("text_key") == F.col("node"), "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
-    rooted = cut(rooted)
+    nodes = stored(docs.select(F.monotonically_increasing_id().alias("node"), "doc_id", "text"))
+    joined = components(links(nodes, similarity, words, few)).withColumnRenamed("node", "of_node")
+    rooted = nodes.select("node", "doc_id", text_key().alias("text_key")).join(joined, F.col("node") == F.col("of_node"), "left")
+    rooted = cut(rooted.select("doc_id", "text_key", F.coalesce("root", "node").alias("root")))
+    # stored, so that both sides of the join are dealt anew and Spark can split the partition of a large group
     least = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))).withColumnRenamed("root", "of_root")
     return rooted.join(least, F.col("root") == F.col("of_root")).select("doc_id", "component_id", "text_key")
 

@@ -199,3 +199,49 @@ def test_near_stage_drops_all_similar_texts(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r, c in zip(rows, want) if r[0] == c)
     assert similar.similar_groups(docs.limit(0)).count() == 0
+
+
+def edited_group(rng, n, words, edits, vocabulary):
+    """Copies of one text, each with some words of its own; any two of them share a little more or less than 0.8."""
+    base = [f"b{k}" for k in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(edits):
+            own[rng.randrange(words)] = f"v{rng.randrange(vocabulary)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("words, edits, vocabulary", [(150, 2, 10**6), (150, 3, 3), (120, 2, 40), (90, 4, 10)])
+def test_large_group_just_below_the_threshold(spark, words, edits, vocabulary):
+    rng = random.Random(words + edits)
+    texts = edited_group(rng, 260, words, edits, vocabulary)
+    texts += [" ".join([t, *[f"tail{i}{k % 3}" for i in range(12)]]) for k, t in enumerate(texts[:60])]
+    rows = [(k, t, "l", "f", "r") for k, t in enumerate(texts)]
+    pairs, want = expected_similar(rows)
+    got = similar.similar_groups(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted((r[0], c) for r, c in zip(rows, want, strict=True))
+
+
+def test_group_without_any_link(spark):
+    """Every text changes other words: all pairs are alike, none reaches the threshold."""
+    base = [f"b{k}" for k in range(400)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        own[6 * k + 3 : 6 * k + 4] = [f"x{k}"]
+        own += [f"only{k}w{i}" for i in range(45)]
+        texts.append(" ".join(own))
+    rows = [(k, t, "l", "f", "r") for k, t in enumerate(texts)]
+    pairs, _ = expected_similar(rows)
+    assert not pairs
+    got = similar.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got)
+
+
+def test_very_long_similar_texts(spark):
+    one = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, one, "l", "f", "r"), (2, one.replace("w777 ", "other "), "l", "f", "r"), (3, one[: len(one) // 2], "l", "f", "r")]
+    got = similar.similar_groups(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 3)]

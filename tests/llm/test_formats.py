@@ -9,8 +9,9 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from neurospan.llm import chat, decontaminate, exact, queries, revisits, sentencepieces, simhash
+from neurospan.llm import chat, decontaminate, exact, queries, revisits, sentencepieces
 from neurospan.llm.shared import table
+from tests.llm.test_dedup import expected_similar
 
 ALPHABET = ["▁", "a", "b", " ", "  ", "\n", "the", "é", "日本", "🙂", "</s>", "<s>", "<0x41>", "\t", "     ", "==", "hello", "00", "\x00", "ﬁ"]
 
@@ -196,8 +197,8 @@ def test_pipeline_stages(spark, model):
     assert all(b <= a for a, b in zip(ids, ids[1:]))
     decided = exact.exact_groups(kept[1]).filter("kept").collect()
     assert ids[2] == {r["doc_id"] for r in decided}
-    groups = simhash.near_groups(kept[2]).collect()
-    assert ids[3] == {r["component_id"] for r in groups}
+    rows = [tuple(r) for r in kept[2].select("doc_id", "text").collect()]
+    assert ids[3] == set(expected_similar(rows)[1])
     found = decontaminate.contaminated(kept[3], table(spark, sf, "benchmark")).collect()
     assert ids[4] == ids[3] - {r["doc_id"] for r in found}
     last = corpus_pipeline.run(spark, sf).collect()
