@@ -180,6 +180,7 @@ def links(nodes: DataFrame, similarity: float = SIMILARITY, words: int = WORDS,
     share = _share(similarity)
     pairs, groups = _candidates(nodes, words, few)
     used = pairs.select("a").union(pairs.select("b")).union(groups.select("node")).distinct().withColumnRenamed("a", "of_node")
+    used = stored(used)  # its size is known then, and while it is small the texts are not dealt out
     sets = stored(_sets(nodes.join(used, F.col("node") == F.col("of_node"), "left_semi"), words))
     alone = F.lit(-1).cast("bigint")
     near = [cut(_linked(pairs.withColumn("path", alone), sets.withColumn("path", alone), share))]
@@ -235,4 +236,5 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
 
     Rows without an id stay only where their whole group has none.
     """
-    return without(docs, similar_groups(docs, similarity, words).filter(~same(F.col("doc_id"), F.col("component_id"))))
+    dropped = similar_groups(docs, similarity, words).filter(~same(F.col("doc_id"), F.col("component_id")))
+    return without(docs, stored(dropped.select("doc_id", "text_key").distinct()))
