@@ -1,7 +1,7 @@
 """Random-intercept linear mixed models (maximum likelihood) from distributed sums.
 
-Spark reduces the visits to per-subject sums and those to one row of totals per
-(model, visits per subject).  The likelihood depends on the data only through
+Spark deals the visits out by subject; tasks reduce them to per-subject sums and
+those to one row of totals per (model, visits per subject).  The likelihood depends on the data only through
 these totals, so the remaining one-dimensional search over the variance ratio
 touches one row per distinct number of visits (at most about the square root of
 twice the visits).  Models are dealt over the tasks; each search evaluates whole
@@ -11,11 +11,12 @@ grids of ratios at once.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,32 +43,112 @@ def _upper(q: int) -> list[tuple[int, int]]:
 def cluster_totals(df: DataFrame, subject: str, specs: Sequence[Spec]) -> DataFrame:
     """Totals per (model, cluster size): counts, cross products and products of cluster sums.
 
-    Every model becomes one array element of the row, so one scan and two
-    aggregations (subject, then size) serve the whole battery.  Rows with an
-    unknown value drop per model.
+    The visits are dealt out once, by subject, with each column that models share (the same object) sent once; a task
+    adds its subjects up for all models in subject order and hands on one row per (model, size).  Rows with an unknown
+    value drop per model.
     """
     width = max(len(s.terms) for s in specs) + 2  # intercept, terms, outcome
-
-    def vector(s: Spec) -> Column:
-        cols = [F.lit(1.0), *[c.cast("double") for c in s.terms.values()]]
-        pad = [F.lit(0.0)] * (width - 1 - len(cols))
-        return F.struct(F.lit(s.name).alias("model"), *[
-            c.alias(f"z{k}") for k, c in enumerate([*cols, *pad, s.outcome.cast("double")])
-        ])
-
-    zs = [f"z{k}" for k in range(width)]
-    rows = df.select(subject, F.inline(F.array(*[vector(s) for s in specs]))).na.drop(subset=zs)
+    columns = {id(c): c for s in specs for c in (*s.terms.values(), s.outcome)}
+    place = {key: k for k, key in enumerate(columns)}
+    shapes = {s.name: [place[id(c)] for c in (*s.terms.values(), s.outcome)] for s in specs}
     pairs = _upper(width)
-    per_subject = rows.groupBy("model", subject).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(z).alias(f"s{k}") for k, z in enumerate(zs)],
-        *[F.sum(F.col(zs[a]) * F.col(zs[b])).alias(f"g{a}_{b}") for a, b in pairs],
-    )
-    return per_subject.groupBy("model", "n").agg(
-        F.count(F.lit(1)).alias("m"),
-        *[F.sum(f"g{a}_{b}").alias(f"g{a}_{b}") for a, b in pairs],
-        *[F.sum(F.col(f"s{a}") * F.col(f"s{b}")).alias(f"p{a}_{b}") for a, b in pairs],
-    )
+    sums = [f"{kind}{a}_{b}" for kind in "gp" for a, b in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = {name: _Sizes(own, width) for name, own in shapes.items()}
+        last = []  # the subject that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes = ids.indices.to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
+            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            goes_on = last == [batch.column(0)[0].as_py()]
+            last = [batch.column(0)[batch.num_rows - 1].as_py()]
+            orders: dict = {}
+            for own in sizes.values():
+                own.add(z, starts, goes_on, orders)
+        a, b = np.array(pairs).T
+        for name, own in sizes.items():
+            own.close()
+            if own.found:
+                n = sorted(own.found)
+                cells = np.array([np.concatenate([own.found[k][1][a, b], own.found[k][2][a, b]]) for k in n])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(n)), pa.array(n, pa.int64()), pa.array([own.found[k][0] for k in n], pa.int64()), *map(pa.array, cells.T)],
+                    ["model", "n", "m", *sums],
+                )
+
+    dealt = df.repartition(F.col(subject)).sortWithinPartitions(subject)
+    rows = dealt.select(F.col(subject).alias("subject"), *[c.cast("double").alias(f"z{k}") for k, c in enumerate(columns.values())])
+    per_task = rows.mapInArrow(run, ", ".join(["model string, n bigint, m bigint", *[f"{c} double" for c in sums]]))
+    return per_task.groupBy("model", "n").agg(*[F.sum(c).alias(c) for c in ("m", *sums)])
+
+
+class _Sizes:
+    """One model's totals per cluster size, from batches of visits in subject order.
+
+    ``found``: size -> [subjects, cross products, products of the subjects' sums].  The last subject of a batch stays
+    open as its sums and cross products, so a subject may have any number of visits.
+    """
+
+    def __init__(self, columns: Sequence[int], width: int):
+        self.terms, self.outcome, self.width = list(columns[:-1]), columns[-1], width
+        self.found: dict[int, list] = {}
+        self.open = np.zeros(width), np.zeros((width, width))
+
+    def add(self, z: np.ndarray, starts: np.ndarray, goes_on: bool, orders: dict) -> None:
+        """``starts``: first row of each subject; ``goes_on``: the first one is the open one; ``orders``: shared by the models."""
+        x = np.zeros((len(z), self.width))
+        x[:, 0] = 1.0
+        x[:, 1:len(self.terms) + 1] = z[:, self.terms]
+        x[:, -1] = z[:, self.outcome]
+        x[np.isnan(x).any(axis=1)] = 0.0  # an unknown value: the row counts nowhere
+        sums, gram = np.add.reduceat(x, starts, axis=0), np.zeros((self.width, self.width))
+        if goes_on:
+            sums[0] += self.open[0]
+            gram = self.open[1]
+        else:
+            self.close()
+        tail = x[starts[-1]:]
+        if len(starts) == 1:
+            self.open = sums[0], gram + tail.T @ tail
+            return
+        self.open = sums[-1], tail.T @ tail
+        sums = sums[:-1]
+        n = sums[:, 0].astype(int)
+        if goes_on and n[0]:
+            self._entry(n[0])[1] += gram
+        key = n.tobytes()
+        if key not in orders:
+            own = np.argsort(n, kind="stable")
+            per_row = np.repeat(n, np.diff(starts))
+            by_row = np.argsort(per_row, kind="stable")
+            values = np.unique(n)
+            cuts = [np.searchsorted(of[order], values, side) for of, order in ((n, own), (per_row, by_row)) for side in ("left", "right")]
+            orders[key] = own, by_row, list(zip(values.tolist(), *[c.tolist() for c in cuts], strict=True))
+        own, by_row, groups = orders[key]
+        sums, x = sums[own], x[by_row]
+        for size, lo, hi, first, end in groups:
+            if size:
+                entry = self._entry(size)
+                entry[0] += hi - lo
+                entry[1] += x[first:end].T @ x[first:end]
+                entry[2] += sums[lo:hi].T @ sums[lo:hi]
+
+    def _entry(self, size: int) -> list:
+        empty = lambda: np.zeros((self.width, self.width))
+        return self.found.setdefault(int(size), [0, empty(), empty()])
+
+    def close(self) -> None:
+        sums, gram = self.open
+        if sums[0]:
+            entry = self._entry(sums[0])
+            entry[0] += 1
+            entry[1] += gram
+            entry[2] += np.outer(sums, sums)
+        self.open = np.zeros(self.width), np.zeros((self.width, self.width))
 
 
 class Totals:
@@ -274,15 +355,18 @@ def battery(networks: Mapping[str, str], flag: str = "flag", memory: str = "memo
     """
     z = lambda c: F.col(f"{c}_z")
     male = F.when(F.lower(F.col(sex)) == "male", 1.0).when(F.lower(F.col(sex)) == "female", 0.0)
+    # one object for each column, so that the models share it
     shared = {"time": z(time), "age": z(age), "sex": male, "years": z(years)}
+    status, outcome = F.col(flag).cast("double"), z(memory)
+    changed = status * z(time)
     out = []
     for name, column in networks.items():
-        status, coupling = F.col(flag).cast("double"), z(column)
+        coupling = z(column)
         out += [
             Spec(f"group|{name}", coupling, {"status": status, **shared}, "status"),
-            Spec(f"group_change|{name}", coupling, {"status": status, **shared, "x": status * z(time)}, "x"),
-            Spec(f"memory|{name}", z(memory), {"coupling": coupling, **shared}, "coupling"),
-            Spec(f"memory_change|{name}", z(memory), {"coupling": coupling, **shared, "x": coupling * z(time)}, "x"),
+            Spec(f"group_change|{name}", coupling, {"status": status, **shared, "x": changed}, "x"),
+            Spec(f"memory|{name}", outcome, {"coupling": coupling, **shared}, "coupling"),
+            Spec(f"memory_change|{name}", outcome, {"coupling": coupling, **shared, "x": coupling * z(time)}, "x"),
         ]
     return out
 

@@ -90,3 +90,46 @@ def test_battery_families(spark):
     assert len(out) == 48 and {r["atlas"] for r in out} == {"200", "400"}
     for r in out:
         assert r["p_value"] <= r["p_fdr"] + 1e-12 <= 1.0 + 1e-9
+
+
+def test_totals_of_long_and_null_subjects_over_batches(spark):
+    """Subjects that span Arrow batches, a missing id and unknown values give the totals of a plain grouping."""
+    rng = np.random.default_rng(8)
+    rows = [(s, float(s % 2), float(t), float(rng.integers(0, 9))) for s in range(6) for t in range(1 + s * 5)]
+    rows += [(None, 1.0, float(t), None if t == 2 else 3.0) for t in range(9)]
+    df = spark.createDataFrame(rows, "id int, g double, t double, y double")
+    specs = [
+        M.Spec("two", F.col("y"), {"g": F.col("g"), "t": F.col("t")}, "g"),
+        M.Spec("one", F.col("t"), {"g": F.col("g")}, "g"),
+    ]
+    want = {}
+    for name, cells in (("two", lambda r: [1.0, r[1], r[2], r[3]]), ("one", lambda r: [1.0, r[1], 0.0, r[2]])):
+        for subject in {r[0] for r in rows}:
+            z = np.array([cells(r) for r in rows if r[0] == subject and None not in cells(r)])
+            m, gram, products = want.get((name, len(z)), (0, 0, 0))
+            want[name, len(z)] = m + 1, gram + z.T @ z, products + np.outer(z.sum(axis=0), z.sum(axis=0))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {(r["model"], r["n"]): r for r in M.cluster_totals(df, "id", specs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want)
+    for key, (m, gram, products) in want.items():
+        assert got[key]["m"] == m
+        for a in range(4):
+            for b in range(a, 4):
+                assert got[key][f"g{a}_{b}"] == gram[a, b] and got[key][f"p{a}_{b}"] == products[a, b]
+
+
+def test_models_are_not_dealt_out_with_their_visits(spark):
+    """What is shuffled by subject are the visits, not a row of sums for each subject and model."""
+    rows = simulate(6, n=400)
+    df = spark.createDataFrame(rows, "id int, g double, t double, y double")
+    group, time, y = F.col("g"), F.col("t"), F.col("y")
+
+    def exchanges(models):
+        specs = [M.Spec(f"m{k}", y, {"g": group, "t": time}, "g") for k in range(models)]
+        plan = M.cluster_totals(df, "id", specs)._jdf.queryExecution().executedPlan().toString()
+        return [line.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+
+    assert exchanges(1) == exchanges(9) == ["model", "id"]
