@@ -78,6 +78,17 @@ def json_fields(df: DataFrame, column: str, fields: Mapping[str, str]) -> DataFr
     return df.withColumn("_j", F.from_json(column, schema)).select("*", "_j.*").drop("_j")
 
 
+def json_documents(df: DataFrame, path: str, text: str, fields: Mapping[str, str]) -> DataFrame:
+    """JSON side files packed as (path, text) rows of a table, keyed by the path as loose files are.
+
+    A file of its own costs a listing, an opening and a rename on the driver, which is more than reading a few bytes; trees
+    of many side files are therefore kept packed.  Unreadable documents give NULLs.
+    """
+    subject, ses = path_keys(path)
+    keyed = df.select(subject.alias("subject_id"), ses.alias("ses"), F.col(text).alias("_text"))
+    return json_fields(keyed, "_text", fields).drop("_text")
+
+
 def json_side_files(spark: SparkSession, path: str, fields: Mapping[str, str]) -> DataFrame:
     """JSON documents, one per file, keyed by the file path."""
     schema = T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()])

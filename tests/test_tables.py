@@ -160,6 +160,22 @@ def test_side_files_and_sheets(spark):
     assert {r["v"]: r["k"] for r in got} == {"a": 1, "b": 2, "c": None}
 
 
+def test_packed_side_files(spark):
+    rows = [("x/ses-01/sub-1/a.json", '{"n": 3,\n "t": -0.5}'), ("x/ses-02/sub-2/a.json", "{broken"), ("x/ses-01/sub-3/a.json", "{}"), ("x/ses-01/sub-4/a.json", None)]
+    docs = scans.json_documents(spark.createDataFrame(rows, "path string, text string"), "path", "text", {"t": "double", "n": "int"})
+    assert docs.columns == ["subject_id", "ses", "t", "n"]
+    assert sorted(tuple(r) for r in docs.collect()) == [
+        ("1", "ses-01", -0.5, 3), ("2", "ses-02", None, None), ("3", "ses-01", None, None), ("4", "ses-01", None, None),
+    ]
+
+
+def test_side_file_query_does_not_make_a_file_for_each_subject(spark):
+    import __spark_entry__ as entry
+
+    out = entry.queries()["json_side_files"](spark, "/root/testdata/sf0.001")
+    assert out.count() == 150 and len(out.inputFiles()) < 10
+
+
 def test_export_keeps_the_row_order(spark):
     path = scratch_dir(spark, "t-export")
     df = spark.createDataFrame([(k, f"row {k}") for k in (3, 1, 2)], "row_no int, text string")
