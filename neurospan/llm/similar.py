@@ -10,9 +10,11 @@ of texts that larger buckets connect.  Such a group is described by a core, the
 its texts hold, and each text x by its difference D(x) from the core.  Similarity s means that the symmetric difference
 of two sets is at most the share (1 - s) / (1 + s) of their sizes, and the symmetric difference of the sets is that of
 their differences.  With slack(x) = |D(x)| - share * |x|, texts whose slacks add up to no more than zero are linked
-without looking, and all of these are linked to the text with the least slack: one star.  Any other linked pair shares
+without looking, and all of these are linked to the text with the least slack: one star.  What a star leaves of a group
+is dealt out in pairs of blocks, each of which is compared in one task by an index of its shingles; a text goes to as
+many tasks as there are blocks, a bounded number.  In a group too large for that any other linked pair shares
 at least half the sum of its slacks in shingles of D, hence one of the rarest few of each: these shingles make smaller
-groups with cores of their own.  No step works on all pairs of a group, and no link is lost.
+groups with cores of their own.  No table holds all pairs of a group, and no link is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ WORDS, SIMILARITY = 5, 0.8
 BAND_ROWS, BANDS, LEAST_BANDS = 4, 48, 3
 #: Texts of a bucket or group that is compared pair by pair.
 FEW = 8
+#: Texts of a group that is compared in pairs of blocks, and of a block (about, they are dealt by hash).
+WHOLE, BLOCK = 4096, 256
 _RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 _FLIP, _FACTOR = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 _SLICE = 256
@@ -175,7 +179,52 @@ def _subgroups(rows: DataFrame, shingles: DataFrame) -> DataFrame:
     return met.select("path", "group", "node", "root", "n")
 
 
-def links(nodes: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, few: int = FEW) -> DataFrame:
+def _in_blocks(rows: DataFrame, share: float, block: int) -> DataFrame:
+    """(a, b): links among the rows (path, node, size, diff, root, n) of groups of n texts, enough to connect their roots."""
+    blocks = F.ceil(F.col("n") / block)
+    dealt = rows.withColumns({"own": F.pmod(F.xxhash64("node"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))})
+    dealt = dealt.select("path", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "size", "root", "diff")
+
+    def per_pair(key: tuple, texts: pa.Table) -> pa.Table:
+        texts = texts.sort_by("own")
+        node, size, root, own = (texts.column(c).to_numpy() for c in ("node", "size", "root", "own"))
+        diff = pa.concat_arrays(texts.column("diff").chunks)
+        # the texts of the lower block come first; of one block with itself each text meets those before it
+        first = int(np.searchsorted(own, key[2].as_py())) if key[1] != key[2] else None
+        a, b = _compared(node, size, root, diff.value_lengths().to_numpy(), diff.flatten().to_numpy(), first, share)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.groupBy("path", "low", "high").applyInArrow(per_pair, "a bigint, b bigint")
+
+
+def _compared(
+    node: np.ndarray, size: np.ndarray, root: np.ndarray, lengths: np.ndarray, shingles: np.ndarray, first: int | None, share: float
+) -> tuple[list[int], list[int]]:
+    """Links of the texts from ``first`` on with those before it (None: of all texts), none between texts connected already."""
+    lengths, a, b = lengths.astype(np.int64), [], []
+    if not len(node) or first in (0, len(node)):
+        return a, b
+    root, ends = root.copy(), np.cumsum(lengths)
+    place = np.unique(shingles, return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(node)), lengths)[np.argsort(place, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(place))])
+    for x in range(first or 0, len(node)):
+        upto = x if first is None else first
+        own = place[ends[x] - lengths[x] : ends[x]]
+        held = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        apart = lengths[x] + lengths[:upto] - 2 * np.bincount(holders[at], minlength=len(node))[:upto]
+        near = np.flatnonzero(apart <= share * (size[x] + size[:upto].astype(np.int64)) + 1e-9)
+        while len(near := near[root[near] != root[x]]):
+            a.append(int(node[near[0]]))
+            b.append(int(node[x]))
+            root[root == root[near[0]]] = root[x]
+    return a, b
+
+
+def links(
+    nodes: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, few: int = FEW, whole: int = WHOLE, block: int = BLOCK
+) -> DataFrame:
     """(a, b): pairs of similar texts among ``nodes`` (node, text), enough to connect all that are linked."""
     share = _share(similarity)
     pairs, groups = _candidates(nodes, words, few)
@@ -197,9 +246,15 @@ def links(nodes: DataFrame, similarity: float = SIMILARITY, words: int = WORDS,
         need = F.greatest(F.lit(1), F.ceil((F.col("slack") + F.col("lead.slack")) / 2 - 1e-9)).cast("int").alias("need")
         rooted = met.join(roots, F.col("node") == F.col("of_node"), "left")
         rooted = cut(rooted.select("path", "node", "size", "diff", F.coalesce("of_root", "node").alias("root"), need))
-        apart = rooted.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        apart = cut(apart.select(F.col("path").alias("of_path")))
-        left = rooted.join(apart, F.col("path") == F.col("of_path"), "left_semi").filter(F.size("diff") >= F.col("need"))
+        left = rooted.filter(F.size("diff") >= F.col("need"))
+        apart = left.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+        apart = cut(apart.select(F.col("path").alias("of_path"), "n"))
+        blocks = left.join(apart.filter(F.col("n") <= whole), F.col("path") == F.col("of_path"))
+        near.append(cut(_in_blocks(blocks, share, block)))
+        apart = apart.filter(F.col("n") > whole)
+        if apart.isEmpty():
+            break
+        left = left.join(apart, F.col("path") == F.col("of_path"), "left_semi")
         held = cut(_subgroups(left, shingles))
         near.append(cut(_linked(_pairs(held.filter(F.col("n") <= few), ["path", "group"]), rooted, share)))
         large = held.filter(F.col("n") > few).select(F.col("path").alias("of_path"), "group", F.col("node").alias("of_node"))

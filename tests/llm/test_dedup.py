@@ -240,6 +240,23 @@ def test_group_without_any_link(spark):
     assert all(r["doc_id"] == r["component_id"] for r in got)
 
 
+def test_group_is_compared_in_blocks_or_by_its_shingles(spark, monkeypatch):
+    """Blocks of a few texts, and the smaller groups that only groups beyond ``whole`` are cut into, find the same links."""
+    rng = random.Random(5)
+    texts = edited_group(rng, 50, 120, 4, 30)
+    rows = [(k, t, "l", "f", "r") for k, t in enumerate(texts)]
+    want = sorted((r[0], c) for r, c in zip(rows, expected_similar(rows)[1], strict=True))
+    cuts, subgroups = [], similar._subgroups
+    monkeypatch.setattr(similar, "_subgroups", lambda *a: cuts.append(1) or subgroups(*a))
+    nodes = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "node bigint, text string")
+    for whole, block in ((4096, 16), (30, 8)):
+        del cuts[:]
+        found = similar.components(similar.links(nodes, whole=whole, block=block)).collect()
+        roots = dict(map(tuple, found))
+        assert [(k, roots.get(k, k)) for k in range(len(texts))] == want
+        assert bool(cuts) == (whole == 30)
+
+
 def test_very_long_similar_texts(spark):
     one = " ".join(f"w{k}" for k in range(60_000))
     rows = [(1, one, "l", "f", "r"), (2, one.replace("w777 ", "other "), "l", "f", "r"), (3, one[: len(one) // 2], "l", "f", "r")]
