@@ -12,6 +12,7 @@ from neurospan.operators import visits as V
 from neurospan.plans import mixed_sql
 from neurospan.plans.registry import query, r6, sql6
 from neurospan.session import scratch_dir, table
+from neurospan.sources.sinks import materialise
 
 # --- mixed models: customers are subjects, their orders are visits --------------------
 
@@ -280,7 +281,7 @@ def perm_null(spark, sf):
     from neurospan.streaming.incremental import stored
 
     plan = _SVM
-    features = _features(spark, sf, False)
+    features = materialise(_features(spark, sf, False), scratch_dir(spark, "perm-null"))  # read by all three steps
     observed = S.nested_cv(spark, features, plan).observed_auc.first()["auc"]
     path = scratch_dir(spark, "null-auc")
     S.resumable_null(spark, features, plan, observed, path, n_perm=20)

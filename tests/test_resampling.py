@@ -304,3 +304,22 @@ def test_rank_auc_with_and_without_ties():
     for k, got in enumerate(L.rank_auc(y, scores)):
         a, b = scores[y == 1, k], scores[y == 0, k]
         assert got == pytest.approx(np.mean((a[:, None] > b) + 0.5 * (a[:, None] == b)), abs=1e-12)
+
+
+def test_null_is_stored_batch_by_batch(spark, monkeypatch):
+    """A batch that cannot be stored ends the run, and the batches before it stay."""
+    from neurospan.streaming import incremental as inc
+
+    x, y = data(60, 3)
+    plan = S.Plan("linear_svm", c_grid=(0.01,), outer=3, inner=2)
+    path, append = scratch_dir(spark, "t-stored"), inc.append_new
+
+    def second_fails(new, *rest):
+        if new.where("perm_id = 3").count():
+            raise OSError("no space")
+        append(new, *rest)
+
+    monkeypatch.setattr(inc, "append_new", second_fails)
+    with pytest.raises(OSError, match="no space"):
+        S.resumable_null(spark, frame(spark, x, y), plan, 2.0, path, n_perm=8, batch=2)
+    assert sorted(r["perm_id"] for r in spark.read.parquet(path).collect()) == [1, 2]
